@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlab.llm import mixing, sharding
+from skeinlab.llm import mixing, quality, sharding
 from skeinlab.llm.common import partitions, table
 
 QUERIES: dict = {}
@@ -24,6 +24,14 @@ def op2_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange(partitions(spark), F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+@query
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = quality.quality_outliers(docs, carry=("doc_id",))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 @query
 def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 contiguous shards of near-equal bytes."""
@@ -31,10 +39,16 @@ def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# CRC-32 in SQL: the 256-entry table follows from the reflected polynomial, then one fold over the bytes.
 ORACLE_SQL["op8_shard_bytes"] = """
-WITH s AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
-p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM s),
+WITH tab AS (SELECT list(list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])),
+                lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY n) AS tb FROM range(256) r(n)),
+s AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+c AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                list_transform(range(length(x) // 2), lambda i: CAST(('0x' || x[2*i+1:2*i+2]) AS BIGINT))),
+                lambda a, b: xor(a >> 8, tb[1 + (xor(a, b) & 255)]))) AS text_crc32 FROM s, tab),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c),
 q AS (SELECT *, CAST(least(7, ((2 * before + size) * 8) // (2 * total)) AS INTEGER) AS shard FROM p)
-SELECT doc_id, size, shard, 'bytes' AS law, CAST(NULL AS INTEGER) AS grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot FROM q
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q
 """
