@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlab.llm import mixing, quality, sharding
+from skeinlab.llm import licenses, mixing, quality, secrets, sharding
 from skeinlab.llm.common import partitions, table
 
 QUERIES: dict = {}
@@ -24,6 +24,15 @@ def op2_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange(partitions(spark), F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+@query
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every document and the licence whose entire text it is, if any."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op3_license_digests"] = licenses.oracle_sql()
+
+
 @query
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
@@ -32,6 +41,12 @@ def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+@query
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 contiguous shards of near-equal bytes."""
