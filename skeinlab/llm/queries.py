@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlab.llm import licenses, mixing, quality, secrets, sharding
+from skeinlab.llm import licenses, mixing, neardup, quality, secrets, sharding
 from skeinlab.llm.common import partitions, table
 
 QUERIES: dict = {}
@@ -67,3 +67,9 @@ q AS (SELECT *, CAST(least(7, ((2 * before + size) * 8) // (2 * total)) AS INTEG
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q
 """
+
+
+@query
+def op10_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, on 4-word shingles at similarity 0.8."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
