@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlab.llm import licenses, mixing, neardup, quality, secrets, sharding
+from skeinlab.llm import decontaminate, licenses, mixing, neardup, quality, secrets, sharding, substrings
 from skeinlab.llm.common import partitions, table
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def query(f):
     return f
 
 
+@query
+def op1_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark passage, with the item and the best match."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes of each, range-sorted by first training position."""
@@ -33,6 +39,12 @@ def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op3_license_digests"] = licenses.oracle_sql()
 
 
+@query
+def op4_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when passages of 13 words or more from earlier documents go."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=13, with_text=False).drop("kept_text")
+
+
 @query
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
