@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlab.llm import decontaminate, licenses, mixing, neardup, quality, secrets, sharding, substrings
+from skeinlab.llm import decontaminate, language_model, licenses, mixing, neardup, quality, secrets, sharding, substrings
 from skeinlab.llm.common import partitions, table
 
 QUERIES: dict = {}
@@ -81,6 +81,18 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 """
 
 
+def fold_of(n: int = 5):
+    """crc32 of the id as text, modulo n; a null id has the empty text's."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
+
+
+@query
+def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document; the model learns from four fifths of them."""
+    out = language_model.score_documents(table(spark, sf_dir, "documents"), fold_of() == 1)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op10_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, on 4-word shingles at similarity 0.8."""
