@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlab.llm import decontaminate, language_model, licenses, mixing, neardup, quality, secrets, sharding, substrings
+from skeinlab.llm import decontaminate, language_model, licenses, mixing, neardup, quality, secrets, sharding, substrings, toxicity
 from skeinlab.llm.common import partitions, table
 
 QUERIES: dict = {}
@@ -59,6 +59,18 @@ def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def fold_of(n: int = 5):
+    """crc32 of the id as text, modulo n; a null id has the empty text's."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
+
+
+@query
+def op7_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels are learned from four fifths of them."""
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of() != 0)
+    return out.select("doc_id", (fold_of() == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 contiguous shards of near-equal bytes."""
@@ -81,11 +93,6 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 """
 
 
-def fold_of(n: int = 5):
-    """crc32 of the id as text, modulo n; a null id has the empty text's."""
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
-
-
 @query
 def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document; the model learns from four fifths of them."""
