@@ -227,7 +227,7 @@ def difficulty(errors: Column, effects: Column, deps: Column, concurrent: Column
 
 
 def difficulty_label(score: Column) -> Column:
-    return bands(score, [(65.0, "very_hard"), (40.0, "hard"), (15.0, "moderate")], "easy")
+    return F.when(score <= 15.0, "easy").when(score <= 40.0, "moderate").when(score <= 65.0, "hard").otherwise("very_hard")
 
 
 # Words that place a symbol in a layer; the first rule that applies wins.
