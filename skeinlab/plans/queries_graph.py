@@ -8,8 +8,7 @@ from skeinlab.operators import graph, graph_local
 from skeinlab.plans import roles as R
 from skeinlab.plans.registry import query
 
-BELOW = 150
-_E = R.edges_sql(BELOW)
+_E = R.edges_sql()
 _N = "v AS (SELECT source_id AS id FROM edges UNION SELECT target_id FROM edges)"
 
 
@@ -25,7 +24,7 @@ def _ranks(steps: int, damping: float = 0.85) -> str:
 
 @query("pagerank", f"WITH {_ranks(6)} SELECT id, round(rank, 8) AS rank FROM r6")
 def _(spark, d):
-    return graph.pagerank(R.edges(spark, d, BELOW), 0.85, 6).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank(R.edges(spark, d), 0.85, 6).withColumn("rank", F.round("rank", 8))
 
 
 def _ppr(steps: int, alpha: float = 0.15) -> str:
@@ -40,7 +39,7 @@ def _ppr(steps: int, alpha: float = 0.15) -> str:
 
 @query("personalized_pagerank", f"WITH {_ppr(5)} SELECT id, round(rank, 8) AS rank FROM r5 WHERE rank > 0")
 def _(spark, d):
-    e = R.edges(spark, d, BELOW)
+    e = R.edges(spark, d)
     return graph.personalized_pagerank(e, graph.nodes(e).filter("id % 50 = 0"), 0.15, 5).withColumn("rank", F.round("rank", 8))
 
 
@@ -50,49 +49,49 @@ def _reach(on: str, to: str, depth: int, start: str) -> str:
 
 @query("khop_min_depth", f"WITH RECURSIVE {_E}, {_N}, {_reach('source_id', 'target_id', 3, 'id % 100 = 1')} SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
 def _(spark, d):
-    e = R.edges(spark, d, BELOW)
+    e = R.edges(spark, d)
     return graph.k_hop(e, graph.nodes(e).filter("id % 100 = 1"), 3)
 
 
 @query("call_chain", f"WITH RECURSIVE {_E}, {_N}, {_reach('target_id', 'source_id', 4, 'id = (SELECT min(target_id) FROM edges)')} SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
 def _(spark, d):
-    e = R.edges(spark, d, BELOW)
+    e = R.edges(spark, d)
     return graph.k_hop(e, e.agg(F.min("target_id").alias("id")), 4, "in")
 
 
 @query("reachability", f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT id FROM v WHERE id % 200 = 3 UNION SELECT target_id FROM r JOIN edges ON source_id = id) SELECT id FROM r")
 def _(spark, d):
-    e = R.edges(spark, d, BELOW)
+    e = R.edges(spark, d)
     return graph.k_hop(e, graph.nodes(e).filter("id % 200 = 3"), -1).select("id")
 
 
 @query("shortest_path")
 def _(spark, d):
-    e = R.edges(spark, d, 1500)
+    e = R.edges(spark, d)
     a = e.agg(F.min("source_id"), F.max("target_id")).first()
     return graph.shortest_path(e, a[0], a[1])
 
 
-@query("connected_components", f"WITH RECURSIVE {_E}, {_N}, b AS (SELECT source_id AS x, target_id AS y FROM edges UNION SELECT target_id, source_id FROM edges), r AS (SELECT id, id AS o FROM v UNION SELECT r.id, y FROM r JOIN b ON b.x = r.o) SELECT id, min(o) AS component FROM r GROUP BY 1")
+@query("connected_components")
 def _(spark, d):
-    return graph.connected_components(R.edges(spark, d, BELOW))
+    return graph.connected_components(R.edges(spark, d))
 
 
-@query("strong_components", f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges UNION SELECT r.a, target_id FROM r JOIN edges ON source_id = r.b) SELECT v.id, least(v.id, coalesce(min(x.b), v.id)) AS component FROM v LEFT JOIN r x ON x.a = v.id AND EXISTS (SELECT 1 FROM r y WHERE y.a = x.b AND y.b = v.id) GROUP BY 1")
+@query("strong_components")
 def _(spark, d):
-    return graph.strongly_connected(R.edges(spark, d, BELOW))
+    return graph.strongly_connected(R.edges(spark, d))
 
 
 @query("cross_community_edges", f"WITH {R.SYMBOLS}, {_E} SELECT source_id, target_id, edge_kind FROM edges JOIN symbols a ON a.id = source_id JOIN symbols b ON b.id = target_id WHERE a.kind <> b.kind")
 def _(spark, d):
-    return graph.cross_community(R.edges(spark, d, BELOW), R.symbols(spark, d).select("id", F.col("kind").alias("community")))
+    return graph.cross_community(R.edges(spark, d), R.symbols(spark, d).select("id", F.col("kind").alias("community")))
 
 
 @query("stale_propagation", f"""WITH RECURSIVE {_E}, {_N}, s AS (SELECT id, 0.5 + (id % 5) / 10.0 AS staleness, 0.6::DOUBLE AS delta FROM v WHERE id % 40 = 0), e AS (SELECT DISTINCT target_id AS x, source_id AS y FROM edges),
 r AS (SELECT id AS seed, id, 0 AS hop FROM s WHERE staleness * 0.5 * delta >= 0.05 UNION SELECT r.seed, y, r.hop + 1 FROM r JOIN e ON e.x = r.id JOIN s ON s.id = r.seed WHERE staleness * 0.5 * delta * pow(0.5, r.hop) >= 0.05),
 m AS (SELECT seed, id, min(hop) AS hop FROM r GROUP BY 1, 2) SELECT m.id, round(max(staleness * 0.5 * delta * pow(0.5, hop - 1)), 6) AS induced FROM m JOIN s ON s.id = m.seed WHERE hop > 0 GROUP BY 1""")
 def _(spark, d):
-    e = R.edges(spark, d, BELOW)
+    e = R.edges(spark, d)
     seeds = graph.nodes(e).filter("id % 40 = 0").select("id", (F.col("id") % 5 / 10.0 + 0.5).alias("staleness"), F.lit(0.6).alias("delta"))
     return graph.propagate_staleness(e, seeds, 0.5, 0.05).withColumn("induced", F.round("induced", 6))
 
@@ -100,36 +99,36 @@ def _(spark, d):
 @query("epicenter_trace")
 def _(spark, d):
     fp = R.fingerprints(spark, d)
-    e = R.edges(spark, d).filter("source_id < 150 AND target_id < 150")
+    e = R.edges(spark, d)
     return graph.trace_epicenters(e, fp, fp.select(F.col("symbol_id").alias("id")).distinct(), 0.15, 10)
 
 
 @query("louvain")
 def _(spark, d):
-    return graph_local.louvain(R.edges(spark, d, BELOW))
+    return graph_local.louvain(R.edges(spark, d))
 
 
 @query("betweenness")
 def _(spark, d):
-    return graph_local.betweenness(R.edges(spark, d, BELOW)).withColumn("score", F.round("score", 10))
+    return graph_local.betweenness(R.edges(spark, d)).withColumn("score", F.round("score", 10))
 
 
 @query("toposort")
 def _(spark, d):
     s = R.symbols(spark, d).select("id", "file_path")
-    e = R.edges(spark, d, 3000).join(s.select(F.col("id").alias("source_id"), "file_path"), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("file_path").alias("f2")), "target_id").filter("file_path = f2")
+    e = R.edges(spark, d).join(s.select(F.col("id").alias("source_id"), "file_path"), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("file_path").alias("f2")), "target_id").filter("file_path = f2")
     return graph_local.toposort(e.select("file_path", "source_id", "target_id"), "file_path")
 
 
 @query("trait_clusters")
 def _(spark, d):
     s = R.symbols(spark, d)
-    calls = R.edges(spark, d, 2000).join(s.select(F.col("id").alias("source_id"), F.col("file_path").alias("consumer")), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("file_path").alias("trait"), F.col("qualified_name").alias("method")), "target_id")
+    calls = R.edges(spark, d).join(s.select(F.col("id").alias("source_id"), F.col("file_path").alias("consumer")), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("file_path").alias("trait"), F.col("qualified_name").alias("method")), "target_id")
     return graph_local.trait_clusters(calls.groupBy("trait", "method").agg(F.collect_set("consumer").alias("consumers")))
 
 
 @query("interesting_paths")
 def _(spark, d):
-    e = R.edges(spark, d, BELOW)
+    e = R.edges(spark, d)
     n = R.symbols(spark, d).select("id", F.col("kind").alias("layer"), F.col("file_path").alias("file"), (F.col("size") / 1000.0).alias("centrality"))
     return graph_local.interesting_path(e, n, graph.nodes(e).filter("id % 100 = 1"), 6, 500)

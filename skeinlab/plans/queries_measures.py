@@ -46,11 +46,11 @@ def _(spark, d):
     return A.coupling_matrix(_coupling(spark, d), F.col("file_a") % 10, F.col("file_b") % 10).withColumn("mean_score", F.round("mean_score", 6))
 
 
-_W = "w AS (SELECT symbol_id, count(*) / 1000.0 AS weight FROM fp WHERE symbol_id % 7 <> 0 GROUP BY 1)"
+_W = "w AS (SELECT symbol_id, count(*) / 1000.0 AS weight FROM fp WHERE config_changed GROUP BY 1)"
 
 
 def _weights(fp):
-    return fp.filter("symbol_id % 7 <> 0").groupBy("symbol_id").agg((F.count(F.lit(1)) / 1000.0).alias("weight"))
+    return fp.filter("config_changed").groupBy("symbol_id").agg((F.count(F.lit(1)) / 1000.0).alias("weight"))
 
 
 _VEL = f"""{R.FINGERPRINTS}, {_W}, v AS (SELECT day, coalesce(sum(coalesce(weight, 0) * greatest(delta_sem - 0.15, 0)) / nullif(sum(coalesce(weight, 0)), 0), 0) AS shift, count(*) AS regenerated, count(*) FILTER (WHERE delta_sem > 0.15) AS above_noise
@@ -205,11 +205,11 @@ def _(spark, d):
     return f.agg(F.floor(F.sum(F.col("score") * F.col("loc")) / F.sum("loc") + 0.5).cast("double").alias("score"))
 
 
-@query("compare_runs", "WITH b AS (SELECT p_brand, max(p_size) AS s FROM part WHERE p_partkey % 40 = 0 GROUP BY 1), a AS (SELECT p_brand, max(p_size) AS s FROM part WHERE p_partkey % 40 = 1 GROUP BY 1) SELECT p_brand, b.s AS before, a.s AS after, CASE WHEN b.s IS NULL THEN 'added' WHEN a.s IS NULL THEN 'removed' WHEN a.s > b.s THEN 'improved' WHEN a.s < b.s THEN 'regressed' ELSE 'unchanged' END AS change FROM b FULL JOIN a USING (p_brand)")
+@query("compare_runs", "WITH b AS (SELECT p_brand, max(p_size) AS s FROM part WHERE p_type = 'ECONOMY' GROUP BY 1), a AS (SELECT p_brand, max(p_size) AS s FROM part WHERE p_type = 'STANDARD' GROUP BY 1) SELECT p_brand, b.s AS before, a.s AS after, CASE WHEN b.s IS NULL THEN 'added' WHEN a.s IS NULL THEN 'removed' WHEN a.s > b.s THEN 'improved' WHEN a.s < b.s THEN 'regressed' ELSE 'unchanged' END AS change FROM b FULL JOIN a USING (p_brand)")
 def _(spark, d):
     p = R.read(spark, d, "part")
-    run = lambda k: p.filter(F.col("p_partkey") % 40 == k).groupBy("p_brand").agg(F.max("p_size").alias("s"))
-    return A.compare_runs(run(0), run(1), "p_brand", "s")
+    run = lambda k: p.filter(F.col("p_type") == k).groupBy("p_brand").agg(F.max("p_size").alias("s"))
+    return A.compare_runs(run("ECONOMY"), run("STANDARD"), "p_brand", "s")
 
 
 @query("git_stats", f"""WITH {R.COMMITS} SELECT file, count(DISTINCT commit) FILTER (WHERE (915148800000000 - commits.at) / 86400000000.0 <= 30) AS commits_30d, count(DISTINCT commit) FILTER (WHERE (915148800000000 - commits.at) / 86400000000.0 <= 90) AS commits_90d, count(DISTINCT o_custkey) AS authors, round(stddev_pop(commits.at / 86400000000.0), 4) AS age_deviation FROM commits JOIN orders ON o_orderkey = commit WHERE commits.at <= 915148800000000 GROUP BY 1""")
@@ -296,11 +296,11 @@ def _(spark, d):
     return a.unionByName(b).filter(F.col("ts_us").between(at - day, at + day))
 
 
-@query("snapshot_diff", f"WITH {R.HISTORY}, b AS (SELECT symbol_id, arg_max(sir_hash, version) AS h FROM history WHERE version <= 30 AND symbol_id % 5 <> 0 GROUP BY 1), a AS (SELECT symbol_id, arg_max(sir_hash, version) AS h FROM history WHERE symbol_id % 7 <> 0 GROUP BY 1) SELECT symbol_id, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'updated' ELSE 'same' END AS change FROM b FULL JOIN a USING (symbol_id)")
+@query("snapshot_diff", f"WITH {R.HISTORY}, b AS (SELECT symbol_id, arg_max(sir_hash, version) AS h FROM history WHERE created_us < 1704672000000000 AND value > 5 GROUP BY 1), a AS (SELECT symbol_id, arg_max(sir_hash, version) AS h FROM history WHERE created_us >= 1706400000000000 GROUP BY 1) SELECT symbol_id, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'updated' ELSE 'same' END AS change FROM b FULL JOIN a USING (symbol_id)")
 def _(spark, d):
     h = R.history(spark, d)
-    b = h.filter("version <= 30 AND symbol_id % 5 <> 0").groupBy("symbol_id").agg(F.max_by("sir_hash", "version").alias("h"))
-    a = h.filter("symbol_id % 7 <> 0").groupBy("symbol_id").agg(F.max_by("sir_hash", "version").alias("h"))
+    b = h.filter("created_us < 1704672000000000 AND value > 5").groupBy("symbol_id").agg(F.max_by("sir_hash", "version").alias("h"))
+    a = h.filter("created_us >= 1706400000000000").groupBy("symbol_id").agg(F.max_by("sir_hash", "version").alias("h"))
     return temporal.snapshot_diff(b, a, "symbol_id", "h")
 
 

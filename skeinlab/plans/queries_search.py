@@ -104,11 +104,11 @@ def _(spark, d):
 _RESOLVED = "res AS (SELECT DISTINCT source_id, s.id AS target_id, edge_kind FROM edges JOIN symbols s ON s.qualified_name = target_qualified_name)"
 
 
-@query("neighbors_bidir", f"""WITH {R.named_edges_sql(2000)}, {_RESOLVED}, b AS (SELECT source_id AS symbol_id, target_id AS neighbor_id, edge_kind AS edge_type FROM res
+@query("neighbors_bidir", f"""WITH {R.named_edges_sql()}, {_RESOLVED}, b AS (SELECT source_id AS symbol_id, target_id AS neighbor_id, edge_kind AS edge_type FROM res
 UNION SELECT target_id, source_id, CASE edge_kind WHEN 'calls' THEN 'called_by' WHEN 'depends_on' THEN 'depended_on_by' ELSE 'referenced_by' END FROM res)
 SELECT symbol_id, neighbor_id, edge_type, qualified_name AS neighbor_name, file_path AS neighbor_file FROM b JOIN symbols ON id = neighbor_id""")
 def _(spark, d):
-    return joins.neighbors(R.named_edges(spark, d, 2000), R.symbols(spark, d)).select("symbol_id", "neighbor_id", "edge_type", "neighbor_name", "neighbor_file")
+    return joins.neighbors(R.named_edges(spark, d), R.symbols(spark, d)).select("symbol_id", "neighbor_id", "edge_type", "neighbor_name", "neighbor_file")
 
 
 _NAME = "(SELECT min(qualified_name) FROM symbols WHERE id % 16 <> 0)"
@@ -132,9 +132,9 @@ def _(spark, d):
     return joins.file_dependencies(R.named_edges(spark, d), R.symbols(spark, d))
 
 
-@query("orphan_symbols", f"WITH {R.SYMBOLS}, {R.edges_sql(300)} SELECT id, qualified_name FROM symbols WHERE id NOT IN (SELECT source_id FROM edges) AND id NOT IN (SELECT target_id FROM edges)")
+@query("orphan_symbols", f"WITH {R.SYMBOLS}, {R.edges_sql()} SELECT id, qualified_name FROM symbols WHERE id NOT IN (SELECT source_id FROM edges) AND id NOT IN (SELECT target_id FROM edges)")
 def _(spark, d):
-    return joins.orphans(R.symbols(spark, d), R.edges(spark, d, 300)).select("id", "qualified_name")
+    return joins.orphans(R.symbols(spark, d), R.edges(spark, d)).select("id", "qualified_name")
 
 
 @query("methods_of_type", f"WITH {R.named_edges_sql()} SELECT s.id, target_qualified_name, edge_kind, count(*) AS n FROM edges JOIN symbols s ON s.id = source_id WHERE starts_with(s.qualified_name, 'Brand#2::') AND edge_kind IN ('calls', 'type_ref') GROUP BY 1, 2, 3")
@@ -143,42 +143,42 @@ def _(spark, d):
     return R.named_edges(spark, d).filter(F.col("edge_kind").isin("calls", "type_ref")).join(s, F.col("source_id") == s["id"]).groupBy("id", "target_qualified_name", "edge_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("asof_latest", f"""WITH {R.HISTORY}, r AS (SELECT symbol_id, created_us, sir_hash, version FROM history WHERE version % 3 = 0), l AS (SELECT symbol_id, id, created_us AS at_us FROM history)
+@query("asof_latest", f"""WITH {R.HISTORY}, r AS (SELECT symbol_id, created_us, sir_hash, version FROM history WHERE sir_hash IN ('error', 'click')), l AS (SELECT symbol_id, id, created_us AS at_us FROM history)
 SELECT l.symbol_id, l.id, l.at_us, r.created_us AS matched_created_us, r.sir_hash AS matched_sir_hash, r.version AS matched_version FROM l ASOF LEFT JOIN r ON l.symbol_id = r.symbol_id AND l.at_us >= r.created_us""")
 def _(spark, d):
     h = R.history(spark, d)
-    right = h.filter("version % 3 = 0").select("symbol_id", "created_us", "sir_hash", "version")
+    right = h.filter("sir_hash IN ('error', 'click')").select("symbol_id", "created_us", "sir_hash", "version")
     left = h.select("symbol_id", "id", F.col("created_us").alias("at_us"))
     return joins.asof(left, right, "symbol_id", "at_us", "created_us", ["version"], ["sir_hash"]).join(right.select("symbol_id", F.col("created_us").alias("matched_created_us"), F.col("version").alias("matched_version")), ["symbol_id", "matched_created_us"], "left")
 
 
-@query("boundary_edges", f"""WITH {R.SYMBOLS}, {R.edges_sql(2000)} SELECT a.file_path AS source_community, b.file_path AS target_community, count(*) AS n FROM edges JOIN symbols a ON a.id = source_id JOIN symbols b ON b.id = target_id WHERE a.file_path <> b.file_path GROUP BY 1, 2""")
+@query("boundary_edges", f"""WITH {R.SYMBOLS}, {R.edges_sql()} SELECT a.file_path AS source_community, b.file_path AS target_community, count(*) AS n FROM edges JOIN symbols a ON a.id = source_id JOIN symbols b ON b.id = target_id WHERE a.file_path <> b.file_path GROUP BY 1, 2""")
 def _(spark, d):
     c = R.symbols(spark, d).select(F.col("id").alias("node"), F.col("file_path").alias("community"))
-    return joins.boundary_edges(R.edges(spark, d, 2000), c).groupBy("source_community", "target_community").agg(F.count(F.lit(1)).alias("n"))
+    return joins.boundary_edges(R.edges(spark, d), c).groupBy("source_community", "target_community").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("new_boundary_edges", f"""WITH {R.SYMBOLS}, {R.edges_sql(2000)}, {R.edges_sql(1000, 'old')} SELECT DISTINCT source_id, target_id FROM edges e JOIN symbols a ON a.id = source_id JOIN symbols b ON b.id = target_id WHERE a.file_path <> b.file_path
+@query("new_boundary_edges", f"""WITH {R.SYMBOLS}, {R.edges_sql()}, {R.OLD_EDGES} SELECT DISTINCT source_id, target_id FROM edges e JOIN symbols a ON a.id = source_id JOIN symbols b ON b.id = target_id WHERE a.file_path <> b.file_path
 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.source_id = e.source_id AND o.target_id = e.target_id)""")
 def _(spark, d):
     c = R.symbols(spark, d).select(F.col("id").alias("node"), F.col("file_path").alias("community"))
-    return joins.boundary_edges(R.edges(spark, d, 2000), c, R.edges(spark, d, 1000)).select("source_id", "target_id").distinct()
+    return joins.boundary_edges(R.edges(spark, d), c, R.old_edges(spark, d)).select("source_id", "target_id").distinct()
 
 
-@query("reconcile_plan", f"""WITH {R.SYMBOLS}, stale AS (SELECT id, file_path, qualified_name, kind, size AS last_seen FROM symbols WHERE id % 5 = 0), cur AS (SELECT * FROM symbols WHERE id % 5 <> 0),
+@query("reconcile_plan", f"""WITH {R.SYMBOLS}, stale AS (SELECT id, file_path, qualified_name, kind, size AS last_seen FROM symbols WHERE size <= 10), cur AS (SELECT * FROM symbols WHERE size > 10),
 c AS (SELECT file_path, qualified_name, kind, count(*) AS n, max(id) AS new_id FROM cur GROUP BY 1, 2, 3),
 j AS (SELECT s.id, coalesce(n, 0) AS n, new_id, row_number() OVER (PARTITION BY new_id ORDER BY last_seen DESC, s.id DESC) AS r FROM stale s LEFT JOIN c USING (file_path, qualified_name, kind))
 SELECT id, CASE WHEN n = 1 AND r = 1 THEN 'migrate' ELSE 'prune' END AS action, CASE WHEN n = 1 AND r = 1 THEN new_id END AS new_id FROM j""")
 def _(spark, d):
     s = R.symbols(spark, d)
-    return joins.reconcile(s.filter("id % 5 = 0").withColumn("last_seen", F.col("size")), s.filter("id % 5 <> 0"))
+    return joins.reconcile(s.filter("size <= 10").withColumn("last_seen", F.col("size")), s.filter("size > 10"))
 
 
-@query("usage_matrix", f"""WITH {R.SYMBOLS}, {R.edges_sql(500)}, u AS (SELECT DISTINCT t.qualified_name AS method, s.file_path AS f FROM edges JOIN symbols s ON s.id = source_id JOIN symbols t ON t.id = target_id WHERE edge_kind = 'calls')
+@query("usage_matrix", f"""WITH {R.SYMBOLS}, {R.edges_sql()}, u AS (SELECT DISTINCT t.qualified_name AS method, s.file_path AS f FROM edges JOIN symbols s ON s.id = source_id JOIN symbols t ON t.id = target_id WHERE edge_kind = 'calls')
 SELECT m.qualified_name AS method, coalesce(string_agg(f, ',' ORDER BY f), '') AS consumers, count(f) AS n_consumers FROM (SELECT DISTINCT qualified_name FROM symbols) m LEFT JOIN u ON u.method = m.qualified_name GROUP BY 1""")
 def _(spark, d):
     s = R.symbols(spark, d)
-    calls = R.edges(spark, d, 500).filter("edge_kind = 'calls'").join(s.select(F.col("id").alias("source_id"), F.col("file_path").alias("consumer_file")), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("method")), "target_id")
+    calls = R.edges(spark, d).filter("edge_kind = 'calls'").join(s.select(F.col("id").alias("source_id"), F.col("file_path").alias("consumer_file")), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("method")), "target_id")
     m = joins.usage_matrix(s.select(F.col("qualified_name").alias("method")).distinct(), calls)
     return m.select("method", F.array_join("consumers", ",").alias("consumers"), F.size("consumers").cast("long").alias("n_consumers"))
 
@@ -197,6 +197,6 @@ def _(spark, d):
     return R.symbols(spark, d).join(docs, "id", "left").filter(F.coalesce(F.btrim("text"), F.lit("")) == "").select("id")
 
 
-@query("stale_symbols", f"WITH {R.SYMBOLS}, {R.edges_sql(300)} SELECT id FROM symbols WHERE id NOT IN (SELECT source_id FROM edges)")
+@query("stale_symbols", f"WITH {R.SYMBOLS}, {R.edges_sql()} SELECT id FROM symbols WHERE id NOT IN (SELECT source_id FROM edges)")
 def _(spark, d):
-    return R.symbols(spark, d).join(R.edges(spark, d, 300).select(F.col("source_id").alias("id")), "id", "left_anti").select("id")
+    return R.symbols(spark, d).join(R.edges(spark, d).select(F.col("source_id").alias("id")), "id", "left_anti").select("id")

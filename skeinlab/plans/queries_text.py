@@ -36,11 +36,11 @@ def _(spark, d):
 _MARK = lambda words: " + ".join(f"CAST(regexp_matches(t, '(^|[^a-z0-9]){w}($|[^a-z0-9])') AS INTEGER)" for w in words)
 
 
-@query("quality_signals", f"""WITH x AS (SELECT doc_id, trim(text) AS s, lower(trim(text)) AS t FROM documents WHERE n_chars < 400), v AS (SELECT doc_id, least(({_MARK(X.BEHAVIOR_WORDS)}) / 4.0, 1) AS behavioral_depth,
+@query("quality_signals", f"""WITH x AS (SELECT doc_id, trim(text) AS s, lower(trim(text)) AS t FROM documents), v AS (SELECT doc_id, least(({_MARK(X.BEHAVIOR_WORDS)}) / 4.0, 1) AS behavioral_depth,
 least(({_MARK(X.ERROR_WORDS)}) / 2.0, 1) AS error_coverage, least(length(s) / 300.0, 1) AS length_score FROM x) SELECT doc_id, round(behavioral_depth, 6) AS behavioral_depth, round(error_coverage, 6) AS error_coverage, round(length_score, 6) AS length_score FROM v""")
 def _(spark, d):
     q = X.quality_signals(F.col("text"))
-    return R.read(spark, d, "documents").filter("n_chars < 400").select("doc_id", *[F.round(q[k], 6).alias(k) for k in ("behavioral_depth", "error_coverage", "length_score")])
+    return R.read(spark, d, "documents").select("doc_id", *[F.round(q[k], 6).alias(k) for k in ("behavioral_depth", "error_coverage", "length_score")])
 
 
 _DIFF = "CASE WHEN e > 2 THEN 30 WHEN e > 0 THEN 10 ELSE 0 END + CASE WHEN s > 1 THEN 25 WHEN s > 0 THEN 10 ELSE 0 END + CASE WHEN d > 5 THEN 20 WHEN d > 2 THEN 10 ELSE 0 END + CASE WHEN c THEN 25 ELSE 0 END"
@@ -87,10 +87,10 @@ def _(spark, d):
     return _staleness(spark, d).groupBy(X.staleness_band(F.col("staleness")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prompt_hashes", """WITH x AS (SELECT symbol_id, array_agg(sir_hash ORDER BY version) AS hs, min(sir_hash) AS a, max(sir_hash) AS b FROM (SELECT user_id AS symbol_id, event_type AS sir_hash, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events) WHERE version <= 3 GROUP BY 1)
+@query("prompt_hashes", """WITH x AS (SELECT symbol_id, array_agg(sir_hash ORDER BY version) AS hs, min(sir_hash) AS a, max(sir_hash) AS b FROM (SELECT user_id AS symbol_id, event_type AS sir_hash, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events) GROUP BY 1)
 SELECT symbol_id, left(sha256(a), 16) || '|' || left(sha256(array_to_string(list_sort(hs), chr(10))), 16) || '|' || left(sha256(b), 16) AS prompt_hash FROM x""")
 def _(spark, d):
-    h = R.history(spark, d).filter("version <= 3").groupBy("symbol_id").agg(F.collect_list("sir_hash").alias("hs"), F.min("sir_hash").alias("a"), F.max("sir_hash").alias("b"))
+    h = R.history(spark, d).groupBy("symbol_id").agg(F.collect_list("sir_hash").alias("hs"), F.min("sir_hash").alias("a"), F.max("sir_hash").alias("b"))
     return h.select("symbol_id", X.prompt_hash(F.col("a"), F.col("hs"), F.col("b")).alias("prompt_hash"))
 
 
@@ -121,20 +121,20 @@ def _(spark, d):
     return R.read(spark, d, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
 
 
-@query("merge_upsert", "WITH u AS (SELECT p_partkey AS id, p_size AS v, 1 AS ver, p_size AS hits FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_size + 1, 2, 0 FROM part WHERE p_partkey % 3 = 0) SELECT id, arg_max(v, ver) AS v, CAST(max(ver) AS INTEGER) AS ver, max(hits) AS hits FROM u GROUP BY 1")
+@query("merge_upsert", "WITH u AS (SELECT p_partkey AS id, p_size AS v, 1 AS ver, p_size AS hits FROM part WHERE p_size <= 30 UNION ALL SELECT p_partkey, p_size + 1, 2, 0 FROM part WHERE p_retailprice >= 1000) SELECT id, arg_max(v, ver) AS v, CAST(max(ver) AS INTEGER) AS ver, max(hits) AS hits FROM u GROUP BY 1")
 def _(spark, d):
     p = R.read(spark, d, "part")
-    a = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"), F.lit(1).alias("ver"), F.col("p_size").alias("hits"))
-    b = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 1).alias("v"), F.lit(2).alias("ver"), F.lit(0).alias("hits"))
+    a = p.filter("p_size <= 30").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"), F.lit(1).alias("ver"), F.col("p_size").alias("hits"))
+    b = p.filter("p_retailprice >= 1000").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 1).alias("v"), F.lit(2).alias("ver"), F.lit(0).alias("hits"))
     return tables.merge(a, b, ["id"], "ver", keep=["hits"])
 
 
-@query("fsck", f"""WITH {R.SYMBOLS}, {R.edges_sql(300)}, rec AS (SELECT doc_id AS id FROM documents), vec AS (SELECT vec_id AS id FROM embeddings)
+@query("fsck", f"""WITH {R.SYMBOLS}, {R.edges_sql()}, rec AS (SELECT doc_id AS id FROM documents), vec AS (SELECT vec_id AS id FROM embeddings)
 SELECT 'record_without_symbol' AS "check", (SELECT count(*) FROM rec WHERE id NOT IN (SELECT id FROM symbols)) AS n UNION ALL SELECT 'symbol_without_record', (SELECT count(*) FROM symbols WHERE id NOT IN (SELECT id FROM rec)) UNION ALL
 SELECT 'vector_without_record', (SELECT count(*) FROM vec WHERE id NOT IN (SELECT id FROM rec)) UNION ALL SELECT 'record_without_vector', (SELECT count(*) FROM rec WHERE id NOT IN (SELECT id FROM vec)) UNION ALL
 SELECT 'edge_without_source', (SELECT count(*) FROM edges WHERE source_id NOT IN (SELECT id FROM symbols)) UNION ALL SELECT 'edge_without_target', (SELECT count(*) FROM edges WHERE target_id NOT IN (SELECT id FROM symbols))""")
 def _(spark, d):
-    return tables.fsck(R.symbols(spark, d), R.read(spark, d, "documents").select(F.col("doc_id").alias("id")), R.vectors(spark, d).select("id"), R.edges(spark, d, 300))
+    return tables.fsck(R.symbols(spark, d), R.read(spark, d, "documents").select(F.col("doc_id").alias("id")), R.vectors(spark, d).select("id"), R.edges(spark, d))
 
 
 @query("domain_stats", "SELECT lang AS domain, count(*) AS units, count(DISTINCT source) AS records, max(n_chars) AS latest FROM documents GROUP BY 1")

@@ -21,32 +21,30 @@ SYMBOLS = "symbols AS (SELECT p_partkey AS id, p_brand || '::' || replace(p_name
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
 
 
-def edges(spark, d, below: int | None = None) -> DataFrame:
+def edges(spark, d) -> DataFrame:
     """Dependency edges: each line of an order depends on the next one's part; repeats count."""
     li = read(spark, d, "lineitem")
-    li = li.filter(F.col("l_orderkey") < below) if below else li
     kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "depends_on").otherwise("type_ref")
     target = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy(*_ORDER))
     return li.select(F.col("l_partkey").alias("source_id"), target.alias("target_id"), kind.alias("edge_kind")).filter("target_id IS NOT NULL")
 
 
-def edges_sql(below: int | None = None, name: str = "edges") -> str:
-    where = f" WHERE l_orderkey < {below}" if below else ""
+def edges_sql(name: str = "edges") -> str:
     return (
         f"{name} AS (SELECT * FROM (SELECT l_partkey AS source_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS target_id, "
-        f"CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'depends_on' ELSE 'type_ref' END AS edge_kind FROM lineitem{where}) WHERE target_id IS NOT NULL)"
+        f"CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'depends_on' ELSE 'type_ref' END AS edge_kind FROM lineitem) WHERE target_id IS NOT NULL)"
     )
 
 
-def named_edges(spark, d, below: int | None = None) -> DataFrame:
+def named_edges(spark, d) -> DataFrame:
     """Edges whose target is a name, resolved late: one in 16 names does not resolve."""
     s = symbols(spark, d).select(F.col("id").alias("target_id"), F.col("qualified_name").alias("t"), F.col("id").alias("k"))
     name = F.when(F.col("k") % 16 == 0, F.concat(F.lit("extern::"), "t")).otherwise(F.col("t"))
-    return edges(spark, d, below).join(s, "target_id").select("source_id", name.alias("target_qualified_name"), "edge_kind")
+    return edges(spark, d).join(s, "target_id").select("source_id", name.alias("target_qualified_name"), "edge_kind")
 
 
-def named_edges_sql(below: int | None = None) -> str:
-    return f"{SYMBOLS}, {edges_sql(below, 'id_edges')}, edges AS (SELECT source_id, CASE WHEN s.id % 16 = 0 THEN 'extern::' || s.qualified_name ELSE s.qualified_name END AS target_qualified_name, edge_kind FROM id_edges JOIN symbols s ON s.id = target_id)"
+def named_edges_sql() -> str:
+    return f"{SYMBOLS}, {edges_sql('id_edges')}, edges AS (SELECT source_id, CASE WHEN s.id % 16 = 0 THEN 'extern::' || s.qualified_name ELSE s.qualified_name END AS target_qualified_name, edge_kind FROM id_edges JOIN symbols s ON s.id = target_id)"
 
 
 def fingerprints(spark, d) -> DataFrame:
@@ -88,3 +86,13 @@ def vectors(spark, d) -> DataFrame:
 
 
 VECTORS = "vectors AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS file, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
+
+
+def old_edges(spark, d) -> DataFrame:
+    """Edges of the orders placed before 1997: an earlier snapshot of the graph."""
+    li = read(spark, d, "lineitem").join(read(spark, d, "orders").filter("o_orderdate < TIMESTAMP_NTZ'1997-01-01 00:00:00'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    target = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy(*_ORDER))
+    return li.select(F.col("l_partkey").alias("source_id"), target.alias("target_id")).filter("target_id IS NOT NULL")
+
+
+OLD_EDGES = f"old AS (SELECT * FROM (SELECT l_partkey AS source_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS target_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')) WHERE target_id IS NOT NULL)"
