@@ -94,7 +94,7 @@ def causes(edges: DataFrame, changes: DataFrame, files: DataFrame, coupling: Dat
     return j.select("id", "depth", score.alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
 
 
-def rings(edges: DataFrame, start: DataFrame, layers: DataFrame, depth: int, per_level: int = 500) -> DataFrame:
+def rings(edges: DataFrame, start: DataFrame, layers: DataFrame, depth: int, per_level: int | None = 500) -> DataFrame:
     """(depth, layer, n): dependents by distance and layer; a level shows at most `per_level`."""
     r = graph.k_hop(edges, start, depth, "in", per_level)
     return r.join(layers, "id", "left").groupBy("depth", "layer").agg(F.count(F.lit(1)).alias("n"))

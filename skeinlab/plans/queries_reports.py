@@ -77,7 +77,7 @@ def _(spark, d):
 m AS (SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1) SELECT depth, kind AS layer, count(*) AS n FROM m LEFT JOIN symbols USING (id) GROUP BY 1, 2""")
 def _(spark, d):
     e = R.edges(spark, d)
-    return reports.rings(e, e.agg(F.max("target_id").alias("id")), R.symbols(spark, d).select("id", F.col("kind").alias("layer")), 5)
+    return reports.rings(e, e.agg(F.max("target_id").alias("id")), R.symbols(spark, d).select("id", F.col("kind").alias("layer")), 5, None)
 
 
 @query("file_view", f"WITH {R.SYMBOLS}, {R.edges_sql()} SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file FROM edges JOIN symbols a ON a.id = source_id JOIN symbols b ON b.id = target_id WHERE a.file_path <> b.file_path")
