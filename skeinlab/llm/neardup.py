@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skeinlab.llm.common import Scratch, WordHasher, clean_words, mix64, window_hashes
+from skeinlab.llm.common import Scratch, WordHasher, clean_words, mix64, partitions, window_hashes
 from skeinlab.llm.graph import components
 
 WIDTH, PERCENT = 5, 80
@@ -19,6 +19,8 @@ BANDS, ROWS = 32, 4
 SKETCH_WORDS = 8
 #: The screen lets through pairs estimated above the threshold less this margin (seven standard errors or so).
 MARGIN = 0.25
+#: Members of a block: buckets are compared block against block.
+BLOCK = 1000
 
 
 def shingle_set(text: str | None, width: int, hasher: WordHasher) -> np.ndarray:
@@ -119,13 +121,98 @@ def _confirm(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, width: int, pe
     return out
 
 
+def _tiles(rest: DataFrame, *bucket: str) -> DataFrame:
+    """Members of buckets dealt to tiles (i, j), i <= j: pairs of blocks of about BLOCK members each."""
+    many = rest.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_m"))
+    out = rest.join(many, list(bucket)).withColumn("_c", F.ceil(F.col("_m") / BLOCK).cast("int"))
+    out = out.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_c")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    return out.withColumn("i", F.least("_b", "_o")).withColumn("j", F.greatest("_b", "_o"))
+
+
+def _runs(batches, keys: int):
+    """Tables of the rows of one key each, from batches sorted by their first `keys` columns."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if not t.num_rows:
+            continue
+        k = np.column_stack([t.column(c).to_numpy() for c in range(keys)])
+        cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            yield t.slice(s, e - s)
+        held = t.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _able(percent: int, samples: int):
+    """Members of a tile whose size and sketch allow a link to a member of another component."""
+    n_bits = 64 * SKETCH_WORDS
+    most = n_bits / 2 * (1 - math.exp(-4 * samples * (1 - (percent / 100 - MARGIN)) / n_bits))
+
+    def f(batches):
+        for t in _runs(batches, 4):
+            component, n = t.column("component").to_numpy(), t.column("n").to_numpy()
+            sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+            keep = np.zeros(len(n), bool)
+            for k in range(len(n)):
+                ok = (component != component[k]) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * percent)
+                if ok.any():
+                    keep[k] = (np.bitwise_count(sketch[ok] ^ sketch[k]).sum(axis=1) <= most).any()
+            if keep.any():
+                yield from t.select(["band", "h", "i", "j", "id", "component"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return f
+
+
+def _linked(percent: int):
+    """Links between components of a tile, on full sets: enough of them to join whatever they join."""
+
+    def f(batches):
+        for t in _runs(batches, 4):
+            ids, component = t.column("id").to_pylist(), t.column("component").to_pylist()
+            lists = t.column("shingles").combine_chunks()
+            n = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(ids)), n)
+            _, code, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            shared = times[code] > 1  # shingles of one member alone are in no intersection
+            kept, code = np.unique(code[shared], return_inverse=True)
+            owner = owner[shared]
+            both = np.zeros((len(ids), len(ids)), np.float32)
+            order = np.argsort(code, kind="stable")
+            owner, code = owner[order], code[order]
+            for at in range(0, len(kept), 1024):
+                lo, hi = np.searchsorted(code, [at, at + 1024])
+                m = np.zeros((len(ids), 1024), np.float32)
+                m[owner[lo:hi], code[lo:hi] - at] = 1.0
+                both += m @ m.T
+            x, y = np.nonzero(np.triu(both * 100 >= (n[:, None] + n[None, :] - both) * percent, 1))
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            out = []
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                ca, cb = find(component[a]), find(component[b])
+                if ca != cb:
+                    root[max(ca, cb)] = min(ca, cb)
+                    out.append((ids[a], ids[b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return f
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document: components of links of Jaccard similarity >= percent / 100.
 
     Documents with one shingle set collapse to their smallest id first. In each band bucket all members
-    are compared with the smallest only; then, where a bucket still joins different components, members of
-    different components are compared with each other, in a join that emits only pairs which pass the
-    sketch screen. Links inside a component that is already known change nothing and are not sought.
+    are compared with the smallest only; then, where a bucket still holds different components, its members
+    are compared block against block inside tasks of bounded size, which emit no pairs but the links that
+    join components. Links inside a component that is already known change nothing and are not sought.
 
     Null and empty texts have no shingles and stand alone; ids are taken to be distinct, and repeated rows
     of one id give one row; rows without an id are left out; an empty table gives no rows.
@@ -146,13 +233,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # Buckets that still hold members of different components.
     label = joint.join(known, joint["id"] == known["node"], "left").select("band", "h", "id", "lead", F.coalesce("component", "id").alias("component"))
     mixed = label.groupBy("band", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi AND many > 2").select("band", "h")
-    rest = label.join(mixed, ["band", "h"]).join(reps.select("id", "n", "sketch"), "id").select("band", "h", "id", "lead", "component", "n", "sketch")
-    rest = scratch.cut(rest, "rest")
-    left = rest.select(*[F.col(c).alias(f"l_{c}") for c in rest.columns])
-    on = (F.col("band") == F.col("l_band")) & (F.col("h") == F.col("l_h")) & (F.col("l_id") < F.col("id")) & (F.col("component") != F.col("l_component")) & (F.col("l_id") != F.col("lead"))
-    on = on & (F.least("n", "l_n") * 100 >= F.greatest("n", "l_n") * percent) & screen(F.col("sketch"), F.col("l_sketch"), percent, bands * rows)
-    more = rest.join(left, on).groupBy("l_id", "id").agg(F.first("band").alias("_")).select(F.col("l_id").alias("a"), F.col("id").alias("b"))
-    links = links.unionByName(_confirm(more, alike, reps, width, percent, bands * rows, scratch, "rest-pairs"))
+    rest = label.join(mixed, ["band", "h"]).join(reps.select("id", "n", "sketch"), "id")
+    rest = scratch.cut(_tiles(rest, "band", "h").select("band", "h", "i", "j", "id", "component", "n", "sketch"), "rest")
+    tile = ["band", "h", "i", "j"]
+    parts = partitions(spark)
+    able = rest.repartition(parts, *tile).sortWithinPartitions(*tile).mapInArrow(_able(percent, bands * rows), "band int, h long, i int, j int, id long, component long")
+    able = scratch.cut(able, "able")
+    sets = scratch.cut(_sets(alike.join(able.select("id").distinct(), "id", "left_semi").select("id", "text"), width), "able-sets")
+    full = able.join(sets, "id").select(*tile, "id", "component", "shingles")
+    more = full.repartition(parts, *tile).sortWithinPartitions(*tile).mapInArrow(_linked(percent), "a long, b long").distinct()
+    links = links.unionByName(scratch.cut(more, "rest-links"))
     # Copies hang on their representative and need no rounds of their own.
     found = scratch.cut(components(links, scratch, "cc-all"), "found")
     rep_of = sigs.filter("n > 0").join(copies, ["sig", "n"]).select("id", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
