@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as e
 
 SF = "/root/testdata/sf0.001"
-SOME = ("coupling_mine", "edge_resolve", "asof_latest", "velocity_ema", "confidence_percentile", "version_dedupe", "leaky_bucket", "snapshot_diff", "connected_components", "fsck")
+SOME = ("coupling_mine", "edge_resolve", "asof_latest", "velocity_ema", "confidence_percentile", "version_dedupe", "leaky_bucket", "snapshot_diff", "khop_min_depth", "fsck")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the synthetic tables")
 
