@@ -105,10 +105,11 @@ def mcd(rows: DataFrame, group: list[str], scratch: Scratch, support: float = SU
         for j in range(i + 1):
             middle = middle.withColumn(f"l_{i}_{j}", F.lit(FEATURES[names[i]] if i == j else 0.0))
     est = scratch.cut(middle, "mcd-start")
+    n = est.count()  # groups, the same in every step
     for step in range(steps):
-        est_small = bounded_broadcast(est)
-        near = rows.alias("r").join(est_small.alias("t"), keys).select("r.*", _distance(names).alias("_d"))
-        edge = bounded_broadcast(scratch.cut(near.groupBy(*group).agg(F.percentile_approx("_d", support, 1000).alias("_edge")), f"mcd-edge{step}"))
+        near = rows.alias("r").join(bounded_broadcast(est, n).alias("t"), keys).select("r.*", _distance(names).alias("_d"))
+        edge = near.groupBy(*group).agg(F.percentile_approx("_d", support, 1000).alias("_edge"))
+        edge = bounded_broadcast(scratch.cut(edge, f"mcd-edge{step}"), n)
         kept = near.alias("r").join(edge.alias("t"), keys).filter("_d <= _edge").select("r.*")
         est = scratch.cut(_estimate(kept, group, names), f"mcd-step{step}")
     return est
@@ -130,15 +131,22 @@ def quality_outliers(docs: DataFrame, carry: tuple[str, ...] | None = None, lang
     columns = list(docs.columns if carry is None else carry)
     rows = transformed(base_statistics(docs, text_col).withColumn("_lang", F.col(lang_col)).withColumn("_source", F.col(source_col)))
     rows = scratch.cut(rows.select(*columns, "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *names), "statistics")
-    good = rows.filter("NOT base_failed").select("_lang", "_source", *names)
-    levels = []
-    for k, group in enumerate((["_lang", "_source"], ["_lang"], ["_all"])):
-        own = good.withColumn("_all", F.lit(0))
-        levels.append(mcd(own, group, scratch).select(*[F.col(g).alias(f"g{k}_{g}") for g in group], F.col("_rows").alias(f"_rows{k}"), F.struct(*[f"m_{x}" for x in names], *[f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)]).alias(f"_est{k}")))
-    a, b, c = (bounded_broadcast(x) for x in levels)
-    out = rows.join(a, rows["_lang"].eqNullSafe(F.col("g0__lang")) & rows["_source"].eqNullSafe(F.col("g0__source")), "left")
-    out = out.join(b, out["_lang"].eqNullSafe(F.col("g1__lang")), "left").withColumn("_one", F.lit(0)).join(c, F.col("_one") == F.col("g2__all"), "left")
-    est = F.when(F.col("_rows0") >= support_rows(min_group), F.col("_est0")).when(F.col("_rows1") >= support_rows(min_group), F.col("_est1")).otherwise(F.col("_est2"))
+    # Every row is in three groups: its language and source, its language, and all; one run estimates them together.
+    none = F.lit(None).cast("string")
+    groups = F.array(*[F.struct(F.lit(k).alias("_level"), x.alias("_lang"), y.alias("_source")) for k, (x, y) in enumerate(((F.col("_lang"), F.col("_source")), (F.col("_lang"), none), (none, none)))])
+    good = rows.filter("NOT base_failed").select(F.explode(groups).alias("_g"), *names).select("_g.*", *names)
+    est = mcd(good, ["_level", "_lang", "_source"], scratch)
+    n = est.count()
+    fields = F.struct(*[f"m_{x}" for x in names], *[f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)])
+    out = rows
+    for k, keys in enumerate((["_lang", "_source"], ["_lang"], [])):
+        level = est.filter(F.col("_level") == k).select(*[F.col(g).alias(f"g{k}{g}") for g in keys], F.col("_rows").alias(f"_rows{k}"), fields.alias(f"_est{k}"))
+        on = F.lit(True)
+        for g in keys:
+            on = on & F.col(g).eqNullSafe(F.col(f"g{k}{g}"))
+        out = out.join(bounded_broadcast(level, n) if keys else F.broadcast(level), on, "left")  # the last level has one row
+    enough = support_rows(min_group)
+    est = F.when(F.col("_rows0") >= enough, F.col("_est0")).when(F.col("_rows1") >= enough, F.col("_est1")).otherwise(F.col("_est2"))
     out = out.withColumn("_est", est).select("*", "_est.*")
     out = out.withColumn("distance", _distance(names))
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
