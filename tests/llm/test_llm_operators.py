@@ -350,6 +350,16 @@ def test_language_model(spark, docs, rows):
     assert language_model.score_documents(docs, F.lit(True)).count() == len(rows)
 
 
+def test_every_preceding_word_has_a_restaurant(spark):
+    pairs = [(f"left{k}", f"right{k}") for k in range(600)]  # all as frequent, so a cap would cut some
+    rng = random.Random(9)
+    train = [(2 * k, " ".join(x for p in rng.sample(pairs, 300) for x in p)) for k in range(40)]
+    asked = [(2 * k + 1, " ".join(p)) for k, p in enumerate(pairs)]
+    got = language_model.score_documents(table(spark, train + asked), F.col("doc_id") % 2 == 1).collect()
+    gain = [r.score - r.base_score for r in got if r.held_out]
+    assert len(gain) == 600 and min(gain) > 2.0  # the right word follows for certain: three digits are to be had
+
+
 def test_predictions_of_a_context_sum_to_one():
     rng = np.random.default_rng(3)
     words_, contexts = 50, 3
