@@ -47,13 +47,15 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     # Rows that are repeated would each bring all positions: of equal rows one stays.
     many = keyed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").limit(1).count()
     once = once.dropDuplicates(["row_hash"]) if many else once
-    copies = once.select(*columns, F.explode("positions").alias("training_position"))
-    return copies.repartitionByRange(partitions(spark), "training_position").sortWithinPartitions("training_position").select(columns)
+    copies = once.select(*columns, "row_hash", F.explode("positions").alias("training_position"))
+    return copies.repartitionByRange(partitions(spark), "training_position").sortWithinPartitions("training_position", "row_hash").select(columns)
 
 
 def byte_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each remaining row with its shard and slot."""
-    return sharding.shard_by_bytes(docs, N_SHARDS, keep=("lang", "source"))
+    """Each remaining row with its shard and slot, in the order in which the rows were written: by file number, file and row."""
+    name = F.col("_metadata.file_name")
+    written = (F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index"))
+    return sharding.shard_by_bytes(docs, N_SHARDS, keep=("lang", "source"), order=written)
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -35,3 +36,17 @@ def test_pipeline(spark, tmp_path):
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in run) == sorted(map(str, left["byte_shards"]))
     assert {r.shard for r in run} == set(range(8))
+
+
+def test_shards_follow_the_order_of_the_mixed_rows(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(5, 60)))
+    rows = [(k, text(), "en", f"s{k % 3}", 0) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = str(tmp_path / "mixed")
+    corpus_pipeline.mixing_weights(spark, docs, str(tmp_path)).write.parquet(out)
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    written = [k for f in files for k in pq.read_table(f).column("doc_id").to_pylist()]
+    got = corpus_pipeline.byte_shards(spark, spark.read.parquet(out), str(tmp_path)).orderBy("shard", "slot").collect()
+    assert len(files) > 1 and written != sorted(written)
+    assert [r.doc_id for r in got] == written
