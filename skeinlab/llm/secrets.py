@@ -12,12 +12,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
-# Weak parts: none of them is reported alone.
-ID_PART = r"""\b(?:AKIA[A-Z0-9]{4,}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,})"""
-KEY_PART = r"""\b(?:(?i:pass(?:word|wd)?|pwd|secret|token|api_?key|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}|(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64})"""
-END_PART = r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+[A-Za-z0-9/:._-]*|(?i:\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})"""
-#: Anything a weak part must contain; texts without it are not scanned for parts.
-HINT = r"""AKIA|://|(?i:user|login|account|client_?id|access_?key|pass|pwd|secret|token|api_?key|auth|host|endpoint|server)["']?[a-z_]{0,4}["']?\x20*[:=]"""
+# Weak parts: none of them is reported alone. A name may follow an underscore, as in DB_USER.
+ID_PART = r"""(?<![\p{L}\p{N}])(?:AKIA[A-Z0-9]{4,}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,})"""
+KEY_PART = r"""(?:(?<![\p{L}\p{N}])(?i:pass(?:word|wd)?|pwd|secret|token|api_?key|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}|\b(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64})"""
+END_PART = r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+[A-Za-z0-9/:._-]*|(?<![\p{L}\p{N}])(?i:(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})"""
 #: Most code points between the starts of parts of one credential.
 SCOPE = 200
 
@@ -76,7 +74,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _where(F.col("_t"), F.col("_t").contains("AKIA"), _spans(F.col("_t"), f"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}")).alias("_access"),
         # Greedy runs of at least the length wanted are the maximal runs of that length.
         _where(F.col("_t"), F.col("_t").rlike(f"[0-9a-f]{{{MIN_HEX},}}"), _spans(F.col("_t"), f"[0-9a-f]{{{MIN_HEX},}}")).alias("_hex"),
-        F.col("_t").rlike(HINT).alias("_hint"),
+        # Only texts with an identifier and a key can have linked parts.
+        (F.col("_t").rlike(ID_PART) & F.col("_t").rlike(KEY_PART)).alias("_hint"),
     )
     base = F.concat(_named(F.col("_assign"), "assign", 0), _named(F.col("_access"), "access", 1), _named(F.col("_hex"), "hex", 2))
     parts = rows.filter("_hint").select(

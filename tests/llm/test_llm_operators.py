@@ -177,6 +177,18 @@ def test_secrets(spark, rows):
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_in_capitals_and_with_prefixes(spark):
+    texts = {
+        1: "USERNAME=alice PASSWORD=abc12", 2: "USERNAME: alice key wJalrXUtnFEMIK7MDENGbPxRfiCY", 3: "ACCESS_KEY_ID=alice PASSWD=abc12", 4: "DB_USER=alice DB_PASS=abc12 DB_HOST=db.example",
+        5: "superuser=alice pass=abc12", 6: "DB_USER=alice alone",
+    }
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(table(spark, list(texts.items()))).collect()}
+    assert got == {
+        1: "linked_id:0:14,linked_key:15:29", 2: "linked_id:0:15,linked_key:20:48", 3: "linked_id:0:19,linked_key:20:32", 4: "linked_id:3:13,linked_key:17:27,linked_end:31:46",
+        5: "", 6: "",
+    }
+
+
 def test_licenses(spark, rows):
     mit = dict(licenses.KNOWN)["MIT"]
     text = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 500)
