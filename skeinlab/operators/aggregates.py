@@ -147,17 +147,27 @@ def predict_logistic(weights: list[float], features: list[Column]) -> Column:
 def calibrate(vectors: DataFrame, cap: int = 500, least: int = 10) -> DataFrame:
     """Midpoint of mean cosine within and between files, held to 0.3..0.95, over the first `cap` pairs of each sort.
 
-    Pairs come in order of file and id, so only the first cap + 1 vectors of the order can matter for each
-    first member; the candidates are cut to these before they are joined.
+    Pairs come in order of file and id. Within files, the files that hold the first `cap` pairs are found by
+    counts, and of a file only the first cap + 1 members can be in them. Between files, the first member
+    comes from the first file and its partners from the others, so the first `cap` members of the first
+    file and the first `cap` of all others hold the first pairs.
     """
     v = vectors.select("file", "id", "embedding").filter("file IS NOT NULL")
     by = W.orderBy("file", "id")
-    head = v.orderBy("file", "id").limit(4 * cap).withColumn("_i", F.row_number().over(by))  # enough first members for cap pairs
-    b = head.select(F.col("file").alias("file_b"), F.col("id").alias("id_b"), F.col("embedding").alias("e_b"), F.col("_i").alias("_j"))
-    pairs = head.join(b, F.col("_i") < F.col("_j"))
     sim = X.cosine(F.col("embedding"), F.col("e_b")).alias("s")
-    intra = pairs.filter("file = file_b").orderBy("_i", "_j").limit(cap).select(sim)
-    inter = pairs.filter("file <> file_b").orderBy("_i", "_j").limit(cap).select(sim)
+
+    def paired(rows: DataFrame, on: Column) -> DataFrame:
+        b = rows.select(F.col("file").alias("file_b"), F.col("embedding").alias("e_b"), F.col("_i").alias("_j"))
+        return rows.join(b, on & (F.col("_i") < F.col("_j"))).orderBy("_i", "_j").limit(cap).select(sim)
+
+    several = v.groupBy("file").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").orderBy("file").limit(cap)
+    pairs = F.col("_n") * (F.col("_n") - 1) / 2
+    several = several.withColumn("_before", F.sum(pairs).over(W.orderBy("file")) - pairs).filter(F.col("_before") < cap)  # `cap` rows at most
+    members = v.join(F.broadcast(several.select("file")), "file", "left_semi").withColumn("_r", F.row_number().over(W.partitionBy("file").orderBy("id"))).filter(F.col("_r") <= cap + 1)
+    intra = paired(members.withColumn("_i", F.row_number().over(by)), F.col("file") == F.col("file_b"))
+    tagged = v.join(F.broadcast(v.agg(F.min("file").alias("_first"))), F.lit(True))
+    head = tagged.filter("file = _first").orderBy("id").limit(cap).unionByName(tagged.filter("file > _first").orderBy("file", "id").limit(cap))
+    inter = paired(head.withColumn("_i", F.row_number().over(by)), F.col("file") != F.col("file_b"))
     a = intra.agg(F.avg("s").alias("a"), F.count("s").alias("na"))
     return a.join(inter.agg(F.avg("s").alias("b"), F.count("s").alias("nb")), F.lit(True)).select(X.clamp((F.col("a") + F.col("b")) / 2, 0.3, 0.95).alias("threshold"), (F.col("na") + F.col("nb")).alias("sample_size"))
 

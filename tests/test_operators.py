@@ -178,3 +178,22 @@ def test_snapshots(spark):
     a = spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "k int, h string")
     assert as_dict(temporal.snapshot_diff(b, a, "k", "h"), "k", "change") == {1: "removed", 2: "updated", 3: "same", 4: "added"}
     assert math.isclose(value(spark, X.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2)))), 0.5)
+
+
+def test_calibration_takes_the_first_pairs_of_each_sort(spark):
+    def brute(rows, cap):
+        rows = sorted(rows)
+        cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        pairs = [(a[0] == b[0], cos(a[2], b[2])) for k, a in enumerate(rows) for b in rows[k + 1 :]]
+        same, other = [s for t, s in pairs if t][:cap], [s for t, s in pairs if not t][:cap]
+        return max(0.3, min(0.95, (sum(same) / len(same) + sum(other) / len(other)) / 2)), len(same) + len(other)
+
+    hot = ["a"] * 30 + ["b"] * 3  # the first file holds more than 4 * cap vectors
+    alone = [f"a{k:02}" for k in range(30)] + ["b"] * 6 + ["c"] * 2  # as many files of one vector come first
+    few = ["a"] * 4 + ["b"] + ["c"] * 2  # fewer partners than cap
+    for files in (hot, alone, few):
+        rows = [(f, k, [1.0 + k % 3, 2.0 - k % 5, float(ord(f[0]) - 96)]) for k, f in enumerate(files)]
+        v = spark.createDataFrame(rows, "file string, id long, embedding array<double>")
+        got = A.calibrate(v, cap=5).first()
+        want = brute(rows, 5)
+        assert got.threshold == pytest.approx(want[0]) and got.sample_size == want[1]
