@@ -197,3 +197,13 @@ def test_calibration_takes_the_first_pairs_of_each_sort(spark):
         got = A.calibrate(v, cap=5).first()
         want = brute(rows, 5)
         assert got.threshold == pytest.approx(want[0]) and got.sample_size == want[1]
+
+
+def test_interesting_paths_runs_with_the_limits_of_the_operator(spark, monkeypatch):
+    from skeinlab.plans import queries_graph  # noqa: F401  registers the query
+    from skeinlab.plans.registry import QUERIES
+
+    seen = []
+    monkeypatch.setattr(graph_local, "interesting_path", lambda e, n, starts, max_hops=10, max_expansions=2500: seen.append((max_hops, max_expansions)))
+    QUERIES["interesting_paths"](spark, "/root/testdata/sf0.001")
+    assert seen == [(10, 2500)]
