@@ -372,28 +372,158 @@ def test_every_preceding_word_has_a_restaurant(spark):
     assert len(gain) == 600 and min(gain) > 2.0  # the right word follows for certain: three digits are to be had
 
 
+def generalised_stirling(c, d):
+    """Weights of seating c customers at t tables, summed over all seatings: S[t]."""
+    rows = [1.0]
+    for n in range(c):
+        rows = [(rows[t - 1] if t else 0.0) + (rows[t] * (n - d * t) if t < len(rows) else 0.0) for t in range(n + 2)]
+    return rows
+
+
+def test_reseating_keeps_the_posterior_of_tables():
+    copies, c, fresh, d = 30_000, 6, 1.5, 0.8
+    seating = language_model.Seating.start(np.full(copies, c), np.full(copies, fresh), d)
+    keys = np.random.default_rng(1).integers(0, 2**63, copies, dtype=np.uint64)
+    for step in range(12):
+        seating.reseat(keys, step, np.full(copies, fresh))
+    got = np.bincount(seating.tables(), minlength=c + 1) / copies
+    want = np.array([fresh**t * s for t, s in enumerate(generalised_stirling(c, d))])
+    assert np.abs(got - want / want.sum()).max() < 0.01
+    assert (seating.customers() == c).all()
+
+
+def test_adjusting_seats_whom_it_must():
+    rng = np.random.default_rng(2)
+    n, more = rng.integers(0, 9, 500), rng.integers(0, 9, 500)
+    seating = language_model.Seating.start(n, np.full(500, 0.7), 0.75)
+    seating.adjust(more, rng.integers(0, 2**63, 500, dtype=np.uint64), 3, np.full(500, 0.7))
+    assert (seating.customers() == more).all() and ((seating.tables() > 0) == (more > 0)).all() and (seating.sizes > 0).all()
+
+
+def restaurants(n, vocabulary):
+    """Word 0 ... of a table of counts by word and context, as one part; contexts hash to 1000 and on."""
+    word, context = np.nonzero(n > 1)
+    return language_model.Restaurants(word, context, n[word, context], np.arange(len(n), dtype=np.uint64), 1000 + np.arange(n.shape[1], dtype=np.uint64), (n == 1).sum(axis=1), vocabulary, 1)
+
+
 def test_predictions_of_a_context_sum_to_one():
-    rng = np.random.default_rng(3)
-    words_, contexts = 50, 3
-    n = rng.integers(0, 40, (words_, contexts))
-    keep = [(w, c) for w in range(words_) for c in range(contexts) if n[w, c]]
-    keys = np.array([w << 8 | (c + 1) for w, c in keep], np.uint64)
-    row = {"words": np.arange(words_, dtype=np.uint64).tobytes(), "events": keys.tobytes(), "n": np.array([n[x] for x in keep], np.int64).tobytes(), "part": 0}
-    vocabulary = len({w for w, _ in keep})
-    r = language_model.Restaurants(row, words_, 1)
-    customers = np.bincount(r.context, r.n, 256)
-    totals = language_model._named(np.concatenate([customers * 0.5, [n.sum() * 0.5, vocabulary]]), customers)
+    n = np.random.default_rng(3).integers(0, 40, (50, 3))
+    r = restaurants(n, 50)
+    fixed = (n == 1).sum(axis=0)
     for k in range(3):
-        r.sweep(k, totals)
-        totals = language_model._named(r.totals(), customers)
-    parent, own = r.predictive(totals)
-    unknown = (language_model.STRENGTH[0] + language_model.DISCOUNT[0] * totals["parent_tables"]) / (words_ + 1) / (language_model.STRENGTH[0] + totals["parent_customers"])
-    assert parent.sum() + unknown == pytest.approx(1.0)
-    for c in range(1, contexts + 1):
-        back = (language_model.STRENGTH[1] + language_model.DISCOUNT[1] * totals["tables"][c]) / (language_model.STRENGTH[1] + customers[c])
-        seen = r.context == c
-        rest = parent.sum() - parent[r.word[seen]].sum() + unknown
-        assert own[seen].sum() + back * rest == pytest.approx(1.0)
+        r.sweep(k, r.context_tables() + fixed, r.parent_customers().sum(), r.parent_tables().sum())
+    tables, customers = r.parent_tables().sum(), r.parent_customers().sum()
+    parent = r.parent(customers, tables)
+    (b0, b1), (a0, a1) = language_model.DISCOUNT, language_model.STRENGTH
+    assert parent.sum() + (a0 + b0 * tables) / 51 / (a0 + customers) == pytest.approx(1.0)
+    t = (n == 1).astype(float)
+    t[r.word, r.context] = r.dishes.tables()
+    own = (n - b1 * t) / (a1 + n.sum(axis=0))
+    assert (own.sum(axis=0) + (a1 + b1 * t.sum(axis=0)) / (a1 + n.sum(axis=0))) == pytest.approx(1.0)
+
+
+def plain_sampler(train, sweeps, burn, seed):
+    """Gibbs over single customers of dicts of table sizes: averaged probability of any word after any word."""
+    (b0, b1), (a0, a1) = language_model.DISCOUNT, language_model.STRENGTH
+    rng = random.Random(seed)
+    pairs = [(w, u) for doc in train for u, w in zip([None, *doc], [*doc, None], strict=True)]
+    vocabulary = len({w for w, _ in pairs})
+    below, above = collections.defaultdict(list), collections.defaultdict(list)
+    total = collections.Counter()
+
+    def p0(w):
+        n, t = sum(above[w]), len(above[w])
+        return (n - b0 * t + (a0 + b0 * total["t0"]) / (vocabulary + 1)) / (a0 + total["n0"])
+
+    def sit(tables, fresh, d):
+        x = rng.random() * (fresh + sum(tables) - d * len(tables))
+        for k, size in enumerate(tables):
+            x -= size - d
+            if x < 0:
+                tables[k] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        x = rng.randrange(sum(tables))
+        for k, size in enumerate(tables):
+            x -= size
+            if x < 0:
+                tables[k] -= 1
+                if not tables[k]:
+                    tables.pop(k)
+                    return True
+                return False
+
+    def add(w, u):
+        if sit(below[w, u], (a1 + b1 * total["t", u]) * p0(w), b1):
+            total["t", u] += 1
+            total["t0"] += sit(above[w], (a0 + b0 * total["t0"]) / (vocabulary + 1), b0)
+            total["n0"] += 1
+        total["n", u] += 1
+
+    def drop(w, u):
+        total["n", u] -= 1
+        if leave(below[w, u]):
+            total["t", u] -= 1
+            total["n0"] -= 1
+            total["t0"] -= leave(above[w])
+
+    for x in pairs:
+        add(*x)
+    sums, kept = collections.Counter(), 0
+    asked = {(w, u) for w in {w for w, _ in pairs} for u in {u for _, u in pairs}}
+    for k in range(sweeps):
+        for x in pairs:
+            drop(*x)
+            add(*x)
+        if k >= burn:
+            kept += 1
+            for w, u in asked:
+                t = below.get((w, u), ())
+                sums[w, u] += (sum(t) - b1 * len(t) + (a1 + b1 * total["t", u]) * p0(w)) / (a1 + total["n", u])
+    return {x: s / kept for x, s in sums.items()}
+
+
+def test_language_model_against_a_plain_sampler(spark):
+    rng = random.Random(12)
+    draw = lambda: VOCABULARY[min(int(rng.expovariate(0.15)), 30)]
+    train = [[draw() for _ in range(30)] for _ in range(40)]
+    known = sorted({w for d in train for w in d})
+    asked = [[rng.choice(known) for _ in range(25)] for _ in range(30)]
+    want = plain_sampler(train, 60, 20, 4)
+    place = {w: k for k, w in enumerate([*known, None])}
+    n = np.zeros((len(place), len(place)), int)
+    for d in train:
+        for u, w in zip([None, *d], [*d, None], strict=True):
+            n[place[w], place[u]] += 1
+    r, fixed, sums = restaurants(n, len(place)), (n == 1).sum(axis=0), 0.0
+    for k in range(60):
+        r.sweep(k, r.context_tables() + fixed, r.parent_customers().sum(), r.parent_tables().sum())
+        t = (n == 1).astype(float)
+        t[r.word, r.context] = r.dishes.tables()
+        p = r.parent(r.parent_customers().sum(), r.parent_tables().sum())
+        sums = sums + (k >= 20) * (n - 0.8 * t + (20 + 0.8 * t.sum(axis=0)) * p[:, None]) / (20 + n.sum(axis=0))
+    off = np.array([math.log10(sums[place[w], place[u]] / 40 / want[w, u]) for w, u in want])
+    assert abs(off.mean()) < 0.03 and off.std() < 0.06  # two runs of the plain sampler differ by as much
+    df = table(spark, [(2 * k, " ".join(d)) for k, d in enumerate(train)] + [(2 * k + 1, " ".join(d)) for k, d in enumerate(asked)])
+    got = {r.doc_id: r.score for r in language_model.score_documents(df, F.col("doc_id") % 2 == 1).collect()}
+    for k, doc in [(2 * k, d) for k, d in enumerate(train)] + [(2 * k + 1, d) for k, d in enumerate(asked)]:
+        exact = sum(math.log10(want[w, u]) for u, w in zip([None, *doc], [*doc, None], strict=True))
+        assert got[k] == pytest.approx(exact, rel=0.05)  # few sweeps
+
+
+def test_language_model_does_not_depend_on_the_layout(spark, docs):
+    held = F.col("doc_id") % 4 == 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    runs = []
+    for n in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        named = docs.repartition(n).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))  # ids may be text
+        runs.append(sorted((str(r.doc_id), round(r.base_score, 6), round(r.score, 6)) for r in language_model.score_documents(named, F.coalesce(F.substring("doc_id", 2, 9).cast("int") % 4 == 1, F.lit(True))).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == runs[1]
 
 
 def levenshtein(a, b):
