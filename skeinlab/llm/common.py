@@ -159,6 +159,47 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix64(out)
 
 
+_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_BASE = 0x9E3779B97F4A7C15
+#: A random number for each byte; fixed by its seed.
+_BYTES = np.random.default_rng(20240311).integers(0, 2**64, 256, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def hash_words(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins, and its 64-bit hash: a polynomial in its bytes' random numbers, mixed.
+
+    Sums over all bytes before each place give the words' polynomials by difference; the text goes by in
+    pieces that end in a space, so that the sums stay small enough for the cache.
+    """
+    whole = np.frombuffer(b" " + text + b" ", np.uint8)
+    starts, hashes, at = [], [], 0
+    while at < len(whole) - 1:
+        end = min(at + piece, len(whole) - 1)
+        if end < len(whole) - 1:
+            rest = _SPACES[whole[end : end + piece]]
+            while not rest.any():
+                end += len(rest)
+                rest = _SPACES[whole[end : end + piece]]
+            end += int(rest.argmax())
+        x = whole[at : end + 1]
+        inside = ~_SPACES[x]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        first, last = edges[0::2], edges[1::2]
+        if len(_powers[0]) < len(x):
+            for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+                steps = np.full(2 * len(x), np.uint64(base))
+                steps[0] = 1
+                _powers[k] = np.cumprod(steps)
+        sums = np.cumsum(_BYTES[x] * _powers[0][: len(x)])
+        starts.append(first + at)
+        hashes.append(mix64((sums[last - 1] - sums[first - 1]) * _powers[1][first]))
+        at = end
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts) - 1, np.concatenate(hashes)
+
+
 def clean_words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
