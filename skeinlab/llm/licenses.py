@@ -80,9 +80,11 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, digest of the canonical text, license_id (null if not a known text).
+    """One row for each input row: id, digest of the canonical text, license_id (null if not a known text), line_licenses.
 
     The known digests are hash-joined; they are broadcast when they number at most BROADCAST_ROWS.
+    line_licenses lists, comma-joined in order and each once, the licences of which a line of the text is an
+    entire known text; lines are looked up in one row that holds all known digests.
     Null and empty texts, and texts that hold nothing but copyright lines, have the digest of the empty text
     and no licence. Repeated rows each get a row; an empty table gives none.
     """
@@ -91,7 +93,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_t")).withColumn("digest", digest(F.col("_t")))
     few = bounded_broadcast(known.select(F.col("digest").alias("k_digest"), "license_id"))
     out = rows.join(few, rows["digest"] == F.col("k_digest"), "left")
-    return out.select(id_col, "digest", "license_id")
+    every = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("_known"))  # one row
+    lines = F.transform(F.split(F.coalesce(F.col("_t"), F.lit("")), "\n", -1), digest)
+    hits = F.array_intersect(lines, F.map_keys("_known"))
+    out = out.join(F.broadcast(every)).select("*", hits.alias("_hits"))
+    named = F.array_sort(F.array_distinct(F.transform("_hits", lambda d: F.try_element_at(F.col("_known"), d))))
+    return out.select(id_col, "digest", "license_id", F.array_join(named, ",").alias("line_licenses"))
 
 
 def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
@@ -108,5 +115,8 @@ def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
 
     rows = ", ".join(f"({q(k)}, {q(t)})" for k, t in known)
     return f"""WITH known AS (SELECT {canon('t')} AS digest, min(k) AS license_id FROM (VALUES {rows}) v(k, t) GROUP BY 1),
-d AS (SELECT doc_id, {canon('text')} AS digest FROM documents)
-SELECT d.doc_id, d.digest, known.license_id FROM d LEFT JOIN known USING (digest)"""
+m AS (SELECT map_from_entries(list((digest, license_id))) AS mp FROM known),
+d AS (SELECT doc_id, {canon('text')} AS digest, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {canon('x')}) AS lines FROM documents)
+SELECT d.doc_id, d.digest, known.license_id,
+       array_to_string(list_sort(list_distinct(list_transform(list_filter(lines, lambda x: map_contains(mp, x)), lambda x: mp[x]))), ',') AS line_licenses
+FROM d LEFT JOIN known USING (digest), m"""
