@@ -67,7 +67,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         self.vocabulary: dict[bytes, int] = {}
         self.items = []
-        self.index: dict[tuple[int, ...], list[tuple[int, int, tuple[int, ...]]]] = {}
+        self.index: dict[int, dict[tuple[int, ...], list[tuple[int, int, tuple[int, ...]]]]] = {}  # by words compared first
         found = []
         for item_id, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
@@ -79,27 +79,30 @@ class Matcher:
                 masks[s] = masks.get(s, 0) | 1 << k
             found += [(len(self.items), a, ids[a:b]) for a, b in pieces(m, e)]
             self.items.append((item_id, m, e, masks))
-        self.gram = max(1, min([4, *(len(p) for *_, p in found)]))
         for x, a, p in found:
-            self.index.setdefault(p[: self.gram], []).append((x, a, p))
-        self.bits = np.zeros(1 << 22, bool)  # a screen over the first words of all pieces
-        if found:
-            keys = np.array(list(self.index), np.uint64)
-            h = np.array([window_hashes(k, self.gram)[0] for k in keys])
-            self.bits[h & np.uint64((1 << 22) - 1)] = True
+            self.index.setdefault(min(4, len(p)), {}).setdefault(p[:4], []).append((x, a, p))
+        self.bits = {}  # a screen over the first words of all pieces
+        for gram, index in self.index.items():
+            h = np.array([window_hashes(k, gram)[0] for k in np.array(list(index), np.uint64)])
+            self.bits[gram] = np.zeros(1 << 22, bool)
+            self.bits[gram][h & np.uint64((1 << 22) - 1)] = True
 
     def find(self, text: str | None) -> dict[int, tuple[int, int, int, int]]:
         """item_id -> (distance, start_word, end_word, matches) of the best match; ties take the first."""
         words = words_of(text)
         out: dict[int, tuple[int, int, int, int]] = {}
-        if len(words) < self.gram or not self.items:
+        if not words or not self.items:
             return out
         get = self.vocabulary.get
         ids = [get(w, 0) for w in words]
-        h = window_hashes(np.array(ids, np.uint64), self.gram)
+        numbers = np.array(ids, np.uint64)
+        hits = []
+        for gram, bits in self.bits.items():
+            h = window_hashes(numbers, gram)
+            hits += [(at, gram) for at in np.flatnonzero(bits[h & np.uint64((1 << 22) - 1)]).tolist()]
         done: dict[int, int] = {}  # windows before this word are verified, by item
-        for at in np.flatnonzero(self.bits[h & np.uint64((1 << 22) - 1)]).tolist():
-            for x, a, p in self.index.get(tuple(ids[at : at + self.gram]), ()):
+        for at, gram in sorted(hits):
+            for x, a, p in self.index[gram].get(tuple(ids[at : at + gram]), ()):
                 if tuple(ids[at : at + len(p)]) != p:
                     continue
                 item_id, m, e, masks = self.items[x]
@@ -121,8 +124,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id
     """One row for each document and test item it holds: id, item_id, distance, start_word, end_word, n_matches.
 
     Every whole text is searched for every item, items in blocks of bounded size. Items and texts without
-    words (null, empty, punctuation) match nothing; equal item ids are reported as one; repeated documents
-    each get their rows; an empty table gives no rows. Distances are in words after lower-casing and
+    words (null, empty, punctuation) match nothing; items without an id are left out; texts of one item id
+    are reported as one; repeated documents each get their rows; an empty table gives no rows. Distances are in words after lower-casing and
     dropping ASCII punctuation; start and end are the best match's span, to within the edits.
     """
     spark = docs.sparkSession
@@ -132,7 +135,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id long, distance int, start_word int, end_word int, n_matches int"
     out = None
     for k in range(blocks):
-        mine = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else sized
+        mine = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else sized
         block = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in mine.toLocalIterator() if r.item_id is not None))
 
         def search(batches, block=block):
