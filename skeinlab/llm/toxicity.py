@@ -13,8 +13,6 @@ from skeinlab.llm.common import bounded_broadcast
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most (smallest hashes of the id).
 TRAIN_ROWS = 12_000
-#: Terms and stems of the lexicon, at most: the strongest.
-LEXICON = 400
 #: Log odds that a term needs, least toxic documents with it, words on either side of a hit that are its context.
 LOG_ODDS, MIN_DOCS, CONTEXT = 3.0, 4, 6
 STEM_SIZES = (4, 5, 6, 7)
@@ -42,11 +40,16 @@ class FuzzyLexicon:
         for t in stems:
             self.stem[self._node(t)] = t
         self.reach = max([0, *(e[1] for e in self.end if e)])
-        self.states: list[tuple[tuple[int, int], ...]] = []
-        self.number: dict[tuple, int] = {}
-        self.step: list[dict[str, int]] = []
+        self.states: list[tuple[tuple[int, int], ...]]
+        self.number: dict[tuple, int]
+        self.step: list[dict[str, int]]
         self.seen: dict[str, tuple[float, int] | None] = {}
         self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no states, which are built again as words need them."""
+        self.states, self.number, self.step = [], {}, []
         self.first = self._state({0: 0})
 
     def _node(self, t: str) -> int:
@@ -110,6 +113,7 @@ class FuzzyLexicon:
             return self.seen[token]
         if len(self.seen) >= self.most:
             self.seen.clear()
+            self._forget()
         word = token.strip(STRIP)
         out = self.seen[token] = self.match(word) if len(word) >= 3 else None
         return out
@@ -160,7 +164,7 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, floa
     p, n = totals.get(1, 0), totals.get(0, 0)
     counts = labelled.select("text", "toxic").mapInArrow(_tally, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (p + 1.0)) - F.log((F.col("q") + 0.5) / (n + 1.0))
-    best = counts.filter(F.col("p") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LOG_ODDS).orderBy((F.col("odds") * F.sqrt("p")).desc(), "term").limit(LEXICON).collect()
+    best = counts.filter(F.col("p") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LOG_ODDS).orderBy("term").collect()  # terms of the sample
     terms = {r.term[1:]: float(r.odds) for r in best if r.term[0] == "w"}
     stems = {r.term[1:]: float(r.odds) for r in best if r.term[0] == "s"}
     return terms, stems
