@@ -33,9 +33,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one is set only where none is named (tests)."""
+    """The shared checkpoint folder; a temporary one is set only where none is named and all runs in one process (tests)."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skeinlab-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -78,6 +80,29 @@ class Scratch:
             _delete(self.spark, self.paths.pop(name))
 
 
+#: Row numbers from here on are hashes, of rows that no id of their own tells apart.
+HASHED_IDS = 1 << 62
+
+
+def with_row_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(row, uid, text) for each row, all of its columns in the struct `row`, and whether ids are null or repeated.
+
+    uid is the id, as a long, where it is a number of this row alone. Rows without such an id are numbered from HASHED_IDS
+    on by a hash of the whole row, so that equal rows share a number and others do not.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = F.col("row")[id_col].try_cast("long")
+    ids = rows.select(own.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL OR id >= " + str(HASHED_IDS))
+    odd = Scratch(docs.sparkSession).cut(ids.select("id"), "odd-ids")
+    n = odd.limit(BROADCAST_ROWS + 1).count()
+    hashed = F.lit(HASHED_IDS) + F.pmod(F.xxhash64("row"), F.lit(HASHED_IDS))
+    uid = own
+    if n:
+        rows = rows.join(bounded_broadcast(odd.filter("id IS NOT NULL"), n), own == F.col("id"), "left")
+        uid = F.when(own.isNull() | F.col("id").isNotNull(), hashed).otherwise(own)
+    return rows.select("row", uid.alias("uid"), F.col("row")[text_col].alias("text")), bool(n)
+
+
 def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast only when the row count (counted here unless given) is within BROADCAST_ROWS."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skeinlab.llm.common import Scratch, WordHasher, clean_words, mix64, partitions, window_hashes
+from skeinlab.llm.common import Scratch, WordHasher, clean_words, mix64, partitions, window_hashes, with_row_ids
 from skeinlab.llm.graph import components
 
 WIDTH, PERCENT = 5, 80
@@ -207,19 +207,35 @@ def _linked(percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each document: components of links of Jaccard similarity >= percent / 100.
+    """(id, n_shingles, component_id, kept) for each row: components of links of Jaccard similarity >= percent / 100.
+
+    component_id is the smallest id of the component, null if none of it has one; kept tells whether the
+    row's id is that one. Rows without an id, and rows that share one, are compared like any others, each
+    on its own text; an empty table gives no rows. For the rest see `row_components`.
+    """
+    keyed, odd = with_row_ids(docs, id_col, text_col)
+    found = row_components(keyed.select("uid", "text"), width, percent, bands, rows)
+    if not odd:
+        return found.select(F.col("uid").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("uid") == F.col("component")).alias("kept"))
+    named = keyed.select("uid", F.col("row")[id_col].alias("id")).join(found, "uid")
+    named = Scratch(docs.sparkSession).cut(named, "named")
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return named.join(least, "component").select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def row_components(rows_of: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(uid, n_shingles, component) for each distinct uid of (uid, text); the component is its smallest uid.
 
     Documents with one shingle set collapse to their smallest id first. In each band bucket all members
     are compared with the smallest only; then, where a bucket still holds different components, its members
     are compared block against block inside tasks of bounded size, which emit no pairs but the links that
     join components. Links inside a component that is already known change nothing and are not sought.
 
-    Null and empty texts have no shingles and stand alone; ids are taken to be distinct, and repeated rows
-    of one id give one row; rows without an id are left out; an empty table gives no rows.
+    Null and empty texts have no shingles and stand alone. Rows of one uid are taken to have one text.
     """
-    spark = docs.sparkSession
+    spark = rows_of.sparkSession
     scratch = Scratch(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    texts = rows_of.select(F.col("uid").alias("id"), "text")
     sigs = scratch.cut(signatures(texts, width, bands, rows), "signatures")
     copies = scratch.cut(sigs.filter("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep")), "copies")
     reps = scratch.cut(sigs.filter("n > 0").join(copies.select("rep", F.col("sig").alias("s")), (F.col("id") == F.col("rep")) & (F.col("sig") == F.col("s")), "left_semi").dropDuplicates(["id"]), "reps")
@@ -248,4 +264,4 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     rep_of = sigs.filter("n > 0").join(copies, ["sig", "n"]).select("id", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     none = sigs.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     out = rep_of.unionByName(none).groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias("uid"), "n_shingles", F.col("component_id").alias("component"))

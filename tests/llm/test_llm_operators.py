@@ -153,6 +153,59 @@ def test_quality(spark, rows):
     assert [r.kept for r in quality.quality_outliers(table(spark, [(1, None)])).collect()] == [False]
 
 
+def plain_mcd(x, support, steps):
+    """Location and scatter of least determinant over the same three starts."""
+    floors = np.array(list(quality.FEATURES.values()))
+    rank = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+    middle = np.array([rank(v, 0.5) for v in x.T])
+    wide = np.array([(rank(v, 0.75) - rank(v, 0.25)) / 1.349 for v in x.T])
+    best = None
+    for m, cov in ((middle, np.diag(floors**2)), (middle, np.diag(wide**2 + floors**2)), (x.mean(axis=0), np.cov(x.T, bias=True) + np.diag(floors**2))):
+        for step in range(steps):
+            d = ((x - m) @ np.linalg.inv(cov) * (x - m)).sum(axis=1)
+            kept = x[d <= rank(d, support) * (1 + 1e-12)]
+            m, cov = kept.mean(axis=0), np.cov(kept.T, bias=True) * (quality.consistency(support, 4) if step == steps - 1 else 1) + np.diag(floors**2)
+        if best is None or np.linalg.det(cov) < np.linalg.det(best[1]) * (1 - 1e-9):
+            best = m, cov
+    return best
+
+
+def test_outliers_against_numpy(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(240):
+        w = prose(rng, rng.randrange(60, 160)).split()
+        for _ in range(rng.choice((0, 0, 1, 3, 40 if k % 12 == 0 else 2))):
+            w.insert(rng.randrange(len(w)), rng.choice(("##", "$$$", "a", "b")))
+        texts.append((3 * k, " ".join(w)))  # one source and language each, by the helper's rule
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else "fr", "s") for i, t in texts], "doc_id long, text string, lang string, source string")
+    got = quality.quality_outliers(df).collect()
+    assert quality.consistency(0.75, 4) == pytest.approx(1.4858, abs=0.01)
+    for lang in ("en", "fr"):
+        rows = [r for r in got if r.lang == lang]
+        x = np.array([[r[c] for c in quality.FEATURES] for r in rows])
+        good = np.array([not r.base_failed for r in rows])
+        m, cov = plain_mcd(x[good], quality.SUPPORT, quality.STEPS)
+        want = ((x - m) @ np.linalg.inv(cov) * (x - m)).sum(axis=1)
+        assert [r.distance for r in rows] == pytest.approx(want.tolist(), rel=1e-6)
+        assert [r.kept for r in rows] == [bool(g and d <= quality.CUTOFF) for g, d in zip(good, want, strict=True)]
+    assert any(not r.kept for r in got) and sum(r.kept for r in got) > 200
+
+
+def test_columns_of_any_name_go_through(spark):
+    names = ["f_chars", "_lang", "_rows0", "m_f_chars", "_n", "_words", "_text", "_est", "row", "uid", "key_a", "plan_hash", "positions", "training_position", "a.b"]
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k, prose(rng, 80), "en", "s", *["x"] * len(names)) for k in range(5)], ["doc_id", "text", "lang", "source", *names])
+    out = quality.quality_outliers(df)
+    assert {"_lang", "_rows0", "a.b"} <= set(out.columns) and out.filter("kept AND _lang = 'x'").count() == 5
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[3:4]:
+        left = stage(spark, df, "")
+        assert left.columns == df.columns and {tuple(r)[4:] for r in left.collect()} == {("x",) * len(names)}, name
+        assert stage(spark, df.limit(0), "").count() == 0
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -197,29 +250,35 @@ def test_licenses(spark, rows):
     got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, every)).collect()}
     assert (got[5000].license_id, got[5001].license_id, got[5002].license_id, got[5003].license_id) == ("MIT", None, "MIT", None)
     assert got[52].digest == got[5003].digest == hashlib.sha256(b"").hexdigest() and mit
+    lines = [(5004, "some words\nReleased under the MIT Licence.\r\nLicensed under CC BY 4.0\nreleased under the MIT license"), (5005, "we say: Released under the MIT License.")]
+    assert {r.doc_id: r.line_licenses for r in licenses.scan_licenses(table(spark, lines)).collect()} == {5004: "CC-BY-4.0,MIT", 5005: ""}
     assert licenses.scan_licenses(table(spark, [])).count() == 0
     assert licenses.scan_licenses(table(spark, every)).count() == len(every)
 
 
 def near_components(rows, width, percent):
-    sets = {}
-    for i, t in rows:
-        if i is not None:
-            w = (t or "").encode().lower().split()
-            sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+    """(id, shingles, smallest id of the component) of each row, whatever its id."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if (x and 100 * len(x & sets[b]) >= percent * len(x | sets[b])) or rows[a] == rows[b] and rows[a][0] is not None:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    least = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)].append(i)
+    return collections.Counter((i, len(sets[k]), min(least[find(k)], default=None)) for k, (i, _) in enumerate(rows))
 
 
 def test_near_duplicates(spark, rows):
@@ -231,10 +290,11 @@ def test_near_duplicates(spark, rows):
         for _ in range(3):
             w[rng.randrange(100)] = f"w{rng.randrange(9)}"
         hot.append((500 + k, " ".join(w)))
-    every = [r for r in rows if r != (58, rows[3][1])] + hot + [(700 + k, hot[0][1].upper()) for k in range(30)]
+    every = rows + hot + [(700 + k, hot[0][1].upper()) for k in range(30)]  # ids are null or repeated, too
+    every += [(None, hot[5][1]), (None, "alone " + prose(rng, 50)), (700, hot[7][1]), (700, hot[7][1])]
     for width in (4, 5):
         got = neardup.near_duplicates(table(spark, every), width, 80).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_components(every, width, 80)
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_components(every, width, 80)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
@@ -250,7 +310,7 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
             w[rng.randrange(60)] = f"w{rng.randrange(9)}"
         every.append((k, " ".join(w)))
     got = neardup.near_duplicates(table(spark, every), 4, 80).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_components(every, 4, 80)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_components(every, 4, 80)
 
 
 def test_odd_sketch_estimates_similarity():
