@@ -25,9 +25,11 @@ def session(app: str = "skeinlab", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder (a temporary one only where none is set), so loops keep short plans."""
+    """Checkpoint to the cluster's shared folder (a temporary one only where none is set and all runs in one process), so loops keep short plans."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinlab-"))
     return df.checkpoint()
