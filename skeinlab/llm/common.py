@@ -32,6 +32,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send whole texts and sets to Python by at most `rows` rows, unless the session asks for some other number than the default.
+
+    Batches are held outside the heap, twice while they grow; 10,000 long texts for each task are too much.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one is set only where none is named and all runs in one process (tests)."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -116,6 +126,7 @@ def with_prefix(scratch: Scratch, df: DataFrame, order: list[Column], size: str,
     per-partition totals (one row for each partition) give the offsets. Nothing else leaves the executors.
     """
     spark = scratch.spark
+    modest_batches(spark)
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_lb", T.LongType()), T.StructField("_li", T.LongType())])
     at = df.columns.index(size)
 

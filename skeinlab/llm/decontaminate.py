@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skeinlab.llm.common import window_hashes
+from skeinlab.llm.common import modest_batches, window_hashes
 
 ERROR_RATE = 0.2
 #: Items are matched in blocks of about this many words, so what a task holds is bounded; each block scans the documents once.
@@ -129,6 +129,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id
     dropping ASCII punctuation; start and end are the best match's span, to within the edits.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     sized = items.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / 6 / block_words))

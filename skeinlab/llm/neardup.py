@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skeinlab.llm.common import Scratch, WordHasher, clean_words, mix64, partitions, window_hashes, with_row_ids
+from skeinlab.llm.common import Scratch, WordHasher, clean_words, mix64, modest_batches, partitions, window_hashes, with_row_ids
 from skeinlab.llm.graph import components
 
 WIDTH, PERCENT = 5, 80
@@ -235,6 +235,7 @@ def row_components(rows_of: DataFrame, width: int = WIDTH, percent: int = PERCEN
     """
     spark = rows_of.sparkSession
     scratch = Scratch(spark)
+    modest_batches(spark)
     texts = rows_of.select(F.col("uid").alias("id"), "text")
     sigs = scratch.cut(signatures(texts, width, bands, rows), "signatures")
     copies = scratch.cut(sigs.filter("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep")), "copies")

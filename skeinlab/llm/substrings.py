@@ -17,7 +17,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from skeinlab.llm.common import WordHasher, partitions, window_hashes
+from skeinlab.llm.common import WordHasher, modest_batches, partitions, window_hashes
 
 WIDTH = 13
 
@@ -180,6 +180,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     Null and empty texts have no words; texts shorter than `width` keep all; repeats inside one document
     (or between rows of one id) stay; rows without an id keep all their words; an empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_emit_anchors(width), "h long, id long, th long")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skeinlab.llm.common import bounded_broadcast
+from skeinlab.llm.common import bounded_broadcast, modest_batches
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most (smallest hashes of the id).
 TRAIN_ROWS = 12_000
@@ -197,6 +197,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: s
     left out; a document labelled twice counts twice; repeated rows are each scored; an empty table gives
     no rows.
     """
+    modest_batches(docs.sparkSession)
     chosen = labels.filter(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id", "toxic").limit(train_rows)
     labelled = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(bounded_broadcast(chosen, train_rows), F.col(id_col) == F.col("l_id")).select("text", "toxic")
