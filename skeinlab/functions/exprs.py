@@ -339,3 +339,86 @@ def sparse_match(name: Column, path: Column, kind: Column, token: Column) -> Col
 def structural_magnitude(purpose_changed: Column, edges: Column, deps: Column, constraints: Column) -> Column:
     part = lambda c, w: F.least(c, F.lit(4)) / 4.0 * w
     return clamp(F.when(purpose_changed, 0.4).otherwise(0.0) + part(edges, 0.25) + part(deps, 0.25) + part(constraints, 0.10))
+
+
+def normalize_path(path: Column) -> Column:
+    return F.translate(path, "\\", "/")
+
+
+def file_source_id(path: Column) -> Column:
+    return F.concat(F.lit("file::"), path)
+
+
+def synthetic_id(level: Column, language: Column, path: Column) -> Column:
+    """Hash of level, language and path of a record that no symbol owns."""
+    return F.sha2(F.concat_ws(":", F.btrim(level), F.lower(F.btrim(language)), normalize_path(F.btrim(path))), 256)
+
+
+# Fixed values.
+COMPLEXITY = ("Low", "Medium", "High", "Critical", "Unknown")
+DEPRECATED_MODELS = ("qwen2.5-coder:7b",)
+
+
+def complexity_label(value: Column) -> Column:
+    """A known label in its usual spelling, else null."""
+    label = F.initcap(F.lower(F.btrim(value)))
+    return F.when(label.isin(*COMPLEXITY), label)
+
+
+def record_fault(intent: Column, confidence: Column, complexity: Column) -> Column:
+    """What is wrong with a record: its intent is blank, its confidence outside 0..1, its complexity unknown; null if nothing is."""
+    return (
+        F.when(F.coalesce(F.btrim(intent), F.lit("")) == "", "empty_intent")
+        .when(confidence.isNull() | F.isnan(confidence) | (confidence < 0) | (confidence > 1), "invalid_confidence")
+        .when(complexity.isNotNull() & complexity_label(complexity).isNull(), "invalid_complexity")
+    )
+
+
+def is_deprecated(model: Column, deprecated: tuple[str, ...] = DEPRECATED_MODELS) -> Column:
+    return F.lower(F.btrim(model)).isin(*[m.lower() for m in deprecated])
+
+
+def is_edge_type(kind: Column, valid: list[str]) -> Column:
+    return F.lower(kind).isin(*[v.lower() for v in valid])
+
+
+def millis_to_day(ms: Column) -> Column:
+    """yyyy-MM-dd of milliseconds since 1970, UTC."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")), "yyyy-MM-dd")
+
+
+def iso_to_millis(text: Column) -> Column:
+    """Milliseconds since 1970 of a date and time with its zone; null if it is none."""
+    whole = F.btrim(text)
+    return F.when(whole.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.unix_millis(F.try_to_timestamp(F.upper(whole))))
+
+
+def dependency_entry(raw: Column) -> Column:
+    """(name, reason) of "name: reason", "name - reason" or "name (reason)", the first form that fits; reason may be null."""
+    t = F.btrim(raw)
+    blank = lambda c: F.nullif(c, F.lit(""))
+    after_colon = F.btrim(F.regexp_replace(F.btrim(F.regexp_replace(t, r"(?s)^[^:]*:", "")), r"^[()]+|[()]+$", ""))
+    parts = F.regexp_extract(t, r"(?s)^(.+)\(([^(]*)\)$", 1), F.regexp_extract(t, r"(?s)^(.+)\(([^(]*)\)$", 2)
+    pair = lambda name, reason: F.struct(name.alias("name"), reason.alias("reason"))
+    return (
+        F.when(t.contains(":"), pair(F.btrim(F.substring_index(t, ":", 1)), blank(after_colon)))
+        .when(t.contains(" - "), pair(F.btrim(F.substring_index(t, " - ", 1)), blank(F.btrim(F.regexp_replace(t, r"(?s)^.*? - ", "")))))
+        .when(F.btrim(parts[0]) != "", pair(F.btrim(parts[0]), blank(F.btrim(parts[1]))))
+        .otherwise(pair(t, F.lit(None).cast("string")))
+    )
+
+
+def rerank_text(intent: Column, name: Column, kind: Column, path: Column) -> Column:
+    """Text of a candidate for a reranker: its intent, if it has one, above its name, kind and path."""
+    facts = F.concat(F.lit("qualified_name: "), name, F.lit("\nkind: "), kind, F.lit("\nfile_path: "), path)
+    return F.concat_ws("\n", F.nullif(F.btrim(intent), F.lit("")), facts)
+
+
+def diff_summary(purpose_before: Column, purpose_after: Column, added: dict[str, Column], removed: dict[str, Column]) -> Column:
+    """One line of what changed: the purpose, then for each named array what came and what went."""
+    changed = ~purpose_before.eqNullSafe(purpose_after)
+    parts = [F.when(changed, F.concat(F.lit("purpose changed: '"), F.coalesce(purpose_before, F.lit("")), F.lit("' -> '"), F.coalesce(purpose_after, F.lit("")), F.lit("'")))]
+    for name in added:
+        for word, values in (("added", added[name]), ("removed", removed[name])):
+            parts.append(F.when(F.size(values) > 0, F.concat(F.lit(f"{name} {word}: "), F.array_join(values, ", "))))
+    return F.concat_ws("; ", *parts)

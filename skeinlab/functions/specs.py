@@ -33,3 +33,13 @@ def head_change(branch_before: str, branch_after: str, head_before: str, head_af
     if head_before == head_after:
         return None
     return "merge" if parents > 1 else "pull"
+
+
+# Periods and their seconds.
+PERIODS = {"1h": 3_600, "24h": 86_400, "7d": 604_800, "30d": 2_592_000}
+
+
+def period(since: str | None) -> tuple[str, int]:
+    """(label, seconds) of a period; anything unknown is a day."""
+    label = (since or "24h").strip().lower()
+    return (label, PERIODS[label]) if label in PERIODS else ("24h", PERIODS["24h"])
