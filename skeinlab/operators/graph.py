@@ -22,8 +22,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def _collapsed(edges: DataFrame) -> DataFrame:
     """Distinct edges with the share of the source's out-degree that each carries."""
-    m = edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("m"))
-    deg = edges.groupBy("source_id").agg(F.count(F.lit(1)).alias("deg"))
+    m = cut(edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("m")))
+    deg = m.groupBy("source_id").agg(F.sum("m").alias("deg"))
     return cut(m.join(deg, "source_id").select("source_id", "target_id", (F.col("m") / F.col("deg")).alias("share")))
 
 
@@ -33,7 +33,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 25) -> D
     A step joins ranks to edges by source and adds up by target; only two sums come to the driver.
     """
     e = _collapsed(edges)
-    v = cut(nodes(edges).join(e.select(F.col("source_id").alias("id"), F.lit(True).alias("out")).distinct(), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
+    v = cut(nodes(e).join(e.select(F.col("source_id").alias("id"), F.lit(True).alias("out")).distinct(), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
     n = v.count()
     if not n:
         return v.select("id", F.lit(0.0).alias("rank"))
@@ -49,7 +49,7 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.1
     """(id, rank) with restarts at the seeds, which also take the mass of nodes without out-edges; stops when ranks settle."""
     e = _collapsed(edges)
     out = e.select(F.col("source_id").alias("id"), F.lit(True).alias("out")).distinct()
-    v = nodes(edges).join(out, "id", "left").join(seeds.select("id", F.lit(True).alias("seed")).distinct(), "id", "left")
+    v = nodes(e).join(out, "id", "left").join(seeds.select("id", F.lit(True).alias("seed")).distinct(), "id", "left")
     v = cut(v.select("id", F.col("out").isNull().alias("dangling"), F.coalesce("seed", F.lit(False)).alias("seed")))
     n = v.filter("seed").count()
     if not n:
@@ -209,8 +209,15 @@ def trace_epicenters(edges: DataFrame, history: DataFrame, start: DataFrame, noi
     h = history.select("symbol_id", "ts_us", "id", "delta_sem", "source_changed", "neighbor_changed")
 
     def latest(cands: DataFrame, key: list[str]) -> DataFrame:
-        j = cands.join(h, (F.col("node") == F.col("symbol_id")) & (F.col("ts_us") <= F.col("bound")))
-        return j.groupBy(*key, "node").agg(F.max_by(F.struct("ts_us", "delta_sem", "source_changed", "neighbor_changed"), F.struct("ts_us", "id")).alias("r")).select(*key, "node", "r.*")
+        """Each candidate's last record up to its bound: one sort of records and candidates together, no pairs."""
+        row = F.struct("ts_us", "id", "delta_sem", "source_changed", "neighbor_changed")
+        empty = F.lit(None).cast("struct<ts_us:bigint,id:bigint,delta_sem:double,source_changed:boolean,neighbor_changed:boolean>")
+        asked = F.struct(*[F.col(k) for k in key])
+        both = h.select(F.col("symbol_id").alias("node"), F.col("ts_us").alias("t"), F.lit(0).alias("side"), "id", row.alias("r"))
+        both = both.withColumn("asked", F.lit(None).cast(cands.select(asked.alias("a")).schema["a"].dataType))
+        both = both.unionByName(cands.select("node", F.col("bound").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), empty.alias("r"), asked.alias("asked")))
+        last = F.last("r", ignorenulls=True).over(W.partitionBy("node").orderBy("t", "side", "id").rowsBetween(W.unboundedPreceding, 0))
+        return both.withColumn("r", last).filter("side = 1 AND r IS NOT NULL").select("asked.*", "node", "r.ts_us", "r.delta_sem", "r.source_changed", "r.neighbor_changed")
 
     walk = start.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit((1 << 62)).alias("bound"))
     now, out, hop = cut(latest(walk, ["origin"])), None, 0

@@ -12,6 +12,11 @@ _E = R.edges_sql()
 _N = "v AS (SELECT source_id AS id FROM edges UNION SELECT target_id FROM edges)"
 
 
+def _held(sql: str) -> str:
+    """Every common table is worked out once, however often it is read."""
+    return sql.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
 def _ranks(steps: int, damping: float = 0.85) -> str:
     out = f"{_E}, {_N}, n AS (SELECT count(*) AS n FROM v), deg AS (SELECT source_id AS id, count(*) AS d FROM edges GROUP BY 1), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM v, n)"
     for k in range(1, steps + 1):
@@ -22,9 +27,9 @@ def _ranks(steps: int, damping: float = 0.85) -> str:
     return out
 
 
-@query("pagerank", f"WITH {_ranks(6)} SELECT id, round(rank, 8) AS rank FROM r6")
+@query("pagerank", _held(f"WITH {_ranks(25)} SELECT id, round(rank, 8) AS rank FROM r25"))
 def _(spark, d):
-    return graph.pagerank(R.edges(spark, d), 0.85, 6).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank(R.edges(spark, d)).withColumn("rank", F.round("rank", 8))
 
 
 def _ppr(steps: int, alpha: float = 0.15) -> str:
@@ -37,10 +42,10 @@ def _ppr(steps: int, alpha: float = 0.15) -> str:
     return out
 
 
-@query("personalized_pagerank", f"WITH {_ppr(5)} SELECT id, round(rank, 8) AS rank FROM r5 WHERE rank > 0")
+@query("personalized_pagerank", _held(f"WITH {_ppr(20)} SELECT id, round(rank, 6) AS rank FROM r20 WHERE rank > 0"))
 def _(spark, d):
     e = R.edges(spark, d)
-    return graph.personalized_pagerank(e, graph.nodes(e).filter("id % 50 = 0"), 0.15, 5).withColumn("rank", F.round("rank", 8))
+    return graph.personalized_pagerank(e, graph.nodes(e).filter("id % 50 = 0")).withColumn("rank", F.round("rank", 6))
 
 
 def _reach(on: str, to: str, depth: int, start: str) -> str:

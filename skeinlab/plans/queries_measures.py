@@ -80,11 +80,11 @@ def _(spark, d):
 
 
 @query("staleness_heatmap", f"""WITH {R.FINGERPRINTS}, c AS (SELECT symbol_id % 40 AS module, day, count(*) FILTER (WHERE source_changed) AS changed, count(*) AS total FROM fp GROUP BY 1, 2),
-d AS (SELECT DISTINCT day FROM c ORDER BY day LIMIT 20), m AS (SELECT module FROM c GROUP BY module HAVING max(changed * 1.0 / total) >= 0.5 ORDER BY sum(changed) DESC, module LIMIT 30)
+d AS (SELECT DISTINCT day FROM c ORDER BY day LIMIT 90), m AS (SELECT module FROM c GROUP BY module HAVING max(changed * 1.0 / total) >= 0.5 ORDER BY sum(changed) DESC, module LIMIT 30)
 SELECT module, day, round(changed * 1.0 / total, 6) AS ratio, total FROM c WHERE day IN (SELECT day FROM d) AND module IN (SELECT module FROM m)""")
 def _(spark, d):
     c = R.fingerprints(spark, d).groupBy((F.col("symbol_id") % 40).alias("module"), "day").agg(F.count_if("source_changed").alias("changed"), F.count(F.lit(1)).alias("total"))
-    return A.heatmap(c, 0.5, 20, 30).withColumn("ratio", F.round("ratio", 6))
+    return A.heatmap(c, 0.5).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("drift_timeline", f"WITH {R.FINGERPRINTS} SELECT symbol_id % 10 AS module, round(avg(delta_sem), 6) AS mean_score, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY ts_us, id) AS series FROM fp WHERE delta_sem > 0.9 GROUP BY 1")
