@@ -202,14 +202,14 @@ _BYTES = np.random.default_rng(20240311).integers(0, 2**64, 256, dtype=np.uint64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def hash_words(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of a text begins, and its 64-bit hash: a polynomial in its bytes' random numbers, mixed.
+def hash_words(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a text begins, its bytes and its 64-bit hash: a polynomial in its bytes' random numbers, mixed.
 
     Sums over all bytes before each place give the words' polynomials by difference; the text goes by in
     pieces that end in a space, so that the sums stay small enough for the cache.
     """
     whole = np.frombuffer(b" " + text + b" ", np.uint8)
-    starts, hashes, at = [], [], 0
+    starts, sizes, hashes, at = [], [], [], 0
     while at < len(whole) - 1:
         end = min(at + piece, len(whole) - 1)
         if end < len(whole) - 1:
@@ -229,11 +229,12 @@ def hash_words(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarra
                 _powers[k] = np.cumprod(steps)
         sums = np.cumsum(_BYTES[x] * _powers[0][: len(x)])
         starts.append(first + at)
+        sizes.append(last - first)
         hashes.append(mix64((sums[last - 1] - sums[first - 1]) * _powers[1][first]))
         at = end
     if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(starts) - 1, np.concatenate(hashes)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts) - 1, np.concatenate(sizes), np.concatenate(hashes)
 
 
 def clean_words(text: str | None) -> list[bytes]:

@@ -3,7 +3,7 @@
 Every run of `width` words is an edge of a de Bruijn graph, from its first width - 1 words to its last.
 Edges are keyed by an anchor, the rarest-looking pair of neighbouring words in them, so that equal edges
 share an anchor: first the anchors that occur in more than one document are found, and only edges on
-those are compared. Repeated edges that advance in step in the document and in the source (the first
+those are compared. Edges on an anchor that very many documents hold go by their best other pair instead. Repeated edges that advance in step in the document and in the source (the first
 document that holds them) are one nonbranching path; paths are compacted first on each anchor and then,
 after a join to the document, across anchors, where the source coordinates must go on unbroken.
 """
@@ -17,22 +17,33 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from skeinlab.llm.common import WordHasher, modest_batches, partitions, window_hashes
+from skeinlab.llm.common import Scratch, hash_words, modest_batches, partitions, window_hashes
 
 WIDTH = 13
+#: Anchors of at most so many rows are never moved.
+HOT_ROWS = 1000
 
 
 def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def anchors(words: list[bytes], hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each edge the place and the key of its anchor: the longest pair of neighbouring words, ties by hash, then leftmost."""
-    n = len(words) - width + 1
+def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and hashes of a text's words."""
+    return hash_words(text.encode("utf-8", "surrogatepass") if text else b"")[1:]
+
+
+def pair_keys(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A key for each pair of neighbouring words: the longer the pair, the smaller; else by hash."""
+    size = np.minimum(sizes, 127)
+    return window_hashes(hashes, 2) >> np.uint64(8) | (255 - size[:-1] - size[1:]).astype(np.uint64) << np.uint64(56)
+
+
+def anchors(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each edge the place and the key of its anchor: the pair of smallest key in it, ties by the leftmost."""
+    n = len(key) - width + 2
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    size = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 127)
-    key = window_hashes(hashes, 2) >> np.uint64(8) | (255 - size[:-1] - size[1:]).astype(np.uint64) << np.uint64(56)
     at = np.concatenate([sliding_window_view(key[k : k + 65536 + width - 2], width - 1).argmin(axis=1) + np.arange(k, k + min(65536, n - k)) for k in range(0, n, 65536)])
     return at, key[at]
 
@@ -43,15 +54,14 @@ def _list(offsets, values) -> pa.Array:
 
 def _emit_anchors(width):
     def f(batches):
-        hasher = WordHasher()
         for b in batches:
-            ids, ths = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids = b.column(0).to_pylist()
             hs, own = [], []
             for k, text in enumerate(b.column(2).to_pylist()):
-                words = split_words(text)
-                if ids[k] is None or len(words) < width:
+                sizes, hashes = hashed(text) if ids[k] is not None else ((), ())
+                if len(sizes) < width:
                     continue
-                _, key = anchors(words, hasher.of(words), width)
+                _, key = anchors(pair_keys(sizes, hashes), width)
                 hs.append(np.unique(key))
                 own.append(np.full(len(hs[-1]), k))
             own = np.concatenate(own) if own else np.empty(0, np.int64)
@@ -85,22 +95,29 @@ def _shared(batches):
         yield b.filter(pa.array(np.repeat(multi, sizes)))
 
 
-def _emit_edges(width):
+def _emit_edges(width, hot):
+    """Runs of edges on one anchor. Those on a hot anchor go by the best pair that is not hot, if they hold one."""
+    hot = np.sort(np.array(hot, np.int64).view(np.uint64))
+
     def f(batches):
-        hasher = WordHasher()
         for b in batches:
             h_out, k_out, pos, packs = [], [], [], []
             flagged = b.column(3)
             for k, text in enumerate(b.column(2).to_pylist()):
                 wanted = flagged[k].as_py()
-                words = split_words(text) if wanted else []
-                if len(words) < width:
+                sizes, hashes = hashed(text) if wanted else ((), ())
+                if len(sizes) < width:
                     continue
-                hashes = hasher.of(words)
-                at, key = anchors(words, hashes, width)
+                pairs = pair_keys(sizes, hashes)
+                at, key = anchors(pairs, width)
                 edges = window_hashes(hashes, width, seed=width)
                 keep = np.isin(key, np.array(wanted, np.int64).view(np.uint64))
-                cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                moved = np.isin(key, hot)
+                if moved.any():
+                    other, _ = anchors(np.where(np.isin(pairs, hot), pairs | np.uint64(0xFF << 56), pairs), width)
+                    at = np.where(moved, other, at)
+                    key = pairs[at]
+                cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (moved[1:] != moved[:-1])])
                 ends = np.r_[cut[1:], len(at)]
                 for s, e in zip(cut[keep[cut]].tolist(), ends[keep[cut]].tolist(), strict=True):
                     h_out.append(key[s])
@@ -184,9 +201,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_emit_anchors(width), "h long, id long, th long")
-    shared = found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared, "h long, id long, th long")
+    scratch = Scratch(docs.sparkSession)
+    shared = scratch.cut(found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared, "h long, id long, th long"), "shared")
+    # Anchors of more rows than half of what falls to a task; there are less than two for each task.
+    most = max(HOT_ROWS, shared.count() // (2 * n))
+    hot = [r.h for r in shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("h").collect()]
     wanted = shared.groupBy("id", "th").agg(F.collect_set("h").alias("wanted"))  # at most one document's anchors
-    edges = rows.join(wanted.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "wanted").mapInArrow(_emit_edges(width), "h long, id long, th long, pos int, edges binary")
+    edges = rows.join(wanted.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "wanted").mapInArrow(_emit_edges(width, hot), "h long, id long, th long, pos int, edges binary")
     paths = edges.repartition(n, "h").sortWithinPartitions("h", "id", "pos").mapInArrow(_paths, "id long, th long, start int, size int, src long, src_start int")
     paths = paths.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size", "src", "src_start")).alias("paths"))  # one document's
     out = rows.join(paths.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "paths")

@@ -391,7 +391,9 @@ def without_repeats(rows, width):
     return out
 
 
-def test_remove_repeats(spark, docs, rows):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_remove_repeats(spark, docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT_ROWS", hot)  # with one, every anchor that is shared by two rows or more is moved
     for width in (13, 5):
         got = substrings.remove_repeats(docs, width).collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows, width)
