@@ -96,12 +96,15 @@ def _shared(batches):
 
 
 def _emit_edges(width, hot):
-    """Runs of edges on one anchor. Those on a hot anchor go by the best pair that is not hot, if they hold one."""
+    """Runs of edges on one anchor; equal runs of a document are one row with all their places.
+
+    Runs on a hot anchor go by the best pair that is not hot, if they hold one.
+    """
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
 
     def f(batches):
         for b in batches:
-            h_out, k_out, pos, packs = [], [], [], []
+            h_out, k_out, places, packs = [], [], [], []
             flagged = b.column(3)
             for k, text in enumerate(b.column(2).to_pylist()):
                 wanted = flagged[k].as_py()
@@ -119,13 +122,17 @@ def _emit_edges(width, hot):
                     key = pairs[at]
                 cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (moved[1:] != moved[:-1])])
                 ends = np.r_[cut[1:], len(at)]
-                for s, e in zip(cut[keep[cut]].tolist(), ends[keep[cut]].tolist(), strict=True):
-                    h_out.append(key[s])
+                runs: dict[tuple[int, bytes], list[int]] = {}
+                heads = cut[keep[cut]]
+                for s, e, h in zip(heads.tolist(), ends[keep[cut]].tolist(), key[heads].tolist(), strict=True):
+                    runs.setdefault((h, edges[s:e].tobytes()), []).append(s)
+                for (h, pack), at_all in runs.items():
+                    h_out.append(h)
                     k_out.append(k)
-                    pos.append(s)
-                    packs.append(edges[s:e].tobytes())
+                    places.append(at_all)
+                    packs.append(pack)
             own = pa.array(k_out, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h_out, np.uint64).view(np.int64)), b.column(0).take(own), b.column(1).take(own), pa.array(pos, pa.int32()), pa.array(packs, pa.binary())], names=["h", "id", "th", "pos", "edges"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h_out, np.uint64).view(np.int64)), b.column(0).take(own), b.column(1).take(own), pa.array([p[0] for p in places], pa.int32()), pa.array([np.array(p, "<u4").tobytes() for p in places], pa.binary()), pa.array(packs, pa.binary())], names=["h", "id", "th", "pos", "places", "edges"])
 
     return f
 
@@ -138,8 +145,8 @@ def _paths(batches):
     last, seen = None, {}
     for b in batches:
         own, start, size, src, src_start = [], [], [], [], []
-        cols = [b.column(k).to_pylist() for k in (0, 1, 3, 4)]
-        for k, (h, i, pos, pack) in enumerate(zip(*cols, strict=True)):
+        cols = [b.column(k).to_pylist() for k in (0, 1, 3, 4, 5)]
+        for k, (h, i, pos, places, pack) in enumerate(zip(*cols, strict=True)):
             if h != last:
                 last, seen = h, {}
             path = None
@@ -152,12 +159,12 @@ def _paths(batches):
                 else:
                     path = True
                     own.append(k)
-                    start.append(pos + j)
+                    start.append(places if not j else (np.frombuffer(places, "<u4") + np.uint32(j)).tobytes())
                     size.append(1)
                     src.append(d)
                     src_start.append(q)
         at = pa.array(own, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(src, pa.int64()), pa.array(src_start, pa.int32())], names=["id", "th", "start", "size", "src", "src_start"])
+        yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(start, pa.binary()), pa.array(size, pa.int32()), pa.array(src, pa.int64()), pa.array(src_start, pa.int32())], names=["id", "th", "starts", "size", "src", "src_start"])
 
 
 def _rewrite(width, with_text):
@@ -168,13 +175,14 @@ def _rewrite(width, with_text):
                 words = split_words(text)
                 gone = np.zeros(len(words), bool)
                 whole: list[list[int]] = []
-                for p in sorted(paths or (), key=lambda p: p["start"]):
-                    gone[p["start"] : p["start"] + p["size"] + width - 1] = True
+                each = [(at, p["size"], p["src"], p["src_start"]) for p in paths or () for at in np.frombuffer(p["starts"], "<u4").tolist()]
+                for start, size, src, src_start in sorted(each):
+                    gone[start : start + size + width - 1] = True
                     w = whole[-1] if whole else None
-                    if w and w[2] == p["src"] and w[0] + w[1] == p["start"] and w[3] + w[1] == p["src_start"]:
-                        w[1] += p["size"]
+                    if w and w[2] == src and w[0] + w[1] == start and w[3] + w[1] == src_start:
+                        w[1] += size
                     else:
-                        whole.append([p["start"], p["size"], p["src"], p["src_start"]])
+                        whole.append([start, size, src, src_start])
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if paths else b" ".join(words)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
@@ -207,9 +215,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     most = max(HOT_ROWS, shared.count() // (2 * n))
     hot = [r.h for r in shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("h").collect()]
     wanted = shared.groupBy("id", "th").agg(F.collect_set("h").alias("wanted"))  # at most one document's anchors
-    edges = rows.join(wanted.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "wanted").mapInArrow(_emit_edges(width, hot), "h long, id long, th long, pos int, edges binary")
-    paths = edges.repartition(n, "h").sortWithinPartitions("h", "id", "pos").mapInArrow(_paths, "id long, th long, start int, size int, src long, src_start int")
-    paths = paths.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size", "src", "src_start")).alias("paths"))  # one document's
+    edges = rows.join(wanted.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "wanted").mapInArrow(_emit_edges(width, hot), "h long, id long, th long, pos int, places binary, edges binary")
+    paths = edges.repartition(n, "h").sortWithinPartitions("h", "id", "pos").mapInArrow(_paths, "id long, th long, starts binary, size int, src long, src_start int")
+    paths = paths.groupBy("id", "th").agg(F.collect_set(F.struct("starts", "size", "src", "src_start")).alias("paths"))  # one document's
     out = rows.join(paths.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "paths")
     out = out.mapInArrow(_rewrite(width, with_text), "id long, n_words long, n_removed long, kept_sha256 string, n_paths long, longest_path long, kept_text string")
     return out.withColumnRenamed("id", id_col)

@@ -39,6 +39,7 @@ def rows():
     out += [(52, None), (53, ""), (54, " \t\n"), (55, "one"), (56, "one"), (57, "One two"), (58, prose(rng, 3000)), (58, out[3][1]), (None, out[4][1]), (None, None)]
     passage = prose(rng, 40)
     out += [(60 + k, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for k in range(4)]
+    out += [(70 + k, f"{prose(rng, 9)} {'over and ' * (30 + k)} {prose(rng, 9)}") for k in range(3)]  # one pair again and again
     return out
 
 
