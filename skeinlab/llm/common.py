@@ -8,7 +8,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window as W
 
 #: Words are maximal runs of characters other than ASCII white space.
@@ -157,23 +156,6 @@ def with_prefix(scratch: Scratch, df: DataFrame, order: list[Column], size: str,
     )
 
 
-class WordHasher(dict):
-    """64-bit hashes of words (bytes), kept while there are fewer than `most`."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising bit mixer on uint64 arrays."""
     x = x ^ (x >> np.uint64(33))
@@ -235,8 +217,3 @@ def hash_words(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarra
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(starts) - 1, np.concatenate(sizes), np.concatenate(hashes)
-
-
-def clean_words(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skeinlab.llm.common import Scratch, WordHasher, clean_words, mix64, modest_batches, partitions, window_hashes, with_row_ids
+from skeinlab.llm.common import Scratch, hash_words, mix64, modest_batches, partitions, window_hashes, with_row_ids
 from skeinlab.llm.graph import components
 
 WIDTH, PERCENT = 5, 80
@@ -23,12 +23,12 @@ MARGIN = 0.25
 BLOCK = 1000
 
 
-def shingle_set(text: str | None, width: int, hasher: WordHasher) -> np.ndarray:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of word shingles; a shorter text is one shingle; no words, none."""
-    words = clean_words(text)
-    if not words:
+    words = hash_words(text.encode("utf-8", "surrogatepass").lower())[2] if text else ()
+    if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(window_hashes(hasher.of(words), min(width, len(words)), seed=min(width, len(words))))
+    return np.unique(window_hashes(words, min(width, len(words)), seed=min(width, len(words))))
 
 
 class _Sketcher:
@@ -70,11 +70,11 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
     """(id, n, sig, bands, sketch) from (id, text): sig tells equal shingle sets, n is the set size."""
 
     def sketch(batches):
-        hasher, sketcher = WordHasher(), _Sketcher(bands, rows, words)
+        sketcher = _Sketcher(bands, rows, words)
         for b in batches:
             ns, sigs, bs, sk = [], [], [], []
             for text in b.column(1).to_pylist():
-                s = shingle_set(text, width, hasher)
+                s = shingle_set(text, width)
                 ns.append(len(s))
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 folded, bits = sketcher.of(s) if len(s) else (None, None)
@@ -87,9 +87,8 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def sets(batches):
-        hasher = WordHasher()
         for b in batches:
-            out = [shingle_set(t, width, hasher).view(np.int64) for t in b.column(1).to_pylist()]
+            out = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return docs.mapInArrow(sets, "id long, shingles array<long>")
@@ -122,10 +121,21 @@ def _confirm(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, width: int, pe
 
 
 def _tiles(rest: DataFrame, *bucket: str) -> DataFrame:
-    """Members of buckets dealt to tiles (i, j), i <= j: pairs of blocks of about BLOCK members each."""
-    many = rest.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_m"))
-    out = rest.join(many, list(bucket)).withColumn("_c", F.ceil(F.col("_m") / BLOCK).cast("int"))
-    out = out.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_c")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    """Members of buckets dealt to tiles (i, j), i <= j: pairs of blocks of about BLOCK members each.
+
+    Members of a bucket's largest component need not meet each other: their blocks, numbered after all
+    others, meet those of the other members only. So a bucket's rows grow with its size, and not with the
+    square of it, as long as almost all of it is one component.
+    """
+    n = F.count(F.lit(1))
+    sizes = rest.groupBy(*bucket, "component").agg(n.alias("_n"))
+    sizes = sizes.groupBy(*bucket).agg(F.max_by("component", F.struct("_n", -F.col("component"))).alias("_most"), F.max("_n").alias("_m"), F.sum("_n").alias("_all"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    out = rest.join(sizes, list(bucket)).withColumn("_few", blocks(F.col("_all") - F.col("_m"))).withColumn("_many", blocks(F.col("_m")))
+    major = F.col("component") == F.col("_most")
+    own = F.when(major, F.col("_few") + F.pmod(F.xxhash64("id"), F.col("_many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("_few"))).cast("int")
+    last = F.when(major, F.col("_few")).otherwise(F.col("_few") + F.col("_many")) - 1
+    out = out.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), last)))
     return out.withColumn("i", F.least("_b", "_o")).withColumn("j", F.greatest("_b", "_o"))
 
 
