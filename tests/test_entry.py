@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__ as e
 
 SF = "/root/testdata/sf0.001"
-SOME = ("coupling_mine", "edge_resolve", "asof_latest", "velocity_ema", "confidence_percentile", "version_dedupe", "leaky_bucket", "snapshot_diff", "khop_min_depth", "fsck")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the synthetic tables")
 
@@ -22,7 +21,7 @@ def test_entry(spark):
     assert e.entry(spark).columns[0] == "file_a"
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(e.oracle_sql()))
 def test_rows_match_duckdb(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
