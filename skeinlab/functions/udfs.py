@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -98,3 +99,68 @@ def first_json_object(df: DataFrame, text: str, into: str) -> DataFrame:
         return s.map(find)
 
     return df.withColumn(into, run(F.col(text)))
+
+
+_annotators: dict[str, Callable[[list[dict]], list[dict]]] = {}
+_summarizers: dict[str, Callable[[list[str]], str]] = {}
+
+
+def first_words(units: list[dict]) -> list[dict]:
+    """Deterministic stand-in provider: the first twelve words as the intent, confidence by length."""
+    return [{"intent": " ".join((u.get("content") or "").split()[:12]), "confidence": min(1.0, len(u.get("content") or "") / 200)} for u in units]
+
+
+_annotators["first_words"] = first_words
+_summarizers["longest"] = lambda texts: max(texts, key=lambda t: (len(t), t), default="")
+
+
+def register_annotator(name: str, f: Callable[[list[dict]], list[dict]]) -> None:
+    _annotators[name] = f
+
+
+def register_summarizer(name: str, f: Callable[[list[str]], str]) -> None:
+    _summarizers[name] = f
+
+
+def annotate(units: DataFrame, provider: str = "first_words", workers: int = 4, chunk: int = 64, retries: int = 2, fallback: str | None = None) -> DataFrame:
+    """Units with intent, confidence and error: chunks go to the provider from a bounded pool of threads in each task.
+
+    A chunk that fails is tried again `retries` times, then by the fallback provider; if all fail its rows keep the
+    error and have no intent. Every row comes back, in order.
+    """
+    ways = [_annotators[provider]] * (retries + 1) + ([_annotators[fallback]] if fallback else [])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
+
+    def one(rows: list[dict]) -> list[dict]:
+        error = None
+        for way in ways:
+            try:
+                got = way(rows)
+                if len(got) == len(rows):
+                    return [{"intent": g.get("intent"), "confidence": g.get("confidence"), "error": None} for g in got]
+                error = f"{len(got)} answers to {len(rows)} requests"
+            except Exception as problem:  # noqa: BLE001  a provider may raise anything; the row tells what
+                error = str(problem)
+        return [{"intent": None, "confidence": None, "error": error}] * len(rows)
+
+    def run(batches):
+        with ThreadPoolExecutor(workers) as pool:
+            for df in batches:
+                rows = df.to_dict("records")
+                found = [x for part in pool.map(one, [rows[k : k + chunk] for k in range(0, len(rows), chunk)]) for x in part]
+                for c in ("intent", "confidence", "error"):
+                    df[c] = pd.Series([x[c] for x in found], index=df.index, dtype="float64" if c == "confidence" else "object")
+                yield df
+
+    return units.mapInPandas(run, f"{schema}, intent string, confidence double, error string")
+
+
+def summarize(records: DataFrame, group: str, text: str, provider: str = "longest") -> DataFrame:
+    """(group, summary, n) by a provider over all texts of a group, which has to fit a task: files and modules do."""
+    f = _summarizers[provider]
+
+    @pandas_udf("string")
+    def run(s: pd.Series) -> str:
+        return f([x for x in s.tolist() if x is not None])
+
+    return records.groupBy(group).agg(run(F.col(text)).alias("summary")).join(records.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)

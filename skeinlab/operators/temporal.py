@@ -51,3 +51,17 @@ def merge_ranges(ranges: DataFrame, key: str, start: str, end: str, gap: int) ->
     r = ranges.withColumn("_e", F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1)))
     r = r.withColumn("_g", F.sum((F.col("_e").isNull() | (F.col(start) > F.col("_e") + gap)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return r.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_g")
+
+
+def quiet_points(events: DataFrame, at: str, quiet: int, by: str | None = None) -> DataFrame:
+    """Events after which nothing comes for `quiet` or longer: there a debounced action fires. The last one fires, too."""
+    w = W.partitionBy(by).orderBy(at) if by else W.orderBy(at)
+    later = F.lead(at).over(w)
+    return events.withColumn("fires", later.isNull() | (later - F.col(at) >= quiet)).filter("fires").drop("fires")
+
+
+def held_back(files: DataFrame, git: DataFrame, at: str, quiet: int, by: str) -> DataFrame:
+    """File events with `held`: whether a git event of the same `by` is pending, that is, came less than `quiet` before."""
+    both = files.select(by, at, "path", F.lit(1).alias("_side")).unionByName(git.select(by, at, F.lit(None).cast("string").alias("path"), F.lit(0).alias("_side")))
+    last = F.max(F.when(F.col("_side") == 0, F.col(at))).over(W.partitionBy(by).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("held", F.coalesce(F.col(at) - last < quiet, F.lit(False))).filter("_side = 1").drop("_side")

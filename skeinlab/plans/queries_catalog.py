@@ -7,11 +7,13 @@ import datetime as dt
 from pyspark.sql import Window as W, functions as F
 
 from skeinlab.functions import exprs as X
-from skeinlab.operators import catalog, health, recall, reports, search
+from skeinlab.functions import udfs
+from skeinlab.operators import catalog, health, recall, reports, search, temporal
 from skeinlab.plans import roles as R
 from skeinlab.plans.queries_measures import _COUPLING, _coupling
 from skeinlab.plans.queries_search import _COS, _query_vector
 from skeinlab.plans.registry import query
+from skeinlab.sources import tables
 
 # Lookups -----------------------------------------------------------------------------------------------------------
 
@@ -480,3 +482,66 @@ def _(spark, d):
     return recall.within_groups(R.symbols(spark, d), "file_path", [F.col("price").desc(), "id"]).select("id", "place")
 
 
+# Change events -------------------------------------------------------------------------------------------------------
+
+
+@query("quiet_points", f"WITH {R.FINGERPRINTS}, x AS (SELECT id, symbol_id, ts_us, lead(ts_us) OVER (PARTITION BY symbol_id ORDER BY ts_us) AS later FROM fp) SELECT id, symbol_id FROM x WHERE later IS NULL OR later - ts_us >= 14400000000")
+def _(spark, d):
+    return temporal.quiet_points(R.fingerprints(spark, d), "ts_us", 14400000000, "symbol_id").select("id", "symbol_id")
+
+
+@query("held_file_events", f"""WITH {R.FINGERPRINTS}, x AS (SELECT id, symbol_id, ts_us, trigger, max(CASE WHEN trigger = 'error' THEN ts_us END) OVER (PARTITION BY symbol_id ORDER BY ts_us, trigger <> 'error' ROWS UNBOUNDED PRECEDING) AS git FROM fp)
+SELECT CAST(id AS VARCHAR) AS path, coalesce(ts_us - git < 14400000000, false) AS held FROM x WHERE trigger <> 'error'""")
+def _(spark, d):
+    fp = R.fingerprints(spark, d)
+    files = fp.filter("trigger <> 'error'").select("symbol_id", "ts_us", F.col("id").cast("string").alias("path"))
+    return temporal.held_back(files, fp.filter("trigger = 'error'"), "ts_us", 14400000000, "symbol_id").select("path", "held")
+
+
+_CHANGED = "c AS (SELECT id, qualified_name, file_path, 'changed' AS kind, size, price FROM symbols WHERE id % 10 = 1), g AS (SELECT id FROM symbols WHERE id % 10 = 2)"
+
+
+def _applied(spark, d):
+    s, e = R.symbols(spark, d), R.edges(spark, d)
+    changed = s.filter("id % 10 = 1").withColumn("kind", F.lit("changed"))
+    new = changed.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"), F.lit("calls").alias("edge_kind"))
+    return tables.apply_changes(s, e, changed, new, s.filter("id % 10 = 2").select("id"))
+
+
+@query("changed_symbols", f"WITH {R.SYMBOLS}, {_CHANGED} SELECT id, kind FROM symbols WHERE id % 10 NOT IN (1, 2) UNION ALL SELECT id, kind FROM c")
+def _(spark, d):
+    return _applied(spark, d)[0].select("id", "kind")
+
+
+@query("changed_edges", f"WITH {R.SYMBOLS}, {R.edges_sql()}, {_CHANGED} SELECT source_id, count(*) AS n FROM (SELECT source_id FROM edges WHERE source_id % 10 NOT IN (1, 2) UNION ALL SELECT id FROM c) GROUP BY 1")
+def _(spark, d):
+    return catalog.count_by(_applied(spark, d)[1], "source_id")
+
+
+_SIDES = "s AS (SELECT c_custkey AS id, c_mktsegment AS source_hash, CAST(c_nationkey AS VARCHAR) AS neighbor_hash FROM customer), a AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'x' ELSE source_hash END AS source_hash, CASE WHEN id % 6 = 0 THEN 'y' ELSE neighbor_hash END AS neighbor_hash FROM s), b AS (SELECT * FROM s WHERE id % 5 <> 0)"
+
+
+@query("change_records", f"WITH {_SIDES} SELECT a.id, a.source_hash IS DISTINCT FROM b.source_hash AS source_changed, a.neighbor_hash IS DISTINCT FROM b.neighbor_hash AS neighbor_changed, b.id IS NULL AS config_changed FROM a LEFT JOIN b USING (id) WHERE b.id IS NULL OR a.source_hash <> b.source_hash OR a.neighbor_hash <> b.neighbor_hash")
+def _(spark, d):
+    s = R.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("source_hash"), F.col("c_nationkey").cast("string").alias("neighbor_hash"), F.lit("c").alias("config_hash"), F.array(F.lit(1.0), F.col("c_acctbal")).alias("embedding"))
+    hashed = lambda df: df.withColumn("prompt_hash", F.sha2(F.concat_ws("/", "source_hash", "neighbor_hash", "config_hash"), 256))
+    after = s.withColumn("source_hash", F.when(F.col("id") % 4 == 0, "x").otherwise(F.col("source_hash"))).withColumn("neighbor_hash", F.when(F.col("id") % 6 == 0, "y").otherwise(F.col("neighbor_hash")))
+    out = tables.change_records(hashed(s.filter("id % 5 <> 0")), hashed(after), "batch", 7, X.cosine(F.col("old_embedding"), F.col("embedding")))
+    return out.select("id", "source_changed", "neighbor_changed", "config_changed")
+
+
+@query("copied_rows", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(spark, d):
+    o = R.read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return tables.copy_missing(o, o.filter("o_orderstatus = 'F'"), ["o_orderkey"])
+
+
+@query("annotated_units", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')[:12], ' ') AS intent, round(least(1.0, length(text) / 200.0), 6) AS confidence FROM documents")
+def _(spark, d):
+    u = R.read(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return udfs.annotate(u).select("doc_id", "intent", F.round("confidence", 6).alias("confidence"))
+
+
+@query("summaries", "WITH x AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_name DESC) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, p_name AS summary, n FROM x WHERE r = 1")
+def _(spark, d):
+    return udfs.summarize(R.read(spark, d, "part"), "p_brand", "p_name")

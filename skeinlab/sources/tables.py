@@ -70,3 +70,54 @@ def consume(queue: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 def coalesce_blob(main: Column, mirror: Column) -> Column:
     return F.coalesce(F.nullif(F.btrim(main), F.lit("")), mirror)
+
+
+def write_staged(tables: dict[str, DataFrame], root: str, commit: str) -> None:
+    """Several tables as one commit: all are written to a folder of the commit, and only then the commit is named as done.
+
+    Readers (`read_committed`) take commits that are named alone, so a crash leaves nothing half visible, and the
+    same commit written again replaces itself.
+    """
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/commits/{commit}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(commit, sorted(tables))], "commit string, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{root}/done/{commit}")
+
+
+def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """All rows of a table from commits that are done, with their `commit`; none if there are none."""
+    done = spark.read.schema("commit string, tables array<string>").option("recursiveFileLookup", "true").json(f"{root}/done")
+    commits = sorted(r.commit for r in done.filter(F.array_contains("tables", name)).select("commit").distinct().collect())  # one name for each commit
+    return spark.read.option("basePath", f"{root}/commits").parquet(*[f"{root}/commits/{c}/{name}" for c in commits]).withColumn("commit", F.regexp_extract("_metadata.file_path", r"/commits/([^/]+)/", 1)) if commits else None
+
+
+def copy_missing(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """The target with those rows of the source whose keys it lacks: a one-off copy that may run again."""
+    return target.unionByName(source.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+def migrate(df: DataFrame, version: int, steps: list) -> tuple[DataFrame, int]:
+    """A table after the steps (functions of a DataFrame) beyond its version, and the version that it then has."""
+    for step in steps[version:]:
+        df = step(df)
+    return df, max(version, len(steps))
+
+
+def apply_changes(symbols: DataFrame, edges: DataFrame, changed: DataFrame, new_edges: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges after one change of files: removed ids go with the edges they are the source of, changed symbols
+    replace what they were, and their edges are replaced by the new ones."""
+    touched = changed.select("id").unionByName(removed.select("id")).distinct()
+    kept = symbols.join(touched, "id", "left_anti").unionByName(changed)
+    links = edges.join(touched.select(F.col("id").alias("source_id")), "source_id", "left_anti").unionByName(new_edges)
+    return kept, links
+
+
+def change_records(before: DataFrame, after: DataFrame, trigger: str, at: int, similarity: Column) -> DataFrame:
+    """One fingerprint row for each symbol whose prompt hash is new: delta of meaning and what caused it.
+
+    before and after: (id, prompt_hash, source_hash, neighbor_hash, config_hash, embedding).
+    """
+    b = before.select("id", *[F.col(c).alias(f"old_{c}") for c in ("prompt_hash", "source_hash", "neighbor_hash", "config_hash", "embedding")])
+    j = after.join(b, "id", "left").filter(~F.col("prompt_hash").eqNullSafe(F.col("old_prompt_hash")))
+    moved = lambda c: (~F.col(c).eqNullSafe(F.col(f"old_{c}"))).alias(c.replace("_hash", "_changed"))
+    return j.select("id", F.col("old_prompt_hash").alias("previous_prompt_hash"), "prompt_hash", F.lit(trigger).alias("trigger"), F.lit(at).alias("at"), (F.lit(1.0) - similarity).alias("delta_sem"), *[moved(c) for c in ("source_hash", "neighbor_hash", "config_hash")])

@@ -5,9 +5,9 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlab.functions import specs
+from skeinlab.functions import specs, udfs
 from skeinlab.operators import catalog, health, recall
-from skeinlab.sources import git
+from skeinlab.sources import git, tables
 
 
 def test_periods():
@@ -85,3 +85,32 @@ def test_git_source(spark, tmp_path):
     assert [r.content for r in lines] == ["one", "2", "\tthree"] and lines[0].commit != lines[1].commit == lines[2].commit
     assert git.changed_paths(repo, "HEAD~1", "HEAD") == ["f1.txt", "x y.txt"]
     assert catalog.commit_files(c, lines[1].commit, F.col("file").startswith("f")).count() == 1
+
+
+def test_staged_commits(spark, tmp_path):
+    root = str(tmp_path / "store")
+    one = spark.createDataFrame([(1, "a")], "id long, blob string")
+    tables.write_staged({"records": one, "history": one}, root, "c1")
+    tables.write_staged({"records": one.withColumn("id", one.id + 1)}, root, "c2")
+    one.write.parquet(f"{root}/commits/c3/records")  # a crash before the commit is named
+    assert sorted((r.id, r.commit) for r in tables.read_committed(spark, root, "records").collect()) == [(1, "c1"), (2, "c2")]
+    assert tables.read_committed(spark, root, "history").count() == 1 and tables.read_committed(spark, root, "none") is None
+
+
+def test_migrations_start_at_the_version(spark):
+    df = spark.createDataFrame([(1,)], "id long")
+    steps = [lambda t: t.withColumn("a", F.lit(1)), lambda t: t.withColumn("b", F.lit(2))]
+    assert tables.migrate(df, 0, steps)[0].columns == ["id", "a", "b"]
+    out, version = tables.migrate(df, 1, steps)
+    assert out.columns == ["id", "b"] and version == 2
+
+
+def test_providers_fail_over(spark):
+    def broken(units):
+        raise ValueError("no answer")
+
+    udfs.register_annotator("broken", broken)
+    u = spark.createDataFrame([(k, f"word {k}") for k in range(150)], "id long, content string")
+    got = udfs.annotate(u, "broken", fallback="first_words").collect()
+    assert [(r.intent, r.error) for r in got] == [(f"word {k}", None) for k in range(150)]
+    assert {(r.intent, r.error) for r in udfs.annotate(u, "broken", retries=0).collect()} == {(None, "no answer")}
