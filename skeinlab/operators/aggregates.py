@@ -144,15 +144,17 @@ def predict_logistic(weights: list[float], features: list[Column]) -> Column:
     return F.lit(1.0) / (F.exp(-z) + 1.0)
 
 
-def calibrate(vectors: DataFrame, cap: int = 500, least: int = 10) -> DataFrame:
+def calibrate(vectors: DataFrame, cap: int = 500, least: int = 20) -> DataFrame:
     """Midpoint of mean cosine within and between files, held to 0.3..0.95, over the first `cap` pairs of each sort.
 
     Pairs come in order of file and id. Within files, the files that hold the first `cap` pairs are found by
     counts, and of a file only the first cap + 1 members can be in them. Between files, the first member
     comes from the first file and its partners from the others, so the first `cap` members of the first
-    file and the first `cap` of all others hold the first pairs.
+    file and the first `cap` of all others hold the first pairs. Zero vectors
+    are in no pair. The threshold is null with fewer than `least` vectors, or where there is no pair of one sort.
     """
-    v = vectors.select("file", "id", "embedding").filter("file IS NOT NULL")
+    whole = vectors.agg((F.count(F.lit(1)) >= least).alias("enough"))
+    v = vectors.select("file", "id", "embedding").filter("file IS NOT NULL").filter(X.norm(F.col("embedding")) > 0)
     by = W.orderBy("file", "id")
     sim = X.cosine(F.col("embedding"), F.col("e_b")).alias("s")
 
@@ -169,7 +171,19 @@ def calibrate(vectors: DataFrame, cap: int = 500, least: int = 10) -> DataFrame:
     head = tagged.filter("file = _first").orderBy("id").limit(cap).unionByName(tagged.filter("file > _first").orderBy("file", "id").limit(cap))
     inter = paired(head.withColumn("_i", F.row_number().over(by)), F.col("file") != F.col("file_b"))
     a = intra.agg(F.avg("s").alias("a"), F.count("s").alias("na"))
-    return a.join(inter.agg(F.avg("s").alias("b"), F.count("s").alias("nb")), F.lit(True)).select(X.clamp((F.col("a") + F.col("b")) / 2, 0.3, 0.95).alias("threshold"), (F.col("na") + F.col("nb")).alias("sample_size"))
+    both = a.join(inter.agg(F.avg("s").alias("b"), F.count("s").alias("nb")), F.lit(True)).join(whole, F.lit(True))  # one row each
+    middle = (F.col("a") + F.col("b")) / 2
+    return both.select(F.when(F.col("enough") & middle.isNotNull(), X.clamp(middle, 0.3, 0.95)).alias("threshold"), (F.col("na") + F.col("nb")).alias("sample_size"))
+
+
+def calibrate_languages(vectors: DataFrame, languages: list[str], cap: int = 500, least: int = 20) -> DataFrame:
+    """(language, threshold, sample_size) of each language that has a threshold; `default` stands for all vectors."""
+    out = None
+    for name in languages:
+        mine = vectors if name == "default" else vectors.filter(F.lower(F.btrim("language")) == name.lower())
+        row = calibrate(mine, cap, least).select(F.lit(name).alias("language"), "threshold", "sample_size")
+        out = row if out is None else out.unionByName(row)
+    return out.filter("threshold IS NOT NULL")
 
 
 def symbol_risk(symbols: DataFrame) -> DataFrame:

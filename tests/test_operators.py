@@ -194,7 +194,7 @@ def test_calibration_takes_the_first_pairs_of_each_sort(spark):
     for files in (hot, alone, few):
         rows = [(f, k, [1.0 + k % 3, 2.0 - k % 5, float(ord(f[0]) - 96)]) for k, f in enumerate(files)]
         v = spark.createDataFrame(rows, "file string, id long, embedding array<double>")
-        got = A.calibrate(v, cap=5).first()
+        got = A.calibrate(v, cap=5, least=2).first()
         want = brute(rows, 5)
         assert got.threshold == pytest.approx(want[0]) and got.sample_size == want[1]
 
@@ -207,3 +207,12 @@ def test_interesting_paths_runs_with_the_limits_of_the_operator(spark, monkeypat
     monkeypatch.setattr(graph_local, "interesting_path", lambda e, n, starts, max_hops=10, max_expansions=2500: seen.append((max_hops, max_expansions)))
     QUERIES["interesting_paths"](spark, "/root/testdata/sf0.001")
     assert seen == [(10, 2500)]
+
+
+def test_calibration_of_languages(spark):
+    ten = [(k, "src/lib.rs", [1.0, 0.0], "rust") for k in range(10)]
+    two = [(100 + k, "a", [1.0, 0.0], "go") for k in range(12)] + [(200 + k, "b", [0.0, 1.0], "go") for k in range(12)]
+    one = [(300 + k, "c", [1.0, 0.0], "c") for k in range(30)] + [(400, "d", [0.0, 0.0], "c")]
+    df = spark.createDataFrame(ten + two + one, "id long, file string, embedding array<double>, language string")
+    got = {r.language: (r.threshold, r.sample_size) for r in A.calibrate_languages(df, ["rust", "Go", "c", "default"]).collect()}
+    assert got.keys() == {"Go", "default"} and got["Go"] == (0.5, 132 + 144)  # rust has too few, c no second file with a vector
