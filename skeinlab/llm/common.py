@@ -184,7 +184,7 @@ _BYTES = np.random.default_rng(20240311).integers(0, 2**64, 256, dtype=np.uint64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def hash_words(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(text: bytes, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word of a text begins, its bytes and its 64-bit hash: a polynomial in its bytes' random numbers, mixed.
 
     Sums over all bytes before each place give the words' polynomials by difference; the text goes by in
