@@ -1,11 +1,14 @@
-"""Removal of passages that start in an earlier document, by compaction of repeated word k-mers.
+"""Removal of passages that start in an earlier document, by a de Bruijn graph of repeated word k-mers.
 
-Every run of `width` words is an edge of a de Bruijn graph, from its first width - 1 words to its last.
+Every run of `width` words is an edge, from the node of its first width - 1 words to that of its last.
 Edges are keyed by an anchor, the rarest-looking pair of neighbouring words in them, so that equal edges
 share an anchor: first the anchors that occur in more than one document are found, and only edges on
-those are compared. Edges on an anchor that very many documents hold go by their best other pair instead. Repeated edges that advance in step in the document and in the source (the first
-document that holds them) are one nonbranching path; paths are compacted first on each anchor and then,
-after a join to the document, across anchors, where the source coordinates must go on unbroken.
+those are compared. Edges on an anchor that very many documents hold go by their best other pair instead.
+
+Edges that a later document repeats form the graph; each has the coordinates of its first occurrence, its
+source. Nodes are joined with their degrees. Where one edge enters and one leaves, the path goes on: edges
+in step in the source become one stretch, and stretches that such a node links across sources one path.
+What a document repeats is joined, by source coordinates, to the paths, and those pieces are what goes.
 """
 
 from __future__ import annotations
@@ -15,13 +18,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
-from skeinlab.llm.common import Scratch, hash_words, modest_batches, partitions, window_hashes
+from skeinlab.llm.common import Scratch, hash_words, mix64, modest_batches, partitions, window_hashes
+from skeinlab.llm.graph import components
 
 WIDTH = 13
 #: Anchors of at most so many rows are never moved.
 HOT_ROWS = 1000
+#: Repeats and stretches meet in blocks of so many places of a source.
+BLOCK = 64
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -96,7 +102,7 @@ def _shared(batches):
 
 
 def _emit_edges(width, hot):
-    """Runs of edges on one anchor; equal runs of a document are one row with all their places.
+    """Runs of edges on one anchor, as the nodes they pass; equal runs of a document are one row with all their places.
 
     Runs on a hot anchor go by the best pair that is not hot, if they hold one.
     """
@@ -113,7 +119,7 @@ def _emit_edges(width, hot):
                     continue
                 pairs = pair_keys(sizes, hashes)
                 at, key = anchors(pairs, width)
-                edges = window_hashes(hashes, width, seed=width)
+                nodes = window_hashes(hashes, width - 1, seed=width)
                 keep = np.isin(key, np.array(wanted, np.int64).view(np.uint64))
                 moved = np.isin(key, hot)
                 if moved.any():
@@ -125,46 +131,143 @@ def _emit_edges(width, hot):
                 runs: dict[tuple[int, bytes], list[int]] = {}
                 heads = cut[keep[cut]]
                 for s, e, h in zip(heads.tolist(), ends[keep[cut]].tolist(), key[heads].tolist(), strict=True):
-                    runs.setdefault((h, edges[s:e].tobytes()), []).append(s)
+                    runs.setdefault((h, nodes[s : e + 1].tobytes()), []).append(s)
                 for (h, pack), at_all in runs.items():
                     h_out.append(h)
                     k_out.append(k)
                     places.append(at_all)
                     packs.append(pack)
             own = pa.array(k_out, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h_out, np.uint64).view(np.int64)), b.column(0).take(own), b.column(1).take(own), pa.array([p[0] for p in places], pa.int32()), pa.array([np.array(p, "<u4").tobytes() for p in places], pa.binary()), pa.array(packs, pa.binary())], names=["h", "id", "th", "pos", "places", "edges"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h_out, np.uint64).view(np.int64)), b.column(0).take(own), b.column(1).take(own), pa.array([p[0] for p in places], pa.int32()), pa.array([np.array(p, "<u4").tobytes() for p in places], pa.binary()), pa.array(packs, pa.binary())], names=["h", "id", "th", "pos", "places", "nodes"])
 
     return f
 
 
-def _paths(batches):
-    """From anchor runs sorted by (h, id, pos): paths whose edges first occur in a smaller id.
+def _source(i: int, th: int) -> int:
+    """One number for the text of hash th in the document i."""
+    x = ((i ^ th * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93) & (2**64 - 1)
+    return x - 2**64 if x >> 63 else x
+
 
-    Keeps, for one anchor at a time, where each distinct edge was first seen.
+def _repeats(batches):
+    """From anchor runs sorted by (h, id, pos): what repeats an edge of a smaller id, and each such edge once.
+
+    Rows with `starts` are stretches of a document that go on in step in the source; rows with `nodes` are
+    stretches of a source whose edges no row has told yet. Keeps, for one anchor at a time, where each
+    distinct edge was first seen.
     """
-    last, seen = None, {}
+    last, seen, told = None, {}, set()
     for b in batches:
         own, start, size, src, src_start = [], [], [], [], []
-        cols = [b.column(k).to_pylist() for k in (0, 1, 3, 4, 5)]
-        for k, (h, i, pos, places, pack) in enumerate(zip(*cols, strict=True)):
+        f_nodes, f_size, f_src, f_start = [], [], [], []
+        cols = [b.column(k).to_pylist() for k in range(6)]
+        for k, (h, i, th, pos, places, pack) in enumerate(zip(*cols, strict=True)):
             if h != last:
-                last, seen = h, {}
-            path = None
-            for j, e in enumerate(np.frombuffer(pack, np.uint64).tolist()):
-                d, q = seen.setdefault(e, (i, pos + j))
+                last, seen, told = h, {}, set()
+            nodes = np.frombuffer(pack, np.uint64)
+            path = new = None
+            here = _source(i, th)
+            for j, e in enumerate(mix64(nodes[:-1] * np.uint64(0x9FB21C651E98DF25) + nodes[1:]).tolist()):
+                d, q, where = seen.setdefault(e, (i, pos + j, here))
                 if d >= i:
-                    path = None
-                elif path and src[-1] == d and src_start[-1] + size[-1] == q:
+                    path = new = None
+                    continue
+                if path and src[-1] == where and src_start[-1] + size[-1] == q:
                     size[-1] += 1
                 else:
                     path = True
                     own.append(k)
                     start.append(places if not j else (np.frombuffer(places, "<u4") + np.uint32(j)).tobytes())
                     size.append(1)
-                    src.append(d)
+                    src.append(where)
                     src_start.append(q)
-        at = pa.array(own, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(start, pa.binary()), pa.array(size, pa.int32()), pa.array(src, pa.int64()), pa.array(src_start, pa.int32())], names=["id", "th", "starts", "size", "src", "src_start"])
+                if e in told:
+                    new = None
+                    continue
+                told.add(e)
+                if new and f_src[-1] == where and f_start[-1] + f_size[-1] == q:
+                    f_size[-1] += 1
+                    f_nodes[-1] += nodes[j + 1].tobytes()
+                else:
+                    new = True
+                    f_src.append(where)
+                    f_start.append(q)
+                    f_size.append(1)
+                    f_nodes.append(nodes[j : j + 2].tobytes())
+        at, n = pa.array(own, pa.int64()), len(f_src)
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        out = [pa.array(start, pa.binary()), pa.array(size + f_size, pa.int32()), pa.array(src + f_src, pa.int64()), pa.array(src_start + f_start, pa.int32()), pa.array([None] * len(own) + f_nodes, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([x, y]) for x, y in zip((b.column(1).take(at), b.column(2).take(at), out[0]), none, strict=True)), *out[1:]], names=["id", "th", "starts", "size", "src", "src_start", "nodes"])
+
+
+def _passed(batches):
+    """The nodes of each stretch: an edge enters from src, q - 1 (role 1), or leaves to src, q (role 2), or both (role 3)."""
+    for b in batches:
+        packs = [np.frombuffer(p, np.int64) for p in b.column(3).to_pylist()]
+        if not packs:
+            continue
+        sizes = np.array([len(p) for p in packs])
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        role = np.full(ends[-1], 3, np.int8)
+        role[ends - sizes], role[ends - 1] = 2, 1
+        q = (place + np.repeat(b.column(1).to_numpy(), sizes)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(packs)), pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(q), pa.array(role)], names=["node", "src", "q", "role"])
+
+
+def compact(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(src, start, size, path): stretches of sources without a branch, and the maximal nonbranching path they are on.
+
+    `edges` has (src, src_start, size, nodes): stretches of distinct edges, as the 64-bit hashes of the size + 1
+    nodes they pass. A path is named by the least hash of its stretches; a cycle is one path.
+    """
+    n = partitions(scratch.spark)
+    nodes = edges.select("src", "src_start", "size", "nodes").mapInArrow(_passed, "node long, src long, q int, role byte").repartition(n, "node")
+    enters, leaves = F.col("role") % 2 == 1, F.col("role") >= 2
+    degrees = nodes.groupBy("node").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(enters).alias("n_in"),
+        F.count_if(leaves).alias("n_out"),
+        *[F.max(F.when(on, F.col(c))).alias(f"{side}_{c}") for side, on in (("in", enters), ("out", leaves)) for c in ("src", "q")],
+    )
+    one = (F.col("n_in") == 1) & (F.col("n_out") == 1)
+    # The filter needs both sides, so that both read the one shuffle of the nodes.
+    branching = degrees.filter((F.col("rows") > 1) & ~one).select("node", F.lit(1).alias("branching"))
+    breaks = nodes.join(branching.hint("merge"), "node").filter(F.col("role") + F.col("branching") == 4).select("src", "q")
+    links = degrees.filter((F.col("rows") == 2) & one).select(F.col("in_src").alias("a_src"), (F.col("in_q") - 1).alias("a_q"), F.col("out_src").alias("src"), F.col("out_q").alias("q"))
+    links = scratch.cut(links.filter("a_src <> src OR a_q <> q"), "links")
+    in_step = (F.col("a_src") == F.col("src")) & (F.col("a_q") + 1 == F.col("q"))
+    # Starts of stretches, less those that a link joins to the edge before them.
+    marks = edges.select("src", F.col("src_start").alias("q"), (F.col("src_start") + F.col("size")).alias("stop"), F.lit(0).alias("joined"))
+    marks = marks.unionByName(breaks.select("src", "q", F.lit(None).cast("int").alias("stop"), F.lit(0).alias("joined")))
+    marks = marks.unionByName(links.filter(in_step).select("src", "q", F.lit(None).cast("int").alias("stop"), F.lit(1).alias("joined")))
+    marks = marks.repartition(n, "src").groupBy("src", "q").agg(F.max("stop").alias("stop"), F.max("joined").alias("joined"))
+    along = W.partitionBy("src").orderBy("q")  # one document's marks
+    pieces = marks.select("src", "q", F.least(F.last("stop", ignorenulls=True).over(along), F.lead("q").over(along)).alias("stop"), F.sum(1 - F.col("joined")).over(along).alias("k"))
+    stretches = pieces.groupBy("src", "k").agg(F.min("q").alias("start"), F.sum(F.col("stop") - F.col("q")).cast("int").alias("size"))
+    stretches = scratch.cut(stretches.select("src", "start", "size", F.xxhash64("src", "start").alias("own")), "stretches")
+    across = links.filter(~in_step).select(F.col("a_src"), F.col("a_q"), F.xxhash64("src", "q").alias("b"))
+    ends = stretches.select(F.col("src").alias("a_src"), (F.col("start") + F.col("size") - 1).alias("a_q"), F.col("own").alias("a"))
+    named = components(across.join(ends, ["a_src", "a_q"]).select("a", "b"), scratch, "path")
+    return stretches.join(named, F.col("own") == F.col("node"), "left").select("src", "start", "size", F.coalesce("component", "own").alias("path"))
+
+
+def _on_paths(repeats: DataFrame, paths: DataFrame) -> DataFrame:
+    """The pieces of repeats that lie on one path each; off is where a piece begins in its repeat.
+
+    Both sides are cut into blocks of the source, in which there are at most BLOCK stretches; a source
+    that very many documents repeat is a skewed key, which the join splits.
+    """
+
+    def blocks(start, size):
+        return F.explode(F.sequence((F.col(start) / BLOCK).cast("int"), ((F.col(start) + F.col(size) - 1) / BLOCK).cast("int")))
+
+    left = repeats.withColumn("block", blocks("src_start", "size"))
+    right = paths.select("src", "start", F.col("size").alias("long"), "path").withColumn("block", blocks("start", "long"))
+    first = F.greatest("src_start", "start", F.col("block") * BLOCK)
+    stop = F.least(F.col("src_start") + F.col("size"), F.col("start") + F.col("long"), (F.col("block") + 1) * BLOCK)
+    met = left.join(right.hint("merge"), ["src", "block"]).select("id", "th", "starts", (first - F.col("src_start")).alias("off"), (stop - first).alias("size"), "path")
+    return met.filter("size > 0")
 
 
 def _rewrite(width, with_text):
@@ -175,14 +278,14 @@ def _rewrite(width, with_text):
                 words = split_words(text)
                 gone = np.zeros(len(words), bool)
                 whole: list[list[int]] = []
-                each = [(at, p["size"], p["src"], p["src_start"]) for p in paths or () for at in np.frombuffer(p["starts"], "<u4").tolist()]
-                for start, size, src, src_start in sorted(each):
+                each = [(at + p["off"], p["size"], p["path"]) for p in paths or () for at in np.frombuffer(p["starts"], "<u4").tolist()]
+                for start, size, path in sorted(each):
                     gone[start : start + size + width - 1] = True
                     w = whole[-1] if whole else None
-                    if w and w[2] == src and w[0] + w[1] == start and w[3] + w[1] == src_start:
+                    if w and w[2] == path and w[0] + w[1] == start:
                         w[1] += size
                     else:
-                        whole.append([start, size, src, src_start])
+                        whole.append([start, size, path])
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if paths else b" ".join(words)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
@@ -199,8 +302,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """One row for each input row: id, n_words, n_removed, kept_sha256, n_paths, longest_path, kept_text (null unless with_text).
 
     A word goes if any run of `width` words that covers it also starts in a document of smaller id;
-    runs are judged on the input. Kept words are joined by one space. n_paths counts compacted repeated
-    paths and longest_path is the longest in words.
+    runs are judged on the input. Kept words are joined by one space. n_paths counts the unbroken spans that
+    go, each on one nonbranching path, and longest_path is the longest of them in words.
 
     Null and empty texts have no words; texts shorter than `width` keep all; repeats inside one document
     (or between rows of one id) stay; rows without an id keep all their words; an empty table gives no rows.
@@ -215,9 +318,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     most = max(HOT_ROWS, shared.count() // (2 * n))
     hot = [r.h for r in shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("h").collect()]
     wanted = shared.groupBy("id", "th").agg(F.collect_set("h").alias("wanted"))  # at most one document's anchors
-    edges = rows.join(wanted.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "wanted").mapInArrow(_emit_edges(width, hot), "h long, id long, th long, pos int, places binary, edges binary")
-    paths = edges.repartition(n, "h").sortWithinPartitions("h", "id", "pos").mapInArrow(_paths, "id long, th long, starts binary, size int, src long, src_start int")
-    paths = paths.groupBy("id", "th").agg(F.collect_set(F.struct("starts", "size", "src", "src_start")).alias("paths"))  # one document's
+    edges = rows.join(wanted.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "wanted").mapInArrow(_emit_edges(width, hot), "h long, id long, th long, pos int, places binary, nodes binary")
+    edges = edges.repartition(n, "h").sortWithinPartitions("h", "id", "pos")
+    found = scratch.cut(edges.mapInArrow(_repeats, "id long, th long, starts binary, size int, src long, src_start int, nodes binary"), "repeats")
+    scratch.drop("shared")
+    paths = compact(scratch, found.filter("nodes IS NOT NULL").select("src", "src_start", "size", "nodes"))
+    pieces = _on_paths(found.filter("starts IS NOT NULL").select("id", "th", "starts", "size", "src", "src_start"), paths)
+    paths = pieces.groupBy("id", "th").agg(F.collect_set(F.struct("starts", "off", "size", "path")).alias("paths"))  # one document's
     out = rows.join(paths.hint("merge"), ["id", "th"], "left").select("id", "th", "text", "paths")
     out = out.mapInArrow(_rewrite(width, with_text), "id long, n_words long, n_removed long, kept_sha256 string, n_paths long, longest_path long, kept_text string")
     return out.withColumnRenamed("id", id_col)

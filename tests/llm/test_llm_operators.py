@@ -414,12 +414,49 @@ def without_repeats(rows, width):
     return out
 
 
+def paths_gone(rows, width):
+    """For each row with an id: how many spans on one nonbranching path go, and the longest in words, by a union of edges."""
+    held = collections.defaultdict(set)
+    grams = [(i, [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]) for i, t in rows if i is not None for w in [words(t)]]
+    for i, run in grams:
+        for g in run:
+            held[g].add(i)
+    enter, leave, root = collections.defaultdict(list), collections.defaultdict(list), {}
+    for g, ids in held.items():
+        if len(ids) > 1:
+            leave[g[:-1]].append(g)
+            enter[g[1:]].append(g)
+            root[g] = g
+
+    def top(g):
+        while root[g] != g:
+            g = root[g]
+        return g
+
+    for node, into in enter.items():
+        if len(into) == len(leave[node]) == 1:
+            root[top(into[0])] = top(leave[node][0])
+    out = collections.Counter()
+    for i, run in grams:
+        spans, last = [], None
+        for g in run:
+            on = top(g) if min(held[g]) < i else None
+            if on is not None and on == last:
+                spans[-1] += 1
+            elif on is not None:
+                spans.append(1)
+            last = on
+        out[(i, len(spans), max(spans, default=1 - width) + width - 1)] += 1
+    return out
+
+
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_remove_repeats(spark, docs, rows, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT_ROWS", hot)  # with one, every anchor that is shared by two rows or more is moved
     for width in (13, 5):
         got = substrings.remove_repeats(docs, width).collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows, width)
+        assert collections.Counter((r.doc_id, r.n_paths, r.longest_path) for r in got if r.doc_id is not None) == paths_gone(rows, width)
     r = next(r for r in substrings.remove_repeats(docs).collect() if r.doc_id == 61)
     assert (r.n_removed, r.n_paths, r.longest_path) == (40, 1, 40) and hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
     assert substrings.remove_repeats(table(spark, [])).count() == 0
