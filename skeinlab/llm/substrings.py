@@ -149,55 +149,94 @@ def _source(i: int, th: int) -> int:
     return x - 2**64 if x >> 63 else x
 
 
+class _Anchor:
+    """Where the edges of one anchor were first seen, and which of them have been told.
+
+    Runs are taken in the order of (id, pos). While all runs are equal only the first is kept, and edges are
+    told apart from the second kind of run on; no edge occurs twice in a run.
+    """
+
+    def __init__(self, i: int, th: int, pos: int, pack: bytes):
+        self.first, self.whole = (i, th, pos, pack), False
+        self.seen: dict[int, tuple[int, int, int]] | None = None
+        self.told: set[int] = set()
+        self.known: dict[bytes, list[tuple[int, int, int, int]]] = {}
+
+    @staticmethod
+    def _edges(pack: bytes) -> list[int]:
+        nodes = np.frombuffer(pack, np.uint64)
+        return mix64(nodes[:-1] * np.uint64(0x9FB21C651E98DF25) + nodes[1:]).tolist()
+
+    def take(self, i: int, th: int, pos: int, pack: bytes, new: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+        """(offset, size, src, src_start) of what the run repeats of smaller ids; edges not told yet go to `new`."""
+        if self.seen is None:
+            j, jth, at, run = self.first
+            if run == pack:
+                if j >= i:
+                    return []
+                if not self.whole:
+                    self.whole = True
+                    new.append((_source(j, jth), at, pack))
+                    self.known[pack] = [(0, len(pack) // 8 - 1, new[-1][0], at)]
+                return self.known[pack]
+            where = _source(j, jth)
+            self.seen = {e: (j, at + k, where) for k, e in enumerate(self._edges(run))}
+            if self.whole:
+                self.told.update(self.seen)
+        if pack in self.known:  # all of its edges are of smaller ids than an earlier run's
+            return self.known[pack]
+        out: list[tuple[int, int, int, int]] = []
+        here, last, begun, all_old = _source(i, th), False, None, True
+        for k, e in enumerate(self._edges(pack)):
+            d, q, where = self.seen.setdefault(e, (i, pos + k, here))
+            if d >= i:
+                last, begun, all_old = False, None, False
+                continue
+            if last and out[-1][2] == where and out[-1][3] + out[-1][1] == q:
+                out[-1] = (out[-1][0], out[-1][1] + 1, where, out[-1][3])
+            else:
+                last = True
+                out.append((k, 1, where, q))
+            if e in self.told:
+                begun = None
+                continue
+            self.told.add(e)
+            if begun is not None and new[-1][0] == where and new[-1][1] + k - begun == q:
+                new[-1] = (where, new[-1][1], pack[8 * begun : 8 * k + 16])
+            else:
+                begun = k
+                new.append((where, q, pack[8 * k : 8 * k + 16]))
+        if all_old:
+            self.known[pack] = out
+        return out
+
+
 def _repeats(batches):
     """From anchor runs sorted by (h, id, pos): what repeats an edge of a smaller id, and each such edge once.
 
     Rows with `starts` are stretches of a document that go on in step in the source; rows with `nodes` are
-    stretches of a source whose edges no row has told yet. Keeps, for one anchor at a time, where each
-    distinct edge was first seen.
+    stretches of a source whose edges no row has told yet. Keeps one anchor at a time.
     """
-    last, seen, told = None, {}, set()
+    last, anchor = None, None
     for b in batches:
-        own, start, size, src, src_start = [], [], [], [], []
-        f_nodes, f_size, f_src, f_start = [], [], [], []
+        own, start, size, src, src_start, new = [], [], [], [], [], []
         cols = [b.column(k).to_pylist() for k in range(6)]
-        for k, (h, i, th, pos, places, pack) in enumerate(zip(*cols, strict=True)):
+        for row, (h, i, th, pos, places, pack) in enumerate(zip(*cols, strict=True)):
             if h != last:
-                last, seen, told = h, {}, set()
-            nodes = np.frombuffer(pack, np.uint64)
-            path = new = None
-            here = _source(i, th)
-            for j, e in enumerate(mix64(nodes[:-1] * np.uint64(0x9FB21C651E98DF25) + nodes[1:]).tolist()):
-                d, q, where = seen.setdefault(e, (i, pos + j, here))
-                if d >= i:
-                    path = new = None
-                    continue
-                if path and src[-1] == where and src_start[-1] + size[-1] == q:
-                    size[-1] += 1
-                else:
-                    path = True
-                    own.append(k)
-                    start.append(places if not j else (np.frombuffer(places, "<u4") + np.uint32(j)).tobytes())
-                    size.append(1)
-                    src.append(where)
-                    src_start.append(q)
-                if e in told:
-                    new = None
-                    continue
-                told.add(e)
-                if new and f_src[-1] == where and f_start[-1] + f_size[-1] == q:
-                    f_size[-1] += 1
-                    f_nodes[-1] += nodes[j + 1].tobytes()
-                else:
-                    new = True
-                    f_src.append(where)
-                    f_start.append(q)
-                    f_size.append(1)
-                    f_nodes.append(nodes[j : j + 2].tobytes())
-        at, n = pa.array(own, pa.int64()), len(f_src)
+                last, anchor = h, _Anchor(i, th, pos, pack)
+                continue
+            for k, long, where, q in anchor.take(i, th, pos, pack, new):
+                own.append(row)
+                start.append(places if not k else (np.frombuffer(places, "<u4") + np.uint32(k)).tobytes())
+                size.append(long)
+                src.append(where)
+                src_start.append(q)
+        at, n = pa.array(own, pa.int64()), len(new)
+        f_src, f_start, f_nodes = zip(*new, strict=True) if new else ((), (), ())
         none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())]
-        out = [pa.array(start, pa.binary()), pa.array(size + f_size, pa.int32()), pa.array(src + f_src, pa.int64()), pa.array(src_start + f_start, pa.int32()), pa.array([None] * len(own) + f_nodes, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([x, y]) for x, y in zip((b.column(1).take(at), b.column(2).take(at), out[0]), none, strict=True)), *out[1:]], names=["id", "th", "starts", "size", "src", "src_start", "nodes"])
+        each = [pa.concat_arrays([x, y]) for x, y in zip((b.column(1).take(at), b.column(2).take(at), pa.array(start, pa.binary())), none, strict=True)]
+        sizes = size + [len(p) // 8 - 1 for p in f_nodes]
+        yield pa.RecordBatch.from_arrays([*each, pa.array(sizes, pa.int32()), pa.array([*src, *f_src], pa.int64()), pa.array([*src_start, *f_start], pa.int32()), pa.array([None] * len(own) + list(f_nodes), pa.binary())], names=["id", "th", "starts", "size", "src", "src_start", "nodes"])
 
 
 def _passed(batches):
