@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -89,6 +91,14 @@ class Scratch:
             _delete(self.spark, self.paths.pop(name))
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone, which it does when both sides collect garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 #: Row numbers from here on are hashes, of rows that no id of their own tells apart.
 HASHED_IDS = 1 << 62
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from skeinlab.llm.common import Scratch, hash_words, mix64, modest_batches, partitions, window_hashes
+from skeinlab.llm.common import Scratch, free, hash_words, mix64, modest_batches, partitions, window_hashes
 from skeinlab.llm.graph import components
 
 WIDTH = 13
@@ -361,6 +361,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     edges = edges.repartition(n, "h").sortWithinPartitions("h", "id", "pos")
     found = scratch.cut(edges.mapInArrow(_repeats, "id long, th long, starts binary, size int, src long, src_start int, nodes binary"), "repeats")
     scratch.drop("shared")
+    del shared, wanted, edges
+    free(docs.sparkSession)
     paths = compact(scratch, found.filter("nodes IS NOT NULL").select("src", "src_start", "size", "nodes"))
     pieces = _on_paths(found.filter("starts IS NOT NULL").select("id", "th", "starts", "size", "src", "src_start"), paths)
     paths = pieces.groupBy("id", "th").agg(F.collect_set(F.struct("starts", "off", "size", "path")).alias("paths"))  # one document's
