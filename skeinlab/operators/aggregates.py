@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skeinlab.functions import exprs as X
+from skeinlab.session import cut
 
 
 def mine_coupling(commits: DataFrame, static_pairs: DataFrame | None = None, similarity: DataFrame | None = None, min_support: int = 3, max_files: int = 30, previous: DataFrame | None = None) -> DataFrame:
@@ -112,13 +113,13 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def train_logistic(df: DataFrame, features: list[str], label: str, rate: float = 0.01, steps: int = 1000) -> list[float]:
     """Batch gradient descent from zero weights, intercept first.
 
-    Rows are first counted by distinct feature vector, and the descent runs on those counts; vectors
+    Rows are first counted by distinct feature vector, once, and the descent runs on those counts; vectors
     beyond a million distinct ones run as one aggregate for each step instead.
     """
     import numpy as np
 
-    groups = df.groupBy(*features, label).agg(F.count(F.lit(1)).alias("_n"))
-    if groups.limit(1_000_001).count() <= 1_000_000:
+    groups = cut(df.groupBy(*features, label).agg(F.count(F.lit(1)).alias("_n")))
+    if groups.count() <= 1_000_000:
         rows = groups.orderBy(*features, label).toPandas()
         n = rows["_n"].to_numpy(float)
         x = np.c_[np.ones(len(rows)), rows[features].to_numpy(float)]
