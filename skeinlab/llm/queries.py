@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlab.llm import decontaminate, language_model, licenses, mixing, neardup, quality, secrets, sharding, substrings, toxicity
+from skeinlab.llm import band_join, decontaminate, fill_middle, language_model, licenses, mixing, neardup, pii, quality, secrets, sharding, substrings, toxicity
 from skeinlab.llm.common import partitions, table
 
 QUERIES: dict = {}
@@ -104,3 +104,27 @@ def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, on 4-word shingles at similarity 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query
+def op11_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest lines of other items within the price band of each item, and sums over all of its pairs."""
+    return band_join.nearest_lines(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
+
+
+ORACLE_SQL["op11_band_join"] = band_join.ORACLE_SQL
+
+
+@query
+def op12_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and put together to fill its middle."""
+    return fill_middle.fill_middle(table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE_SQL["op13_fill_middle"] = fill_middle.ORACLE_SQL
