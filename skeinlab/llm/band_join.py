@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skeinlab.llm.common import Scratch, partitions
 
@@ -16,7 +16,9 @@ FLAT, PER_MILLE = 10, 2
 #: Cents beyond this are not held exactly by doubles; such prices never pair.
 MOST_CENTS = 2**53
 #: Cells for each shuffle partition, and the load under which a cell is never split.
-CELLS, LEAST_LOAD = 4, 10_000
+CELLS, LEAST_LOAD = 8, 2_000
+#: Parts that the items of one price are dealt into when they take what was found for it.
+SALTS = 8
 #: Bins of the first histogram, and parts that a heavy bin is cut into in each further round.
 BINS, FANOUT = 256, 16
 #: A cut has to leave both sides under the first share of the region's load, or to add less than the second by what it replicates.
@@ -163,19 +165,20 @@ def _repeat(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _deal_items(left: DataFrame, to: Regions) -> DataFrame:
-    """Items with the number of each cell they go to: their region's, in all rows of one column of its grid."""
+def _deal_prices(left: DataFrame, to: Regions) -> DataFrame:
+    """Rows with a price p, their first column, with the number of each cell they go to: their region's, in all rows of one column of its grid."""
+    schema = T.StructType([T.StructField("cell", T.LongType()), *left.schema.fields])
 
     def deal(batches):
         seen = 0
         for b in batches:
-            r = np.searchsorted(to.last, b.column(1).to_numpy(zero_copy_only=False), "left")
+            r = np.searchsorted(to.last, b.column(0).to_numpy(zero_copy_only=False), "left")
             column = (np.arange(len(r)) + seen) % to.across[r]
             rows, k = _repeat(to.down[r])
             yield pa.RecordBatch.from_arrays([pa.array(to.base[r[rows]] + column[rows] * to.down[r[rows]] + k), *b.take(pa.array(rows)).columns], names=["cell", *b.schema.names])
             seen += len(r)
 
-    return left.mapInArrow(deal, "cell long, item_id long, p long")
+    return left.mapInArrow(deal, schema)
 
 
 def _deal_lines(right: DataFrame, to: Regions) -> DataFrame:
@@ -209,9 +212,9 @@ def _connection():
     return _connection.held
 
 
-# Lines are summed up by price, the range join pairs prices, and lines of the item itself are taken off again.
-# The first `k` lines that are not of one item are among the first 2 k of a price if no item has over k there;
-# prices further off are left out once nearer ones have k lines whichever item is left out.
+# Lines are summed up by price and the range join pairs prices. The first `k` lines that are not of one item are among
+# the first 2 k if no item has over k of them; prices further off are left out once nearer ones have k lines
+# whichever item is left out.
 _NEAREST = """
 WITH held AS MATERIALIZED (
     SELECT u, sale_id, line_no, line_item_id FROM lines
@@ -219,24 +222,21 @@ WITH held AS MATERIALIZED (
 best AS MATERIALIZED (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY u ORDER BY sale_id, line_no NULLS FIRST, line_item_id) <= 2 * {k}),
 room AS (SELECT u, sum(c) - max(c) AS others FROM (SELECT u, line_item_id, count(*) AS c FROM best GROUP BY ALL) GROUP BY u),
 points AS MATERIALIZED (SELECT u, n, crc, others FROM (SELECT u, count(*) AS n, sum(crc) AS crc FROM lines GROUP BY u) JOIN room USING (u)),
-prices AS MATERIALIZED (SELECT DISTINCT p, lo, hi FROM banded),
-near AS MATERIALIZED (SELECT p, u, n, crc, others, abs(u - p) AS gap FROM prices JOIN points ON u >= lo AND u <= hi),
+near AS MATERIALIZED (SELECT p, u, n, crc, others, abs(u - p) AS gap FROM banded JOIN points ON u >= lo AND u <= hi),
 sums AS (SELECT p, sum(n) AS n, sum(n * gap) AS gap, sum(crc) AS crc FROM near GROUP BY p),
-own AS (SELECT item_id, p, count(*) AS n, sum(abs(u - p)) AS gap, sum(crc) AS crc
-        FROM banded JOIN lines ON line_item_id = item_id AND u >= lo AND u <= hi GROUP BY ALL),
 wanted AS (SELECT p, u, gap, coalesce(sum(others) OVER (PARTITION BY p ORDER BY gap, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer FROM near),
-listed AS (SELECT p, list({{'gap': gap, 'u': u, 'sale_id': sale_id, 'line_no': line_no, 'line_item_id': line_item_id}} ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS best
-           FROM wanted JOIN best USING (u) WHERE nearer < {k} GROUP BY p)
-SELECT b.item_id, b.p, CAST(s.n - coalesce(o.n, 0) AS BIGINT) AS n_pairs, CAST(s.gap - coalesce(o.gap, 0) AS BIGINT) AS gap_sum, CAST(s.crc - coalesce(o.crc, 0) AS BIGINT) AS lines_crc,
-       list_filter(best, lambda x: x.line_item_id <> b.item_id)[1:{k}] AS best
-FROM banded b JOIN sums s USING (p) JOIN listed USING (p) LEFT JOIN own o ON o.item_id = b.item_id AND o.p = b.p WHERE s.n > coalesce(o.n, 0)
+few AS (SELECT p, gap, u, sale_id, line_no, line_item_id FROM wanted JOIN best USING (u) WHERE nearer < {k}
+        QUALIFY row_number() OVER (PARTITION BY p, line_item_id ORDER BY gap, u, sale_id, line_no NULLS FIRST) <= {k}),
+first AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY p ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) <= 2 * {k}),
+listed AS (SELECT p, list({{'gap': gap, 'u': u, 'sale_id': sale_id, 'line_no': line_no, 'line_item_id': line_item_id}}) AS best FROM first GROUP BY p)
+SELECT p, CAST(s.n AS BIGINT) AS n, CAST(s.gap AS BIGINT) AS gap, CAST(s.crc AS BIGINT) AS crc, best FROM sums s JOIN listed USING (p)
 """
 
 _PAIRS = "SELECT item_id, p, abs(u - p) AS gap, u, sale_id, line_no, line_item_id FROM banded JOIN lines ON u >= lo AND u <= hi AND line_item_id <> item_id"
 
 
 def _join_cells(left: DataFrame, right: DataFrame, sql: str, schema: str, weigh: str, flat: int, per_mille: int, cells: int | None, least: int) -> DataFrame | None:
-    """The SQL over each cell's items (banded, with lo and hi) and lines; None if one side is empty."""
+    """The SQL over each cell's rows with a price p (banded, with lo and hi) and lines; None if one side is empty."""
     scratch = Scratch(left.sparkSession)
     points = left.select(F.col("p").alias("price"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(F.col("u").alias("price"), F.lit(0).alias("l"), F.lit(1).alias("r")))
     points = scratch.cut(points.groupBy("price").agg(F.sum("l").alias("lefts"), F.sum("r").alias("rights")), "price-points")
@@ -244,9 +244,9 @@ def _join_cells(left: DataFrame, right: DataFrame, sql: str, schema: str, weigh:
     if to is None:
         return None
 
-    def join(items: pa.Table, lines: pa.Table) -> pa.Table:
-        p = items.column("p").to_numpy()
-        banded = items.append_column("lo", pa.array(p - width(p, flat, per_mille))).append_column("hi", pa.array(p + width(p, flat, per_mille)))
+    def join(prices: pa.Table, lines: pa.Table) -> pa.Table:
+        p = prices.column("p").to_numpy()
+        banded = prices.append_column("lo", pa.array(p - width(p, flat, per_mille))).append_column("hi", pa.array(p + width(p, flat, per_mille)))
         con = _connection()
         con.register("banded", banded)
         con.register("lines", lines)
@@ -255,7 +255,7 @@ def _join_cells(left: DataFrame, right: DataFrame, sql: str, schema: str, weigh:
         con.unregister("lines")
         return out
 
-    return _deal_items(left, to).groupBy("cell").cogroup(_deal_lines(right, to).groupBy("cell")).applyInArrow(join, schema)
+    return _deal_prices(left, to).groupBy("cell").cogroup(_deal_lines(right, to).groupBy("cell")).applyInArrow(join, schema)
 
 
 def band_pairs(items: DataFrame, sale_lines: DataFrame, flat: int = FLAT, per_mille: int = PER_MILLE, cells: int | None = None, least: int = LEAST_LOAD) -> DataFrame:
@@ -266,20 +266,34 @@ def band_pairs(items: DataFrame, sale_lines: DataFrame, flat: int = FLAT, per_mi
     """
     left = priced_items(items).filter("item_id IS NOT NULL AND p IS NOT NULL")
     schema = "item_id long, p long, gap long, u long, sale_id long, line_no long, line_item_id long"
-    found = _join_cells(left.select("item_id", "p"), priced_lines(sale_lines), _PAIRS, schema, "rows", flat, per_mille, cells, least)
+    found = _join_cells(left.select("p", "item_id"), priced_lines(sale_lines), _PAIRS, schema, "rows", flat, per_mille, cells, least)
     if found is None:
         return items.sparkSession.createDataFrame([], schema)
     many = left.filter("copies > 1").select("item_id", "p", F.explode(F.sequence(F.lit(2), F.col("copies"))).alias("_again"))
     return found.unionByName(found.join(many.drop("_again"), ["item_id", "p"]))
 
 
+def _own_lines(left: DataFrame, right: DataFrame, flat: int, per_mille: int) -> DataFrame:
+    """(item_id, p, own_n, own_gap, own_crc): sums over the lines of an item itself within its band, which are no pairs.
+
+    Lines are summed up by item and price before they move, so a hot item has a row for each of its prices.
+    """
+    mine = right.groupBy(F.col("line_item_id").alias("item_id"), "u").agg(F.count(F.lit(1)).alias("n"), F.sum("crc").alias("crc"))
+    gap = F.abs(F.col("u") - F.col("p"))
+    reach = F.greatest(F.lit(flat), F.call_function("div", F.greatest("p", F.lit(0)) * per_mille, F.lit(1000)))
+    near = left.select("item_id", "p").join(mine, "item_id").filter(gap <= reach)
+    return near.groupBy("item_id", "p").agg(F.sum("n").alias("own_n"), F.sum(F.col("n") * gap).alias("own_gap"), F.sum("crc").alias("own_crc"))
+
+
 def nearest_lines(items: DataFrame, sale_lines: DataFrame, k: int = 5, flat: int = FLAT, per_mille: int = PER_MILLE, cells: int | None = None, least: int = LEAST_LOAD) -> DataFrame:
     """The first k lines of other items within the band of each item's price, and sums over all of its pairs.
 
-    Prices are cut into regions and grids of cells (plan_regions), both tables are dealt to the cells, lines
-    within reach of several regions to each of them, and each cell is joined by DuckDB; partial sums and lists
-    of an item meet by item. Returns item_id, rank (from 1), gap, u, sale_id, line_no, line_item_id, n_pairs,
-    gap_sum, lines_crc; an item without pairs has one row of rank 0.
+    The distinct prices of items are cut into regions and grids of cells (plan_regions); prices and lines are dealt
+    to the cells, lines within reach of several regions to each of them, and DuckDB joins each cell. A price's
+    partial sums and lists - long enough whichever one item is left out - meet by price, items take their price's by
+    an equi-join, salted as many items may have one price, and an item's own lines are taken off again.
+    Returns item_id, rank (from 1), gap, u, sale_id, line_no, line_item_id, n_pairs, gap_sum, lines_crc; an item
+    without pairs has one row of rank 0.
 
     Lines null in sale_id, item_id, quantity or amount, or of quantity 0, never pair, nor do items null in
     item_id or price (they have their row of rank 0); amounts and prices that are no numbers, or beyond 2^53
@@ -287,19 +301,23 @@ def nearest_lines(items: DataFrame, sale_lines: DataFrame, k: int = 5, flat: int
     count and take a rank each; repeated item rows each get their rows. An empty items table gives no rows.
     Extra columns are ignored.
     """
-    every = priced_items(items)
-    left = every.filter("item_id IS NOT NULL AND p IS NOT NULL").select("item_id", "p")
-    found = _join_cells(left, priced_lines(sale_lines), _NEAREST.format(k=k), f"item_id long, p long, n_pairs long, gap_sum long, lines_crc long, best {_BEST}", "points", flat, per_mille, cells, least)
-    rows = every.select("item_id", "p", "copies", *[F.lit(0).cast("long").alias(c) for c in ("n_pairs", "gap_sum", "lines_crc")], F.array().cast(_BEST).alias("best"))
-    if found is not None:
-        rows = rows.unionByName(found.withColumn("copies", F.lit(0).cast("long")))
-    whole = rows.groupBy("item_id", "p").agg(
-        F.sum("copies").cast("int").alias("copies"), *[F.sum(c).alias(c) for c in ("n_pairs", "gap_sum", "lines_crc")],
-        F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"),  # at most k from each of an item's cells
-    )
-    each = whole.select("item_id", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"), "n_pairs", "gap_sum", "lines_crc", "best")
-    each = each.select("item_id", F.posexplode_outer("best").alias("_place", "_line"), "n_pairs", "gap_sum", "lines_crc")
-    return each.select("item_id", F.coalesce(F.col("_place") + 1, F.lit(0)).alias("rank"), *[F.col(f"_line.{c}").alias(c) for c in ("gap", "u", "sale_id", "line_no", "line_item_id")], "n_pairs", "gap_sum", "lines_crc")
+    every, right = priced_items(items), priced_lines(sale_lines)
+    left = every.filter("item_id IS NOT NULL AND p IS NOT NULL")
+    found = _join_cells(left.select("p").distinct(), right, _NEAREST.format(k=k), f"p long, n long, gap long, crc long, best {_BEST}", "points", flat, per_mille, cells, least)
+    sums = ("n_pairs", "gap_sum", "lines_crc")
+    if found is None:
+        each = every.withColumns({c: F.lit(0).cast("long") for c in sums}).withColumn("best", F.array().cast(_BEST))
+    else:
+        whole = found.groupBy("p").agg(F.sum("n").alias("n"), F.sum("gap").alias("gap"), F.sum("crc").alias("crc"), F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))  # at most 2 k from each cell
+        whole = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = _own_lines(left, right, flat, per_mille)
+        each = every.withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int")).join(whole, ["p", "_salt"], "left")
+        each = each.join(own, ["item_id", "p"], "left").withColumns({a: F.when(F.col("item_id").isNull(), 0).otherwise(F.coalesce(b, F.lit(0)) - F.coalesce(f"own_{b}", F.lit(0))) for a, b in zip(sums, ("n", "gap", "crc"))})
+        other = F.slice(F.filter("best", lambda x: x["line_item_id"] != F.col("item_id")), 1, k)
+        each = each.withColumn("best", F.when(F.col("n_pairs") > 0, other))
+    each = each.select("item_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"), *sums, "best")
+    each = each.select("item_id", F.posexplode_outer("best").alias("_place", "_line"), *sums)
+    return each.select("item_id", F.coalesce(F.col("_place") + 1, F.lit(0)).alias("rank"), *[F.col(f"_line.{c}").alias(c) for c in ("gap", "u", "sale_id", "line_no", "line_item_id")], *sums)
 
 
 # CRC-32 by the table that follows from the reflected polynomial; pairs by one range join.
@@ -309,7 +327,7 @@ WITH tab AS (SELECT list(list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(
 i AS (SELECT row_number() OVER () AS row_id, item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items),
 a AS (SELECT sale_id, CAST(line_no AS BIGINT) AS line_no, item_id AS line_item_id, quantity, CAST(floor(100 * amount + 0.5) AS BIGINT) AS a FROM sale_lines
       WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL AND amount IS NOT NULL AND quantity <> 0),
-l AS MATERIALIZED (SELECT sale_id, line_no, line_item_id, CAST(floor((2 * a + quantity) / CAST(2 * quantity AS DECIMAL(38, 0))) AS BIGINT) AS f, (2 * a + quantity) // (2 * quantity) AS u,
+l AS MATERIALIZED (SELECT sale_id, line_no, line_item_id, (2 * a + quantity) // (2 * quantity) AS u,
       hex(encode(sale_id || ',' || coalesce(CAST(line_no AS VARCHAR), '') || ',' || line_item_id)) AS x FROM a),
 c AS MATERIALIZED (SELECT sale_id, line_no, line_item_id, u, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
                 list_transform(range(length(x) // 2), lambda i: CAST(('0x' || x[2*i+1:2*i+2]) AS BIGINT))),
