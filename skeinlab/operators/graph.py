@@ -1,11 +1,12 @@
 """Graph operators as loops of joins and aggregates; edges are (source_id, target_id) and repeats count.
 
-Every loop cuts lineage with a checkpoint in the shared folder. Frontiers and ranks are never collected;
-only counts and convergence sums reach the driver.
+Loops cut lineage with checkpoints in the shared folder. Frontiers and ranks are never collected; only counts
+and sums for each step reach the driver.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skeinlab.session import cut
@@ -21,51 +22,88 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def _collapsed(edges: DataFrame) -> DataFrame:
-    """Distinct edges with the share of the source's out-degree that each carries."""
-    m = cut(edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("m")))
-    deg = m.groupBy("source_id").agg(F.sum("m").alias("deg"))
-    return cut(m.join(deg, "source_id").select("source_id", "target_id", (F.col("m") / F.col("deg")).alias("share")))
+    """Distinct edges with the share of the source's out-degree that each carries, dealt out by source and kept on disk for the steps."""
+    m = edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("m"))
+    deg = edges.groupBy("source_id").agg(F.count(F.lit(1)).alias("deg"))
+    return m.join(deg, "source_id").select("source_id", "target_id", (F.col("m") / F.col("deg")).alias("share")).repartition("source_id").persist(StorageLevel.DISK_ONLY)
+
+
+def _powers(start: DataFrame, e: DataFrame, damping: float, steps: int, together: int = 5) -> DataFrame:
+    """(k, id, p): the start (id, p) and what is left of it after k = 1, 2, ... damped steps along the edges; nodes that nothing reaches have no row.
+
+    A step is one join by source and one aggregate by target. Steps are written `together`, each the input of the
+    next, so that a plan stays short and each exchange is made once.
+    """
+    at = cut(start.select("id", "p"))
+    out = at.select(F.lit(0).alias("k"), "id", "p")
+    for first in range(1, steps + 1, together):
+        rows = None
+        for k in range(first, min(first + together, steps + 1)):
+            at = at.join(e, F.col("id") == F.col("source_id")).groupBy("target_id").agg((F.sum(F.col("p") * F.col("share")) * damping).alias("p")).withColumnRenamed("target_id", "id")
+            row = at.select(F.lit(k).alias("k"), "id", "p")
+            rows = row if rows is None else rows.unionByName(row)
+        rows = cut(rows)
+        at = rows.filter(F.col("k") == k).select("id", "p")
+        out = out.unionByName(rows)
+    return out
+
+
+def _mixed(powers: DataFrame, weights: list[float]) -> DataFrame:
+    """(id, rank): the powers of each node, weighed and added up."""
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    return powers.groupBy("id").agg(F.sum(F.col("p") * F.get(w, F.col("k"))).alias("rank"))
+
+
+def _lost(powers: DataFrame, sinks: DataFrame, steps: int) -> list[float]:
+    """The mass of each power that lies on nodes without out-edges."""
+    got = {r.k: r.s for r in powers.join(sinks, "id", "left_semi").groupBy("k").agg(F.sum("p").alias("s")).collect()}  # one number for each step
+    return [float(got.get(k, 0.0)) for k in range(steps + 1)]
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 25) -> DataFrame:
     """(id, rank) after a fixed number of power iterations; mass of nodes without out-edges is spread evenly.
 
-    A step joins ranks to edges by source and adds up by target; only two sums come to the driver.
+    A step adds the same to every node, so ranks are a mix of the powers of the damped edges applied to ones. The
+    weights follow from the mass that each power leaves on nodes without out-edges, which is summed up once at
+    the end: no step waits for a sum.
     """
     e = _collapsed(edges)
-    v = cut(nodes(e).join(e.select(F.col("source_id").alias("id"), F.lit(True).alias("out")).distinct(), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
+    v = cut(nodes(e))
     n = v.count()
     if not n:
+        e.unpersist()
         return v.select("id", F.lit(0.0).alias("rank"))
-    rank = v.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        lost = rank.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        got = rank.join(e, F.col("id") == F.col("source_id")).groupBy("target_id").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = cut(v.join(got, F.col("id") == F.col("target_id"), "left").select("id", "dangling", ((F.coalesce("got", F.lit(0.0)) + lost / n) * damping + (1 - damping) / n).alias("rank")))
-    return rank.select("id", "rank")
+    powers = _powers(v.withColumn("p", F.lit(1.0)), e, damping, iterations)
+    lost = _lost(powers, v.join(e.select(F.col("source_id").alias("id")), "id", "left_anti"), iterations)
+    added = [1.0 / n]  # to every node: at the start, then in each step
+    for k in range(1, iterations + 1):
+        sunk = sum(added[k - 1 - j] * lost[j] for j in range(k))
+        added.append((1 - damping) / n + damping * sunk / n)
+    out = cut(_mixed(powers, [added[iterations - j] for j in range(iterations + 1)]))
+    e.unpersist()
+    return out
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 20, tolerance: float = 1e-8) -> DataFrame:
-    """(id, rank) with restarts at the seeds, which also take the mass of nodes without out-edges; stops when ranks settle."""
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 20) -> DataFrame:
+    """(id, rank) after a fixed number of steps, with restarts at the seeds, which also take the mass of nodes without out-edges.
+
+    Seeds that no edge touches are left out. Ranks are a mix of powers, as in pagerank.
+    """
     e = _collapsed(edges)
-    out = e.select(F.col("source_id").alias("id"), F.lit(True).alias("out")).distinct()
-    v = nodes(e).join(out, "id", "left").join(seeds.select("id", F.lit(True).alias("seed")).distinct(), "id", "left")
-    v = cut(v.select("id", F.col("out").isNull().alias("dangling"), F.coalesce("seed", F.lit(False)).alias("seed")))
-    n = v.filter("seed").count()
+    v = cut(nodes(e))
+    s = cut(v.join(seeds.select("id").distinct(), "id", "left_semi"))
+    n = s.count()
     if not n:
+        e.unpersist()
         return v.select("id", F.lit(0.0).alias("rank")).limit(0)
-    v = v.withColumn("s", F.when(F.col("seed"), 1.0 / n).otherwise(0.0)).drop("seed")
-    rank = v.withColumn("rank", F.col("s"))
-    for _ in range(iterations):
-        lost = rank.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        got = rank.join(e, F.col("id") == F.col("source_id")).groupBy("target_id").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = rank.join(got, F.col("id") == F.col("target_id"), "left").withColumn("new", (F.coalesce("got", F.lit(0.0)) + F.col("s") * lost) * (1 - alpha) + F.col("s") * alpha)
-        new = cut(new.select("id", "dangling", "s", "rank", "new"))
-        moved = new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0]
-        rank = new.select("id", "dangling", "s", F.col("new").alias("rank"))
-        if moved < tolerance:
-            break
-    return rank.filter("rank > 0").select("id", "rank")
+    powers = _powers(s.withColumn("p", F.lit(1.0 / n)), e, 1 - alpha, iterations)
+    lost = _lost(powers, v.join(e.select(F.col("source_id").alias("id")), "id", "left_anti"), iterations)
+    added = [1.0]
+    for k in range(1, iterations + 1):
+        added.append(alpha + (1 - alpha) * sum(added[k - 1 - j] * lost[j] for j in range(k)))
+    out = cut(_mixed(powers, [added[iterations - j] for j in range(iterations + 1)]).filter("rank > 0"))
+    e.unpersist()
+    return out
 
 
 def k_hop(edges: DataFrame, start: DataFrame, depth: int, direction: str = "out", per_level: int | None = None) -> DataFrame:
@@ -234,6 +272,43 @@ def trace_epicenters(edges: DataFrame, history: DataFrame, start: DataFrame, noi
         now = cut(got.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r"))
 
 
+def audit_chain(calls: DataFrame, symbols: DataFrame, root, direction: str = "both", depth: int = 2, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What calls a symbol and what it calls, level by level: (place, id, role, depth, edge_kind) of the first nodes, and one row of totals.
+
+    calls: (source_id, target_id); symbols: (id, name). A node has the role (caller, callee) and depth of its first
+    discovery: parents in order, callees by name before callers by id. That order is the path of roles and
+    names from the root, so that no frontier has to be numbered; depth is 1 to 3, at most 30 nodes are listed,
+    the totals (callers, callees, levels, found) count all. direction: callers, callees or both.
+    """
+    depth, most = max(1, min(3, depth)), max(1, min(30, most))
+    e = calls.select("source_id", "target_id").distinct()
+    name = symbols.select(F.col("id"), F.col("name").cast("string").alias("_name"))
+    parts = []
+    if direction in ("callees", "both"):
+        parts.append(e.select(F.col("source_id").alias("x"), F.col("target_id").alias("id"), F.lit(0).alias("turn")).join(name, "id"))
+    if direction in ("callers", "both"):
+        parts.append(e.select(F.col("target_id").alias("x"), F.col("source_id").alias("id"), F.lit(1).alias("turn")).join(symbols.select("id"), "id").withColumn("_name", F.col("id").cast("string")))
+    if not parts:
+        raise ValueError("direction is callers, callees or both")
+    step = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    step = cut(step.select("x", "id", F.struct("turn", "_name", F.col("id").cast("string").alias("_id")).alias("s")))
+    none = F.array().cast("array<struct<turn:int,_name:string,_id:string>>")
+    seen = front = cut(symbols.filter(F.col("id") == root).select("id", F.lit(0).alias("depth"), none.alias("path")).limit(1))
+    for k in range(1, depth + 1):
+        new = front.join(step, F.col("x") == front["id"]).select(step["id"], F.concat("path", F.array("s")).alias("path")).groupBy("id").agg(F.min("path").alias("path"))
+        front = cut(new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("depth"), "path"))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    turn = F.element_at("path", -1)["turn"]
+    role = F.when(F.col("depth") == 0, "root").when(turn == 0, "callee").otherwise("caller")
+    out = seen.select("id", role.alias("role"), "depth", F.when(F.col("depth") > 0, "calls").alias("edge_kind"), "path")
+    listed = out.orderBy("depth", "path").limit(most)
+    listed = listed.withColumn("place", F.row_number().over(W.orderBy("depth", "path"))).select("place", "id", "role", "depth", "edge_kind")  # at most 30 rows
+    totals = out.agg(F.count_if(F.col("role") == "caller").alias("callers"), F.count_if(F.col("role") == "callee").alias("callees"), F.coalesce(F.max("depth"), F.lit(0)).alias("levels"), F.count(F.lit(1)).alias("found"))
+    return listed, totals
+
+
 def cross_community(edges: DataFrame, communities: DataFrame) -> DataFrame:
     c = communities.select("id", "community")
     a = c.select(F.col("id").alias("source_id"), F.col("community").alias("ca"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skeinlab.functions import exprs as X
+from skeinlab.session import cut
 
 
 def crate_git_signals(files: DataFrame, weights=(0.35, 0.25, 0.25, 0.15)) -> DataFrame:
@@ -163,3 +164,32 @@ def group_affinity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     dots = pairs.join(left, "a").join(right, ["b", "k"]).groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("_d"))
     out = dots.join(n.select(F.col("group").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("group").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", (F.col("_d") / (F.col("na") * F.col("nb"))).alias("affinity"))
+
+
+def absorb_single_clusters(clusters: DataFrame, usage: DataFrame, at: float = 0.8) -> DataFrame:
+    """(trait, method, cluster) after clusters of one method joined the cluster whose consumers are most like its own.
+
+    clusters: (trait, method, cluster), numbers of -1 staying apart; usage: (trait, method, consumer). In a round each
+    trait makes its best merge: the highest Jaccard similarity of consumers from `at` on, then the first by the names
+    of the moving and of the receiving methods. Clusters are compared by the consumers they share, never all with
+    all. The result names a cluster by its first method.
+    """
+    used = cut(usage.select("trait", "method", "consumer").distinct())
+    first = clusters.filter("cluster >= 0").groupBy("trait", "cluster").agg(F.min("method").alias("_c"))
+    state = cut(clusters.join(first, ["trait", "cluster"], "left").select("trait", "method", F.when(F.col("cluster") >= 0, F.col("_c")).alias("cluster")))
+    while True:
+        live = state.filter("cluster IS NOT NULL")
+        names = live.groupBy("trait", "cluster").agg(F.array_sort(F.collect_list("method")).alias("names"))
+        c = live.join(used, ["trait", "method"]).select("trait", "cluster", "consumer").distinct()
+        n = c.groupBy("trait", "cluster").agg(F.count(F.lit(1)).alias("n"))
+        every = cut(names.join(n, ["trait", "cluster"]))
+        one = every.filter(F.size("names") == 1).select("trait", F.col("cluster").alias("moving"), F.col("n").alias("m"))
+        shared = c.join(one, (c["trait"] == one["trait"]) & (c["cluster"] == one["moving"])).select(c["trait"], "moving", "m", "consumer")
+        shared = shared.join(c, ["trait", "consumer"]).filter("moving <> cluster").groupBy("trait", "moving", "m", "cluster").agg(F.count(F.lit(1)).alias("both"))
+        j = shared.join(every.select("trait", "cluster", "n", "names"), ["trait", "cluster"]).withColumn("alike", F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).filter(F.col("alike") >= at)
+        best = cut(j.groupBy("trait").agg(F.min(F.struct((-F.col("alike")).alias("far"), "moving", "names", F.col("cluster").alias("into"))).alias("b")).select("trait", F.col("b.moving").alias("cluster"), "b.into"))
+        if best.isEmpty():
+            return state
+        moved = state.join(best, ["trait", "cluster"], "left").select("trait", "method", F.coalesce("into", "cluster").alias("cluster"))
+        name = moved.filter("cluster IS NOT NULL").groupBy("trait", "cluster").agg(F.min("method").alias("_c"))
+        state = cut(moved.join(name, ["trait", "cluster"], "left").select("trait", "method", F.col("_c").alias("cluster")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinlab.operators import graph, graph_local
+from skeinlab.operators import graph, graph_local, health
 from skeinlab.plans import roles as R
 from skeinlab.plans.registry import query
 
@@ -42,10 +42,10 @@ def _ppr(steps: int, alpha: float = 0.15) -> str:
     return out
 
 
-@query("personalized_pagerank", _held(f"WITH {_ppr(20)} SELECT id, round(rank, 6) AS rank FROM r20 WHERE rank > 0"))
+@query("personalized_pagerank", _held(f"WITH {_ppr(20)} SELECT id, round(rank, 8) AS rank FROM r20 WHERE rank > 0"))
 def _(spark, d):
     e = R.edges(spark, d)
-    return graph.personalized_pagerank(e, graph.nodes(e).filter("id % 50 = 0")).withColumn("rank", F.round("rank", 6))
+    return graph.personalized_pagerank(e, graph.nodes(e).filter("id % 50 = 0")).withColumn("rank", F.round("rank", 8))
 
 
 def _reach(on: str, to: str, depth: int, start: str) -> str:
@@ -108,11 +108,6 @@ def _(spark, d):
     return graph.trace_epicenters(e, fp, fp.select(F.col("symbol_id").alias("id")).distinct(), 0.15, 10)
 
 
-@query("louvain")
-def _(spark, d):
-    return graph_local.louvain(R.edges(spark, d))
-
-
 @query("betweenness")
 def _(spark, d):
     return graph_local.betweenness(R.edges(spark, d)).withColumn("score", F.round("score", 10))
@@ -137,3 +132,34 @@ def _(spark, d):
     e = R.edges(spark, d)
     n = R.symbols(spark, d).select("id", F.col("kind").alias("layer"), F.col("file_path").alias("file"), (F.col("size") / 1000.0).alias("centrality"))
     return graph_local.interesting_path(e, n, graph.nodes(e).filter("id % 100 = 1"))
+
+
+_AUDIT = f"""WITH {R.SYMBOLS}, {R.edges_sql('all_edges')}, e AS (SELECT DISTINCT source_id AS s, target_id AS t FROM all_edges WHERE edge_kind = 'calls'),
+step AS MATERIALIZED (SELECT s AS x, id, {{'turn': 0, 'name': qualified_name, 'id': CAST(id AS VARCHAR)}} AS st FROM e JOIN symbols ON id = t UNION ALL SELECT t, id, {{'turn': 1, 'name': CAST(id AS VARCHAR), 'id': CAST(id AS VARCHAR)}} FROM e JOIN symbols ON id = s),
+l0 AS (SELECT min(s) AS id FROM e), l1 AS MATERIALIZED (SELECT id, min([st]) AS path FROM step WHERE x IN (SELECT id FROM l0) AND id NOT IN (SELECT id FROM l0) GROUP BY 1),
+l2 AS (SELECT step.id, min(list_append(path, st)) AS path FROM l1 JOIN step ON x = l1.id WHERE step.id NOT IN (SELECT id FROM l1 UNION SELECT id FROM l0) GROUP BY 1),
+every AS (SELECT id, 0 AS depth, [] AS path FROM l0 UNION ALL SELECT id, 1, path FROM l1 UNION ALL SELECT id, 2, path FROM l2)"""
+
+
+def _audit(spark, d):
+    e = R.edges(spark, d).filter("edge_kind = 'calls'")
+    return graph.audit_chain(e, R.symbols(spark, d).select("id", F.col("qualified_name").alias("name")), e.agg(F.min("source_id")).first()[0])
+
+
+@query("audit_chain", _AUDIT + """ SELECT CAST(row_number() OVER (ORDER BY depth, path) AS INTEGER) AS place, id, CASE WHEN depth = 0 THEN 'root' WHEN path[-1].turn = 0 THEN 'callee' ELSE 'caller' END AS role,
+depth, CASE WHEN depth > 0 THEN 'calls' END AS edge_kind FROM every ORDER BY depth, path LIMIT 20""")
+def _(spark, d):
+    return _audit(spark, d)[0]
+
+
+@query("audit_totals", _AUDIT + " SELECT count(*) FILTER (depth > 0 AND path[-1].turn = 1) AS callers, count(*) FILTER (depth > 0 AND path[-1].turn = 0) AS callees, max(depth) AS levels, count(*) AS found FROM every")
+def _(spark, d):
+    return _audit(spark, d)[1]
+
+
+@query("trait_clusters_merged")
+def _(spark, d):
+    s = R.symbols(spark, d)
+    calls = R.edges(spark, d).join(s.select(F.col("id").alias("source_id"), F.col("file_path").alias("consumer")), "source_id").join(s.select(F.col("id").alias("target_id"), F.col("file_path").alias("trait"), F.col("qualified_name").alias("method")), "target_id")
+    clusters = graph_local.trait_clusters(calls.groupBy("trait", "method").agg(F.collect_set("consumer").alias("consumers")))
+    return health.absorb_single_clusters(clusters, calls)

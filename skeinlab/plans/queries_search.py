@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from skeinlab.functions import exprs as X
-from skeinlab.operators import joins, search
+from skeinlab.operators import joins, search, vector_index
 from skeinlab.plans import roles as R
 from skeinlab.plans.registry import query
+from skeinlab.session import shared_folder
 
 _DOC_ORDER = "ORDER BY source, doc_id"
 
@@ -200,3 +203,32 @@ def _(spark, d):
 @query("stale_symbols", f"WITH {R.SYMBOLS}, {R.edges_sql()} SELECT id FROM symbols WHERE id NOT IN (SELECT source_id FROM edges)")
 def _(spark, d):
     return R.symbols(spark, d).join(R.edges(spark, d).select(F.col("source_id").alias("id")), "id", "left_anti").select("id")
+
+
+def _asked(spark, d):
+    """The stated query set: every vector whose id is divisible by 50."""
+    return R.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query"), "embedding")
+
+
+@query("vector_search_exact", f"""WITH {R.VECTORS}, q AS (SELECT id AS query, embedding AS qv FROM vectors WHERE id % 50 = 0),
+s AS (SELECT query, id, list_dot_product(embedding, qv) / sqrt(list_dot_product(embedding, embedding) * list_dot_product(qv, qv)) AS score FROM q, vectors),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s)
+SELECT query, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def _(spark, d):
+    return vector_index.exact(R.vectors(spark, d), _asked(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+def _index(spark, d):
+    path = f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}"
+    vector_index.build(R.vectors(spark, d).select("id", "embedding"), path)
+    return vector_index.load(spark, path)
+
+
+@query("vector_index_search")
+def _(spark, d):
+    return vector_index.search(_index(spark, d), _asked(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+@query("vector_index_recall")
+def _(spark, d):
+    return vector_index.recall(vector_index.search(_index(spark, d), _asked(spark, d), 10), vector_index.exact(R.vectors(spark, d), _asked(spark, d), 10))

@@ -96,3 +96,27 @@ def old_edges(spark, d) -> DataFrame:
 
 
 OLD_EDGES = f"old AS (SELECT * FROM (SELECT l_partkey AS source_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS target_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')) WHERE target_id IS NOT NULL)"
+
+
+def planner_symbols(spark, d) -> DataFrame:
+    """Symbols of the file planner: brands are files, types are containers, and two containers of each file have a type of their own."""
+    p = read(spark, d, "part")
+    core = F.when(F.col("p_type").isin("ECONOMY", "LARGE", "MEDIUM"), "Core").otherwise(F.lower("p_type"))
+    p = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"), core.alias("container"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), "p_size")
+    anchored = F.col("container").isin("Core", "promo")
+    first = anchored & (F.min("id").over(W.partitionBy("file", "container")) == F.col("id"))
+    p = p.withColumn("type", first)
+    q = F.when(F.col("type"), F.concat_ws("::", "file", "container")).otherwise(F.concat_ws("::", "file", "container", "name"))
+    kind = F.when(F.col("type"), "struct").when(anchored, "method").otherwise("function")
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return p.select("file", "id", q.alias("qualified_name"), kind.alias("kind"), (F.col("p_size") == 50).alias("is_test"), F.col("container")).join(v, "id", "left")
+
+
+PLANNER = (
+    "p AS (SELECT p_partkey AS id, p_brand AS file, CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'Core' ELSE lower(p_type) END AS container, replace(p_name, ' ', '_') AS name, p_size FROM part), "
+    "t AS (SELECT *, container IN ('Core', 'promo') AND min(id) OVER (PARTITION BY file, container) = id AS typed FROM p), "
+    "symbols AS (SELECT file, id, CAST(id AS VARCHAR) AS node, CASE WHEN typed THEN file || '::' || container ELSE file || '::' || container || '::' || name END AS qualified_name, "
+    "CASE WHEN typed THEN file ELSE file || '::' || container END AS stem, CASE WHEN typed THEN 'struct' WHEN container IN ('Core', 'promo') THEN 'method' ELSE 'function' END AS kind FROM t WHERE p_size <> 50), "
+    "types AS (SELECT file, qualified_name FROM symbols WHERE kind = 'struct'), "
+    "groups AS (SELECT s.*, CASE WHEN y.qualified_name IS NULL THEN node ELSE min(node) OVER (PARTITION BY s.file, y.qualified_name) END AS rep FROM symbols s LEFT JOIN types y ON y.file = s.file AND y.qualified_name IN (s.stem, CASE s.kind WHEN 'struct' THEN s.qualified_name END))"
+)

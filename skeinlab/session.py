@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +26,40 @@ def session(app: str = "skeinlab", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder (a temporary one only where none is set and all runs in one process), so loops keep short plans."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where none is set and all runs in one process."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinlab-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so loops keep short plans."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _stored:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session is gone; the folder's owner sweeps it
+            return
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back. Unlike a checkpoint this also drops what the optimizer has inferred about
+    the columns, which grows from round to round in loops that join a frame with itself."""
+    path = f"{shared_folder(df.sparkSession)}/skeinlab-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+_MANIFEST = "commit string, attempt string, at long, tables array<string>"
+
 
 def merge(current: DataFrame, incoming: DataFrame, keys: list[str], order: str, keep: list[str] = ()) -> DataFrame:
     """Upsert: the newest row of each key; `keep` columns take the greatest value seen (counters survive updates)."""
@@ -73,22 +78,34 @@ def coalesce_blob(main: Column, mirror: Column) -> Column:
 
 
 def write_staged(tables: dict[str, DataFrame], root: str, commit: str) -> None:
-    """Several tables as one commit: all are written to a folder of the commit, and only then the commit is named as done.
+    """Several tables as one commit: each attempt writes to folders of its own, and one line of the manifest then names it.
 
-    Readers (`read_committed`) take commits that are named alone, so a crash leaves nothing half visible, and the
-    same commit written again replaces itself.
+    Readers (`read_committed`) take the latest attempt of each commit that the manifest names, so an attempt that
+    fails leaves all as it was, whether the commit is new or written again, and attempts never share a file.
     """
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/commits/{commit}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(commit, sorted(tables))], "commit string, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{root}/done/{commit}")
+    attempt = f"a{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/tables/{name}/attempt={attempt}")
+    line = spark.createDataFrame([(commit, attempt, time.time_ns(), sorted(tables))], _MANIFEST)
+    line.coalesce(1).write.mode("append").json(f"{root}/manifest")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(commit, attempt, at, tables) of the latest attempt of each commit."""
+    lines = spark.read.schema(_MANIFEST).json(f"{root}/manifest")
+    return lines.groupBy("commit").agg(F.max(F.struct("at", "attempt", "tables")).alias("_m")).select("commit", "_m.attempt", "_m.at", "_m.tables")
 
 
 def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """All rows of a table from commits that are done, with their `commit`; none if there are none."""
-    done = spark.read.schema("commit string, tables array<string>").option("recursiveFileLookup", "true").json(f"{root}/done")
-    commits = sorted(r.commit for r in done.filter(F.array_contains("tables", name)).select("commit").distinct().collect())  # one name for each commit
-    return spark.read.option("basePath", f"{root}/commits").parquet(*[f"{root}/commits/{c}/{name}" for c in commits]).withColumn("commit", F.regexp_extract("_metadata.file_path", r"/commits/([^/]+)/", 1)) if commits else None
+    """All rows of a table from the commits that are done, with their `commit`; none if there are none.
+
+    Attempts are partitions of the table, joined to the manifest: those it does not name are pruned at run time.
+    """
+    done = manifest(spark, root).filter(F.array_contains("tables", name)).select("commit", "attempt")
+    if done.isEmpty():
+        return None
+    return spark.read.parquet(f"{root}/tables/{name}").join(done, "attempt").drop("attempt")
 
 
 def copy_missing(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

@@ -92,11 +92,26 @@ def test_staged_commits(spark, tmp_path):
     one = spark.createDataFrame([(1, "a")], "id long, blob string")
     tables.write_staged({"records": one, "history": one}, root, "c1")
     tables.write_staged({"records": one.withColumn("id", one.id + 1)}, root, "c2")
-    one.write.parquet(f"{root}/commits/c3/records")  # a crash before the commit is named
+    one.write.parquet(f"{root}/tables/records/attempt=a3")  # a crash before the commit is named
     assert sorted((r.id, r.commit) for r in tables.read_committed(spark, root, "records").collect()) == [(1, "c1"), (2, "c2")]
     assert tables.read_committed(spark, root, "history").count() == 1 and tables.read_committed(spark, root, "none") is None
 
 
+def test_a_rewrite_that_fails_leaves_the_commit_as_it_was(spark, tmp_path):
+    root = str(tmp_path / "store")
+    one = spark.createDataFrame([(1, "a")], "id long, blob string")
+    tables.write_staged({"records": one, "vectors": one}, root, "c1")
+    broken = one.withColumn("blob", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception, match="no"):
+        tables.write_staged({"records": one.withColumn("id", one.id + 8), "vectors": broken}, root, "c1")
+    read = lambda name: [tuple(r) for r in tables.read_committed(spark, root, name).select("id", "commit").collect()]
+    assert read("records") == read("vectors") == [(1, "c1")]
+    tables.write_staged({"records": one.withColumn("id", one.id + 4)}, root, "c1")  # a rewrite that ends replaces the whole commit
+    assert read("records") == [(5, "c1")] and tables.read_committed(spark, root, "vectors") is None
+    plan = tables.read_committed(spark, root, "records")._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
 def test_migrations_start_at_the_version(spark):
     df = spark.createDataFrame([(1,)], "id long")
     steps = [lambda t: t.withColumn("a", F.lit(1)), lambda t: t.withColumn("b", F.lit(2))]
