@@ -291,11 +291,11 @@ def audit_chain(calls: DataFrame, symbols: DataFrame, root, direction: str = "bo
     if not parts:
         raise ValueError("direction is callers, callees or both")
     step = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    step = cut(step.select("x", "id", F.struct("turn", "_name", F.col("id").cast("string").alias("_id")).alias("s")))
+    step = cut(step.select("x", F.col("id").alias("to"), F.struct("turn", "_name", F.col("id").cast("string").alias("_id")).alias("s")))
     none = F.array().cast("array<struct<turn:int,_name:string,_id:string>>")
     seen = front = cut(symbols.filter(F.col("id") == root).select("id", F.lit(0).alias("depth"), none.alias("path")).limit(1))
     for k in range(1, depth + 1):
-        new = front.join(step, F.col("x") == front["id"]).select(step["id"], F.concat("path", F.array("s")).alias("path")).groupBy("id").agg(F.min("path").alias("path"))
+        new = front.join(step, F.col("x") == F.col("id")).groupBy(F.col("to").alias("id")).agg(F.min(F.concat("path", F.array("s"))).alias("path"))
         front = cut(new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("depth"), "path"))
         if front.isEmpty():
             break

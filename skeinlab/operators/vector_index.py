@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Vectors that centroids are fitted on, at most; the index holds every vector.
 SAMPLE, LISTS, STEPS = 20_000, 64, 12
+#: Recall of the first CALIBRATED_AT that the probed lists have to reach, on so many queries of the sample against all of it.
+TARGET, CALIBRATED_AT, QUERIES = 0.95, 10, 400
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -18,15 +20,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def fit_centroids(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, steps: int = STEPS) -> np.ndarray:
-    """Unit centroids by spherical k-means on the `sample` vectors (id, embedding) whose ids hash lowest, so reruns agree.
+def fit_centroids(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, steps: int = STEPS, target: float = TARGET) -> tuple[np.ndarray, int]:
+    """Unit centroids, and how many lists a search has to probe for the target recall, by spherical k-means on the `sample` vectors (id, embedding) whose ids hash lowest, so reruns agree.
 
     Vectors of another length than most, and zero ones, are left out; fewer vectors give fewer centroids.
     """
     few = vectors.filter("embedding IS NOT NULL AND size(embedding) > 0").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").collect()  # a bounded sample
     sizes = [len(r.embedding) for r in few]
     if not sizes:
-        return np.empty((0, 0))
+        return np.empty((0, 0)), 1
     size = max(set(sizes), key=lambda n: (sizes.count(n), -n))
     x = _unit(np.array([r.embedding for r in few if len(r.embedding) == size], np.float64))
     x = x[np.linalg.norm(x, axis=1) > 0]
@@ -36,7 +38,13 @@ def fit_centroids(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE,
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), c)
-    return c
+    if not len(c):
+        return c, 1
+    asked = x[:QUERIES]
+    found = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :CALIBRATED_AT]
+    order = np.argsort(np.argsort(-(asked @ c.T), axis=1, kind="stable"), axis=1)  # place of each list for each query
+    places = np.sort(np.take_along_axis(order, (x @ c.T).argmax(axis=1)[found], axis=1).ravel())
+    return c, int(places[min(len(places) - 1, int(np.ceil(target * len(places))))]) + 1
 
 
 def _nearest_lists(df: DataFrame, centroids: np.ndarray, probes: int, column: str) -> DataFrame:
@@ -69,16 +77,17 @@ def build(vectors: DataFrame, path: str, lists: int = LISTS, sample: int = SAMPL
     Rows whose vectors cannot be compared (null, of another length, zero) lie in the list -1, which no search reads.
     A list is written by as many tasks as hold its rows, so a heavy one is no single task.
     """
-    centroids = fit_centroids(vectors, lists, sample)
+    centroids, probes = fit_centroids(vectors, lists, sample)
     placed = _nearest_lists(vectors, centroids, 1, "_lists").withColumn("list", F.col("_lists")[0]).drop("_lists")
     placed.write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
-    rows = [(k, [float(x) for x in c]) for k, c in enumerate(centroids)]
-    vectors.sparkSession.createDataFrame(rows, "list int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    rows = [(k, [float(x) for x in c], probes) for k, c in enumerate(centroids)]
+    vectors.sparkSession.createDataFrame(rows, "list int, centroid array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray, int]:
+    """Rows, centroids and the number of lists that a search probes by default."""
     rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # at most LISTS rows
-    return spark.read.parquet(f"{path}/rows"), np.array([r.centroid for r in rows]) if rows else np.empty((0, 0))
+    return spark.read.parquet(f"{path}/rows"), np.array([r.centroid for r in rows]) if rows else np.empty((0, 0)), rows[0].probes if rows else 1
 
 
 def _scored(pairs: DataFrame, k: int) -> DataFrame:
@@ -92,24 +101,24 @@ def _scored(pairs: DataFrame, k: int) -> DataFrame:
     return whole.select("query", F.posexplode("best").alias("_p", "b")).select("query", "b.id", (-F.col("b.far")).alias("score"), (F.col("_p") + 1).alias("rank"))
 
 
-def search(index: tuple[DataFrame, np.ndarray], queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
+def search(index: tuple[DataFrame, np.ndarray, int], queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """(query, id, score, rank): the k most similar rows of each query (query, embedding) among its `probes` nearest lists.
 
-    Queries are joined to the lists they probe; lists that no query probes are pruned. With as many probes as
+    Without `probes` as many are read as reached a recall of 0.95 on the sample. Queries are joined to the lists they probe; lists that no query probes are pruned. With as many probes as
     lists the result is exact. Ties go to the smaller id.
     """
-    rows, centroids = index
-    asked = _nearest_lists(queries.select("query", "embedding"), centroids, probes, "_lists").select("query", F.col("embedding").alias("_q"), F.explode("_lists").alias("list")).filter("list >= 0")
+    rows, centroids, enough = index
+    asked = _nearest_lists(queries.select("query", "embedding"), centroids, probes or enough, "_lists").select("query", F.col("embedding").alias("_q"), F.explode("_lists").alias("list")).filter("list >= 0")
     return _scored(rows.filter("list >= 0").select("id", "embedding", "list").join(asked, "list"), k)
 
 
-def search_one(index: tuple[DataFrame, np.ndarray], query: list[float], k: int, probes: int = 16) -> DataFrame:
+def search_one(index: tuple[DataFrame, np.ndarray, int], query: list[float], k: int, probes: int | None = None) -> DataFrame:
     """search for one vector: its lists are named in the filter, so the scan opens their folders alone."""
-    rows, centroids = index
+    rows, centroids, enough = index
     q = np.array(query, np.float64)
     if not len(centroids) or len(q) != centroids.shape[1] or not np.linalg.norm(q):
         return rows.select(F.lit(0).alias("query"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    near = [int(x) for x in np.argsort(-(centroids @ q), kind="stable")[:probes]]
+    near = [int(x) for x in np.argsort(-(centroids @ q), kind="stable")[: probes or enough]]
     return _scored(rows.filter(F.col("list").isin(near)).select("id", "embedding", F.lit(0).alias("query"), F.array(*[F.lit(float(x)) for x in query]).alias("_q")), k)
 
 

@@ -100,7 +100,7 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """All rows of a table from the commits that are done, with their `commit`; none if there are none.
 
-    Attempts are partitions of the table, joined to the manifest: those it does not name are pruned at run time.
+    Attempts are partitions of the table and are joined to the manifest; nothing of either comes to the driver.
     """
     done = manifest(spark, root).filter(F.array_contains("tables", name)).select("commit", "attempt")
     if done.isEmpty():
