@@ -14,12 +14,27 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 # Weak parts: none of them is reported alone. A name may follow an underscore, as in DB_USER.
 ID_PART = r"""(?<![\p{L}\p{N}])(?:AKIA[A-Z0-9]{4,}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,})"""
-KEY_PART = r"""(?:(?<![\p{L}\p{N}])(?i:pass(?:word|wd)?|pwd|secret|token|api_?key|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}|\b(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64})"""
+KEY_PART = r"""(?:(?<![\p{L}\p{N}])(?i:pass(?:word|wd)?|pwd|secret|token|api_?key|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+)"""
 END_PART = r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+[A-Za-z0-9/:._-]*|(?<![\p{L}\p{N}])(?i:(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})"""
 #: Most code points between the starts of parts of one credential.
 SCOPE = 200
 
 
+def _placed(rows: Column) -> Column:
+    """Matches (n, e, g) with e, the length of a match and the gap before it, made its end: running sums by doubling.
+
+    In round k each match takes on the sum that ends 2^k places before it; nothing is appended, so a text
+    of very many matches takes their number times its logarithm.
+    """
+
+    def doubled(a: Column, k: Column) -> Column:
+        by = F.call_function("shiftleft", F.lit(1), k)
+        more = F.transform(a, lambda x, i: F.struct(x["n"].alias("n"), (x["e"] + F.when(i >= by, F.get(a, i - by)["e"]).otherwise(0)).alias("e"), x["g"].alias("g")))
+        return F.when(by < F.size(a), more).otherwise(a)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(29)), rows, doubled)
+
+
 def _spans(text: Column, pattern: str, keep: str | None = None) -> Column:
     """Array of (start, end) of the leftmost non-overlapping matches, in code points.
 
@@ -29,14 +44,9 @@ def _spans(text: Column, pattern: str, keep: str | None = None) -> Column:
     p = F.lit(pattern)
     m, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
     g = F.regexp_extract_all(text, p, F.lit(2)) if keep and "g" in keep.split() else m
-    rows = F.arrays_zip(F.transform(m, lambda x: F.length(x)).alias("n"), F.transform(F.slice(gaps, 1, F.size(m)), lambda x: F.length(x)).alias("b"), g.alias("g"))
-    start = F.struct(F.array().cast("array<struct<s:int,e:int,g:string>>").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, r: Column) -> Column:
-        s = a["at"] + r["b"]
-        return F.struct(F.concat(a["out"], F.array(F.struct(s.alias("s"), (s + r["n"]).alias("e"), r["g"].alias("g")))).alias("out"), (s + r["n"]).alias("at"))
-
-    found = F.aggregate(rows, start, step, lambda a: a["out"])
+    rows = F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("b"), g.alias("g"))
+    sizes = F.transform(rows, lambda r: F.struct(F.length(r["m"]).alias("n"), (F.length(r["b"]) + F.length(r["m"])).alias("e"), r["g"].alias("g")))
+    found = F.transform(_placed(sizes), lambda r: F.struct((r["e"] - r["n"]).alias("s"), r["e"].alias("e"), r["g"].alias("g")))
     if keep:
         found = F.filter(found, lambda x: F.length(x["g"]) >= int(keep.rpartition(" ")[2]))
     return found

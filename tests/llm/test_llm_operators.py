@@ -253,6 +253,16 @@ def test_linked_parts_against_brute_force(spark):
     assert sum(map(bool, want.values())) > 60 and all(r.n_linked == len(want[k]) for k, r in got.items())
 
 
+def test_long_keys_and_very_many_matches(spark):
+    key = "aB3" * 40
+    texts = {1: f"login: someone {key} end", 2: "token=abcdefgh " * 3000, 3: f"login: someone {'a-' * 50_000}", 4: f"user = meme x{key}/+{key} "}
+    got = {r.doc_id: r for r in secrets.scan_secrets(table(spark, list(texts.items()))).collect()}
+    assert f"linked_key:15:{15 + len(key)}" in got[1].spans.split(",")  # the whole key
+    assert got[2].n_assign == 3000 and got[2].spans.endswith(f"assign:{15 * 2999}:{15 * 2999 + 14}")
+    assert got[3].n_linked == 0
+    assert f"linked_key:12:{12 + 2 * len(key) + 3}" in got[4].spans.split(",")
+
+
 def test_secrets_in_capitals_and_with_prefixes(spark):
     texts = {
         1: "USERNAME=alice PASSWORD=abc12", 2: "USERNAME: alice key wJalrXUtnFEMIK7MDENGbPxRfiCY", 3: "ACCESS_KEY_ID=alice PASSWD=abc12", 4: "DB_USER=alice DB_PASS=abc12 DB_HOST=db.example",
