@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skeinlab.functions import exprs as X
+from skeinlab.operators import ordered
 from skeinlab.session import cut
 
 
@@ -60,13 +61,8 @@ def velocity(fp: DataFrame, weights: DataFrame, batch: str, noise: float = 0.15)
 
 
 def ema(series: DataFrame, order: str, value: str, alpha: float) -> DataFrame:
-    """Exponential moving average, the first value starting it. The series is one row for each batch.
-
-    The recurrence runs as a fold over the prefix that a window collects; series are short (days, batches).
-    """
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    step = F.aggregate(F.slice(F.col("_v"), 2, F.greatest(F.size("_v") - 1, F.lit(0))), F.element_at("_v", 1), lambda s, x: s * (1 - alpha) + x * alpha)
-    return series.withColumn("_v", F.collect_list(value).over(w)).withColumn("ema", step).drop("_v")
+    """Exponential moving average, the first value starting it, over a series of any length in ranges of its order."""
+    return ordered.smoothed(series, order, value, alpha, "ema")
 
 
 def community_stability(fp: DataFrame, communities: DataFrame, weights: DataFrame, noise: float = 0.15) -> DataFrame:
@@ -105,7 +101,7 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, share: float) -> D
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Concordance with ties counted half, from rank sums over distinct scores."""
     by = df.groupBy(score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    by = by.withColumn("_below", F.sum("n").over(W.orderBy(score)) - F.col("n"))
+    by = ordered.with_sums(by, [score], n=F.col("n")).withColumnRenamed("before_n", "_below")
     out = by.agg(F.sum(F.col("p") * (F.col("_below") + F.col("n") * 0.5)).alias("c"), F.sum("p").alias("P"), F.sum("n").alias("N"))
     return out.select((F.col("c") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("auc"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skeinlab.functions import exprs as X
-from skeinlab.operators import graph
+from skeinlab.operators import graph, ordered
 
 
 def relevance(text: Column, terms: list[str]) -> Column:
@@ -109,9 +109,7 @@ def file_view(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def emerging_hubs(now: DataFrame, before: DataFrame, share: float = 0.95, growth: float = 0.2) -> DataFrame:
     """Nodes at or above the nearest-rank percentile whose score was positive before and grew by more than `growth`."""
-    w = W.orderBy("rank", "id")
-    n = now.agg(F.count(F.lit(1)).alias("_n"))
-    edge = now.withColumn("_i", F.row_number().over(w) - 1).join(F.broadcast(n), F.lit(True)).filter(F.col("_i") == F.floor((F.col("_n") - 1) * share + 0.5)).select(F.col("rank").alias("_edge"))
+    edge = ordered.at_index(now, ["rank", "id"], F.floor((F.col("_n") - 1) * share + 0.5)).select(F.col("rank").alias("_edge"))
     j = now.join(F.broadcast(edge), F.lit(True)).filter(F.col("rank") >= F.col("_edge")).join(before.select("id", F.col("rank").alias("previous")), "id")
     return j.filter((F.col("previous") > 0) & (F.col("rank") > F.col("previous") * (1 + growth))).select("id", "rank", "previous")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from skeinlab.operators import ordered
+
 
 def at_time(history: DataFrame, edges: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
     """Symbols whose first version is at or before a time, and the edges among them."""
@@ -55,9 +57,11 @@ def merge_ranges(ranges: DataFrame, key: str, start: str, end: str, gap: int) ->
 
 def quiet_points(events: DataFrame, at: str, quiet: int, by: str | None = None) -> DataFrame:
     """Events after which nothing comes for `quiet` or longer: there a debounced action fires. The last one fires, too."""
-    w = W.partitionBy(by).orderBy(at) if by else W.orderBy(at)
-    later = F.lead(at).over(w)
-    return events.withColumn("fires", later.isNull() | (later - F.col(at) >= quiet)).filter("fires").drop("fires")
+    if by:
+        followed = events.withColumn("_later", F.lead(at).over(W.partitionBy(by).orderBy(at)))
+    else:  # rows of one time are told apart by what they hold
+        followed = ordered.next_value(events, [at, F.xxhash64(*events.columns)], at, "_later")
+    return followed.filter(F.col("_later").isNull() | (F.col("_later") - F.col(at) >= quiet)).drop("_later")
 
 
 def held_back(files: DataFrame, git: DataFrame, at: str, quiet: int, by: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlab.operators import graph, health, vector_index
+from skeinlab.operators import graph, health, ordered, temporal, vector_index
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +105,24 @@ def test_single_clusters_join_those_with_their_consumers(spark):
     got = health.absorb_single_clusters(spark.createDataFrame(rows, "trait string, method string, cluster int"), spark.createDataFrame(usage, "trait string, method string, consumer string"))
     assert {(r.trait, r.method): r.cluster for r in got.collect()} == want
     assert any(c and c != m for (_, m), c in want.items())
+
+
+def test_running_sums_and_averages_over_many_ranges(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.uniform(-1, 1)) for k in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    rows.sort()
+    s, want = None, []
+    for _, v in rows:
+        s = v if s is None else s * 0.7 + v * 0.3
+        want.append(s)
+    got = ordered.smoothed(df, "k", "v", 0.3, "ema").orderBy("k").collect()
+    assert [r.ema for r in got] == pytest.approx(want) and got[0].__fields__ == ["k", "v", "ema"]
+    sums = ordered.with_sums(df, ["k"], v=F.col("v")).orderBy("k").collect()
+    assert [r["_index"] for r in sums] == list(range(700)) and [r.before_v for r in sums] == pytest.approx([sum(v for _, v in rows[:k]) for k in range(700)])
+    assert ordered.at_index(df, ["k"], F.col("_n") - 1).first().k == rows[-1][0]
+    later = ordered.next_value(df, ["k"], "k", "then").orderBy("k").collect()
+    assert [r.then for r in later] == [k for k, _ in rows[1:]] + [None]
+    quiet = temporal.quiet_points(df.select("k"), "k", 40)
+    assert sorted(r.k for r in quiet.collect()) == [a for (a, _), b in zip(rows, [*(k for k, _ in rows[1:]), 10**9]) if b - a >= 40]
+    assert ordered.smoothed(df.limit(0), "k", "v", 0.3, "ema").count() == ordered.with_sums(df.limit(0), ["k"]).count() == 0
