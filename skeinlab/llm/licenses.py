@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skeinlab.llm.common import bounded_broadcast
+from skeinlab.llm.common import BROADCAST_ROWS, bounded_broadcast
 
 # Equivalent spellings (left becomes right), after lower-casing.
 SPELLINGS = (
@@ -84,17 +84,24 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
 
     The known digests are hash-joined; they are broadcast when they number at most BROADCAST_ROWS.
     line_licenses lists, comma-joined in order and each once, the licences of which a line of the text is an
-    entire known text; lines are looked up in one row that holds all known digests.
+    entire known text; lines are looked up in one row that holds all known digests, or, if these number
+    more, the distinct lines of each text are joined to them.
     Null and empty texts, and texts that hold nothing but copyright lines, have the digest of the empty text
     and no licence. Repeated rows each get a row; an empty table gives none.
     """
     spark = docs.sparkSession
     known = known_digests(spark) if known is None else known
+    n = known.limit(BROADCAST_ROWS + 1).count()
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_t")).withColumn("digest", digest(F.col("_t")))
-    few = bounded_broadcast(known.select(F.col("digest").alias("k_digest"), "license_id"))
+    few = bounded_broadcast(known.select(F.col("digest").alias("k_digest"), "license_id"), n)
     out = rows.join(few, rows["digest"] == F.col("k_digest"), "left")
-    every = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("_known"))  # one row
     lines = F.transform(F.split(F.coalesce(F.col("_t"), F.lit("")), "\n", -1), digest)
+    if n > BROADCAST_ROWS:  # lines of each distinct text go to the known digests
+        key = F.sha2(F.coalesce(F.col("_t"), F.lit("")), 256)
+        each = rows.select(key.alias("_key"), F.explode(F.array_distinct(lines)).alias("line")).distinct()
+        named = each.join(known, each["line"] == known["digest"]).groupBy("_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"))
+        return out.withColumn("_key", key).join(named, "_key", "left").select(id_col, rows["digest"], "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    every = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("_known"))  # one row
     hits = F.array_intersect(lines, F.map_keys("_known"))
     out = out.join(F.broadcast(every)).select("*", hits.alias("_hits"))
     named = F.array_sort(F.array_distinct(F.transform("_hits", lambda d: F.try_element_at(F.col("_known"), d))))

@@ -27,7 +27,7 @@ class FuzzyLexicon:
     """Deterministic product of a trie with the Levenshtein automata of its terms, built as words need it.
 
     A state is the set of (trie node, edits so far) that some prefix of the word can reach. Whole terms
-    allow one edit from 5 characters and two from 9; stems match the start of a word, unedited.
+    allow one edit from 4 characters and two from 9; stems match the start of a word, unedited.
     """
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], most: int = 500_000):
@@ -36,7 +36,7 @@ class FuzzyLexicon:
         self.stem: list[str | None] = [None]
         self.terms, self.stems = terms, stems
         for t in terms:
-            self.end[self._node(t)] = (t, 2 if len(t) >= 9 else 1 if len(t) >= 5 else 0)
+            self.end[self._node(t)] = (t, 2 if len(t) >= 9 else 1 if len(t) >= 4 else 0)
         for t in stems:
             self.stem[self._node(t)] = t
         self.reach = max([0, *(e[1] for e in self.end if e)])

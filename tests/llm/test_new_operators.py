@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlab.llm import band_join, fill_middle, pii
+from skeinlab.llm import band_join, fill_middle, licenses, pii, toxicity
 
 LINES = "sale_id long, line_no int, item_id long, vendor_id long, quantity int, amount double, p string, cell string"
 ITEMS = "item_id long, name string, price double, u string, rank string, best string"
@@ -238,3 +238,40 @@ def test_registered_new_queries(spark):
     items = [(r.item_id, r.price) for r in spark.read.parquet(f"{d}/items.parquet").collect()]
     lines = [(r.sale_id, r.line_no, r.item_id, r.quantity, r.amount) for r in spark.read.parquet(f"{d}/sale_lines.parquet").collect()]
     assert collections.Counter(tuple(r) for r in joined.collect()) == by_pairs(items, lines)
+
+
+def test_edits_of_short_terms():
+    fuzzy = toxicity.FuzzyLexicon({"dumb": 3.0, "oaf": 4.0, "nitwit": 5.0}, {})
+    assert fuzzy.match("dumb") == (3.0, 0) and fuzzy.match("dumm") == fuzzy.match("dub") == fuzzy.match("duumb") == (3.0, 1)
+    assert fuzzy.match("dmm") is None and fuzzy.match("oaff") is None and fuzzy.match("nitwlt") == (5.0, 1)
+
+
+def test_lines_of_more_licences_than_are_sent_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.\nLicensed under CC BY 4.0\n"), (1, "Released under the MIT License.\nLicensed under CC BY 4.0\n"), (None, None), (2, "words"), (3, "released under the mit license")], "doc_id long, text string")
+    few = sorted(map(str, licenses.scan_licenses(docs).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, licenses.scan_licenses(docs).collect())) == few and "CC-BY-4.0,MIT" in few[0] + few[1]
+
+
+def test_last_stages_with_clashing_names_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["row", "uid", "gone", "size", "shard", "slot", "text_crc32", "written_0", "_before", "_index", "_total", "_part", "item_id", "a.b"]
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = words(40)
+    rows = [(k, t, "en", "s", 1, *["x"] * len(names)) for k, t in [(1, words(80)), (2, f"{words(10)} {passage} {words(10)}"), (3, None), (None, ""), (4, "one"), (4, "one")]]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{n}` string' for n in names)}")
+    df.write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, d = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["decontamination"](spark, docs, d)
+    assert left.columns == docs.columns and {tuple(r)[5:] for r in left.collect()} == {("x",) * len(names)} and left.count() == 5
+    out = stages["byte_shards"](spark, docs, d)
+    added = ["size", "text_crc32", "shard", "slot"]
+    assert out.columns == [c for c in docs.columns if c not in added] + added and out.count() == 6 and out.filter("`a.b` = 'x' AND _before = 'x'").count() == 6
+    none = docs.limit(0)
+    none.write.parquet(str(tmp_path / "none"))
+    none = spark.read.parquet(str(tmp_path / "none"))
+    assert all(stages[name](spark, none, d).count() == 0 for name in ("decontamination", "byte_shards"))
