@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from skeinlab.session import cut
+from skeinlab.operators import ordered
+from skeinlab.session import cut, store
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -309,6 +310,46 @@ def audit_chain(calls: DataFrame, symbols: DataFrame, root, direction: str = "bo
     return listed, totals
 
 
+def interesting_path(edges: DataFrame, node_scores: DataFrame, starts: DataFrame, max_hops: int = 10, max_expansions: int = 2500) -> DataFrame:
+    """(start, path, score): best of the simple paths from each start (id), breadth first within the expansion limit.
+
+    A path scores 10 for each distinct layer, 4 for each change of file, 100 times its centralities, and its length,
+    over the nodes that node_scores (id, layer, file, centrality) knows; ties go to the smaller ids, then the longer
+    path. Paths grow level by level as rows with what they have scored so far; the paths of a level are taken in
+    the order of their ids while the start's budget lasts, which is the order in which a queue would serve them.
+    """
+    e = cut(edges.select(F.col("source_id").alias("x"), F.col("target_id").alias("y")).distinct())
+    info = cut(node_scores.select("id", "layer", "file", F.col("centrality").cast("double").alias("centrality"), F.lit(True).alias("known")))
+    kind = node_scores.schema["layer"].dataType.simpleString()
+    fresh = starts.select(F.col("id").alias("start")).distinct()
+    left = cut(fresh.withColumn("left", F.lit(max_expansions)))
+    none = {"layers": F.array().cast(f"array<{kind}>"), "last": F.lit(None).cast(node_scores.schema["file"].dataType), "some": F.lit(False), "moves": F.lit(0), "central": F.lit(0.0)}
+    front = fresh.withColumns({"at": F.col("start"), "path": F.array("start"), **none})
+    best = None
+    while True:
+        met = front.join(info, front["at"] == info["id"], "left")
+        known = F.coalesce("known", F.lit(False))
+        scored = met.select(
+            "start", "at", "path", F.when(known, F.array_union("layers", F.array("layer"))).otherwise(F.col("layers")).alias("layers"),
+            (F.col("moves") + F.when(known & F.col("some") & ~F.col("file").eqNullSafe(F.col("last")), 1).otherwise(0)).alias("moves"),
+            F.when(known, F.col("file")).otherwise(F.col("last")).alias("last"), (F.col("some") | known).alias("some"), (F.col("central") + F.when(known, F.coalesce("centrality", F.lit(0.0))).otherwise(0.0)).alias("central"),
+        )
+        taken = store(ordered.first_rows(scored, ["start"], ["path"], max_expansions).join(left, "start").filter(F.col("place") <= F.col("left")).drop("left", "place"))
+        if taken.isEmpty():
+            break
+        score = F.size("layers") * 10 + F.col("moves") * 4 + F.col("central") * 100 + F.size("path")
+        top = taken.groupBy("start").agg(F.max(F.struct(score.cast("double").alias("score"), F.transform("path", lambda x: -x).alias("path"))).alias("best"), F.count(F.lit(1)).alias("n"))
+        top = cut(top)
+        best = top.select("start", "best") if best is None else best.unionByName(top.select("start", "best"))
+        left = cut(left.join(top.select("start", "n"), "start", "left").select("start", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")))
+        go = taken.filter(F.size("path") <= max_hops).join(left.filter("left > 0").select("start"), "start", "left_semi")
+        front = go.join(e, go["at"] == e["x"]).filter(~F.array_contains("path", F.col("y"))).select("start", F.col("y").alias("at"), F.array_append("path", F.col("y")).alias("path"), "layers", "last", "some", "moves", "central")
+    if best is None:
+        return fresh.select("start", F.array("start").alias("path"), F.lit(0.0).alias("score")).limit(0)
+    whole = best.groupBy("start").agg(F.max("best").alias("best"))
+    return whole.select("start", F.transform("best.path", lambda x: -x).alias("path"), F.col("best.score").alias("score"))
+
+
 def cross_community(edges: DataFrame, communities: DataFrame) -> DataFrame:
     c = communities.select("id", "community")
     a = c.select(F.col("id").alias("source_id"), F.col("community").alias("ca"))

@@ -131,7 +131,7 @@ def _(spark, d):
 def _(spark, d):
     e = R.edges(spark, d)
     n = R.symbols(spark, d).select("id", F.col("kind").alias("layer"), F.col("file_path").alias("file"), (F.col("size") / 1000.0).alias("centrality"))
-    return graph_local.interesting_path(e, n, graph.nodes(e).filter("id % 100 = 1"))
+    return graph.interesting_path(e, n, graph.nodes(e).filter("id % 100 = 1"))
 
 
 _AUDIT = f"""WITH {R.SYMBOLS}, {R.edges_sql('all_edges')}, e AS (SELECT DISTINCT source_id AS s, target_id AS t FROM all_edges WHERE edge_kind = 'calls'),

@@ -1,6 +1,7 @@
 """Hand-computed cases for the operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,12 +200,40 @@ def test_calibration_takes_the_first_pairs_of_each_sort(spark):
         assert got.threshold == pytest.approx(want[0]) and got.sample_size == want[1]
 
 
+def plain_paths(pairs, info, start, max_hops, budget):
+    """A queue of paths, one start."""
+    out = {}
+    for a, b in sorted(set(pairs)):
+        out.setdefault(a, []).append(b)
+    best, todo = (-1.0, ()), [(start,)]
+    while todo and budget:
+        path, budget = todo.pop(0), budget - 1
+        known = [info[x] for x in path if x in info]
+        moves = sum(a[1] != b[1] for a, b in zip(known, known[1:]))
+        score = 10 * len({x[0] for x in known}) + 4 * moves + 100 * sum(x[2] for x in known) + len(path)
+        best = max(best, (round(score, 9), tuple(-x for x in path)))
+        if len(path) <= max_hops:
+            todo += [(*path, y) for y in out.get(path[-1], ()) if y not in path]
+    return best[0], [-x for x in best[1]]
+
+
+@pytest.mark.parametrize(("hops", "budget"), [(10, 2500), (3, 40), (2, 7)])
+def test_interesting_paths_are_those_of_a_queue(spark, hops, budget):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(25), rng.randrange(25)) for _ in range(60)]
+    info = {k: (f"l{k % 4}", f"f{k % 3}", rng.randrange(64) / 1024) for k in range(25) if k % 7}
+    nodes = spark.createDataFrame([(k, *v) for k, v in info.items()], "id long, layer string, file string, centrality double")
+    starts = spark.createDataFrame([(k,) for k in (0, 3, 3, 24, 99)], "id long")
+    got = {r.start: (round(r.score, 9), r.path) for r in graph.interesting_path(edges(spark, pairs), nodes, starts, hops, budget).collect()}
+    assert got == {k: plain_paths(pairs, info, k, hops, budget) for k in (0, 3, 24, 99)}
+
+
 def test_interesting_paths_runs_with_the_limits_of_the_operator(spark, monkeypatch):
     from skeinlab.plans import queries_graph  # noqa: F401  registers the query
     from skeinlab.plans.registry import QUERIES
 
     seen = []
-    monkeypatch.setattr(graph_local, "interesting_path", lambda e, n, starts, max_hops=10, max_expansions=2500: seen.append((max_hops, max_expansions)))
+    monkeypatch.setattr(graph, "interesting_path", lambda e, n, starts, max_hops=10, max_expansions=2500: seen.append((max_hops, max_expansions)))
     QUERIES["interesting_paths"](spark, "/root/testdata/sf0.001")
     assert seen == [(10, 2500)]
 
