@@ -66,6 +66,14 @@ def _(spark, d):
     return C.detect(R.planner_symbols(spark, d), _calls(spark, d))[1]
 
 
+@query("split_suggestions")
+def _(spark, d):
+    s = R.planner_symbols(spark, d)
+    out, report = C.detect(s, _calls(spark, d))
+    scores = R.read(spark, d, "part").groupBy(F.col("p_brand").alias("file")).agg(F.avg("p_size").alias("score"))
+    return C.suggest_splits(s.withColumn("name", F.lit(None).cast("string")), out, report, scores)
+
+
 @query("louvain")
 def _(spark, d):
     return C.louvain(R.edges(spark, d))
