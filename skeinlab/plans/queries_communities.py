@@ -11,6 +11,9 @@ from skeinlab.plans.registry import query
 _CALLS = f"{R.edges_sql('all_edges')}, edges AS (SELECT source_id, target_id FROM all_edges WHERE edge_kind = 'calls')"
 _GRAPH = "g AS (SELECT least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, count(*) AS weight FROM edges JOIN groups a ON a.id = source_id JOIN groups b ON b.id = target_id WHERE a.file = b.file AND a.rep <> b.rep GROUP BY 1, 2)"
 
+#: The tables' vectors are nearly at right angles to each other, so symbols count as alike from a lower cosine on.
+_PLANNER = C.Planner(threshold=0.3)
+
 
 def _calls(spark, d):
     return R.edges(spark, d).filter("edge_kind = 'calls'")
@@ -22,7 +25,7 @@ def _plain(node: str) -> Column:
 
 
 def _anchored(spark, d):
-    e = C.cut(C.entries(R.planner_symbols(spark, d), C.Planner().runs()[:1]))
+    e = C.cut(C.entries(R.planner_symbols(spark, d), _PLANNER.runs()[:1]))
     return e, C.cut(C.anchor_groups(e).withColumn("split", F.lit(False)))
 
 
@@ -58,18 +61,18 @@ def _(spark, d):
 
 @query("file_communities")
 def _(spark, d):
-    return C.detect(R.planner_symbols(spark, d), _calls(spark, d))[0]
+    return C.detect(R.planner_symbols(spark, d), _calls(spark, d), _PLANNER)[0]
 
 
 @query("file_community_report")
 def _(spark, d):
-    return C.detect(R.planner_symbols(spark, d), _calls(spark, d))[1]
+    return C.detect(R.planner_symbols(spark, d), _calls(spark, d), _PLANNER)[1]
 
 
 @query("split_suggestions")
 def _(spark, d):
     s = R.planner_symbols(spark, d)
-    out, report = C.detect(s, _calls(spark, d))
+    out, report = C.detect(s, _calls(spark, d), _PLANNER)
     scores = R.read(spark, d, "part").groupBy(F.col("p_brand").alias("file")).agg(F.avg("p_size").alias("score"))
     return C.suggest_splits(s.withColumn("name", F.lit(None).cast("string")), out, report, scores)
 
