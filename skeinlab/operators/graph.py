@@ -29,11 +29,11 @@ def _collapsed(edges: DataFrame) -> DataFrame:
     return m.join(deg, "source_id").select("source_id", "target_id", (F.col("m") / F.col("deg")).alias("share")).repartition("source_id").persist(StorageLevel.DISK_ONLY)
 
 
-def _powers(start: DataFrame, e: DataFrame, damping: float, steps: int, together: int = 5) -> DataFrame:
+def _powers(start: DataFrame, e: DataFrame, damping: float, steps: int, together: int = 2) -> DataFrame:
     """(k, id, p): the start (id, p) and what is left of it after k = 1, 2, ... damped steps along the edges; nodes that nothing reaches have no row.
 
-    A step is one join by source and one aggregate by target. Steps are written `together`, each the input of the
-    next, so that a plan stays short and each exchange is made once.
+    A step is one join by source and one aggregate by target. A few steps are written `together`, each the input of the
+    next: fewer jobs, but all but the last of them run again for the next where their exchanges are not reused.
     """
     at = cut(start.select("id", "p"))
     out = at.select(F.lit(0).alias("k"), "id", "p")
