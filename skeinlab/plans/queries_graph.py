@@ -110,7 +110,7 @@ def _(spark, d):
 
 @query("betweenness")
 def _(spark, d):
-    return graph_local.betweenness(R.edges(spark, d)).withColumn("score", F.round("score", 10))
+    return graph.betweenness(R.edges(spark, d)).withColumn("score", F.round("score", 10))
 
 
 @query("toposort")

@@ -46,20 +46,36 @@ def cut(df: DataFrame) -> DataFrame:
 _stored: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _stored:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone; the folder's owner sweeps it
             return
 
 
-def store(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new folder among the shared ones, for tables that go together: `store` takes it, `discard` deletes it."""
+    path = f"{shared_folder(spark)}/skeinlab-{uuid.uuid4().hex}"
+    _stored.append((spark, path))
+    return path
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder whose tables nothing reads any more."""
+    _delete(spark, folder)
+    _stored.remove((spark, folder))
+
+
+def store(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write to the shared folder and read back. Unlike a checkpoint this also drops what the optimizer has inferred about
     the columns, which grows from round to round in loops that join a frame with itself."""
-    path = f"{shared_folder(df.sparkSession)}/skeinlab-{uuid.uuid4().hex}"
+    path = f"{folder or scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _stored.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -61,15 +61,55 @@ def test_components(spark):
 
 def test_local_algorithms(spark):
     assert as_dict(graph_local.louvain(edges(spark, TRIANGLES)), "id", "community") == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
-    b = as_dict(graph_local.betweenness(edges(spark, DIAMOND)), "id", "score")
+    b = as_dict(graph.betweenness(edges(spark, DIAMOND)), "id", "score")
     assert b[2] == pytest.approx(0.5 / 6) and b[1] == 0
-    twice = as_dict(graph_local.betweenness(edges(spark, [*DIAMOND, (1, 2)])), "id", "score")
+    twice = as_dict(graph.betweenness(edges(spark, [*DIAMOND, (1, 2)])), "id", "score")
     assert twice[2] == pytest.approx(2 / 3 / 6)
     t = graph_local.toposort(edges(spark, [*DIAMOND, (8, 9), (9, 8)]).withColumn("f", F.lit("x")), "f").orderBy("place")
     assert [r.id for r in t.collect()] == [1, 2, 3, 4, 8, 9]
     assert graph_local.agglomerate([{1, 2}, {1, 2}, {7}], 0.5) == [[0, 1], [2]]
 
 
+def plain_betweenness(pairs):
+    """Pair by pair: the share of the shortest paths from a to c that pass b, by path counts."""
+    every = sorted({x for p in pairs for x in p})
+    out = {x: [b for a, b in pairs if a == x and a != b] for x in every}
+    far, ways = {}, {}
+    for s in every:
+        far[s], ways[s], level = {s: 0}, {s: 1}, [s]
+        while level:
+            new = {}
+            for x in level:
+                for y in out[x]:
+                    if y not in far[s]:
+                        new[y] = new.get(y, 0) + ways[s][x]
+            far[s].update({y: far[s][level[0]] + 1 for y in new})
+            ways[s].update(new)
+            level = list(new)
+    score = dict.fromkeys(every, 0.0)
+    for a in every:
+        for c in far[a]:
+            for b in far[a]:
+                if len({a, b, c}) == 3 and c in far[b] and far[a][b] + far[b][c] == far[a][c]:
+                    score[b] += ways[a][b] * ways[b][c] / ways[a][c]
+    return {x: v / max(1, (len(every) - 1) * (len(every) - 2)) for x, v in score.items()}
+
+
+@pytest.mark.parametrize("messages", [200_000_000, 400])
+def test_betweenness_equals_path_counts(spark, messages):
+    """Repeated edges, loops, a tail, an isolated loop and two components; all starts at once and in blocks."""
+    r = random.Random(5)
+    pairs = [(r.randrange(14), r.randrange(14)) for _ in range(34)] + [(20, 21), (21, 22), (21, 22), (22, 23), (20, 23), (30, 30)]
+    got = as_dict(graph.betweenness(edges(spark, pairs), messages), "id", "score")
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in plain_betweenness(pairs).items()}
+    assert max(got.values()) > 0.05
+
+
+def test_betweenness_without_paths(spark):
+    assert graph.betweenness(edges(spark, [])).count() == 0
+    assert as_dict(graph.betweenness(edges(spark, [(1, 2), (3, 3)])), "id", "score") == {1: 0.0, 2: 0.0, 3: 0.0}
+
+
 def test_staleness_flows_to_dependents(spark):
     e = edges(spark, [(2, 1), (3, 2), (4, 3)])
     seeds = spark.createDataFrame([(1, 1.0, 0.8)], "id long, staleness double, delta double")
