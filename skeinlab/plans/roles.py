@@ -36,6 +36,17 @@ def edges_sql(name: str = "edges") -> str:
     )
 
 
+def file_edges(spark, d, old: bool = False) -> DataFrame:
+    """Edges that stay inside a file: a graph of many components, with cycles and orphans."""
+    f = symbols(spark, d)
+    a, b = f.select(F.col("id").alias("source_id"), "file_path"), f.select(F.col("id").alias("target_id"), F.col("file_path").alias("_file"))
+    return (old_edges if old else edges)(spark, d).join(a, "source_id").join(b, "target_id").filter("file_path = _file").drop("file_path", "_file")
+
+
+def file_edges_sql(name: str, source: str) -> str:
+    return f"{name} AS (SELECT e.* FROM {source} e JOIN symbols a ON a.id = e.source_id JOIN symbols b ON b.id = e.target_id WHERE a.file_path = b.file_path)"
+
+
 def named_edges(spark, d) -> DataFrame:
     """Edges whose target is a name, resolved late: one in 16 names does not resolve."""
     s = symbols(spark, d).select(F.col("id").alias("target_id"), F.col("qualified_name").alias("t"), F.col("id").alias("k"))
