@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Vectors that centroids are fitted on, at most; the index holds every vector.
 SAMPLE, LISTS, STEPS = 20_000, 64, 12
 #: Recall of the first CALIBRATED_AT that the probed lists have to reach, on so many queries of the sample against all of it.
 TARGET, CALIBRATED_AT, QUERIES = 0.95, 10, 400
+#: Queries of a block, and of those as many as are scored at once.
+BLOCK, STRIP = 4096, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -122,36 +125,79 @@ def search_one(index: tuple[DataFrame, np.ndarray, int], query: list[float], k:
     return _scored(rows.filter(F.col("list").isin(near)).select("id", "embedding", F.lit(0).alias("query"), F.array(*[F.lit(float(x)) for x in query]).alias("_q")), k)
 
 
-def exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """The brute-force answer to `search`: each block of vectors meets all queries, and keeps k for each of them.
+def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of a column's usable vectors (no null inside, finite, not zero), and these as rows of length one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.array([n or 0 for n in pc.list_value_length(column).to_pylist()], np.int64)
+    out = {}
+    for n in sorted(set(sizes[sizes > 0].tolist())):
+        at = np.flatnonzero(sizes == n)
+        x = np.array(pc.list_flatten(column.take(pa.array(at))).to_numpy(zero_copy_only=False), np.float64).reshape(len(at), n)  # nulls are NaN
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        good = np.isfinite(length) & (length > 0)
+        if good.any():
+            out[n] = at[good], x[good] / length[good, None]
+    return out
 
-    The queries are a stated set, sent to every block; no pair is emitted that is not among its block's best.
-    """
-    asked = queries.select("query", "embedding").agg(F.collect_list(F.struct("query", "embedding")).alias("_all"))
-    query_type = queries.schema["query"].dataType
-    schema = T.StructType([T.StructField("query", query_type), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
-    def meet(batches):
-        for b in batches:
-            ids, vs, every = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)[0].as_py()
-            usable = [(i, v) for i, v in zip(ids, vs, strict=True) if v]
-            out = []
-            for size in {len(v) for _, v in usable}:
-                names = [i for i, v in usable if len(v) == size]
-                x = _unit(np.array([v for _, v in usable if len(v) == size], np.float64))
-                alive = np.linalg.norm(x, axis=1) > 0
-                for q in every:
-                    if q["embedding"] and len(q["embedding"]) == size and any(q["embedding"]):
-                        y = np.array(q["embedding"], np.float64)
-                        s = np.where(alive, x @ (y / np.linalg.norm(y)), -np.inf)
-                        out += [(q["query"], names[j], float(s[j])) for j in sorted(np.flatnonzero(alive), key=lambda j: (-round(s[j], 12), names[j]))[:k]]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=_arrow(schema))
-
-    near = vectors.select("id", "embedding").crossJoin(asked).mapInArrow(meet, schema)  # one row of queries
-    top = near.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 12)).alias("far"), "id"))), 1, k).alias("best"))
+def _best(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score), flat: the k rows of x of the highest score (rounded to 12 digits) for each query; ties go to the smaller id.
+
+    x is in the order of ids. All rows that reach the k-th score are looked at, so ties are not cut.
+    """
+    s = np.round(queries @ x.T, 12)
+    if s.shape[1] > k:
+        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        q, j = np.nonzero(s >= edge[:, None])
+    else:
+        q, j = (m.ravel() for m in np.indices(s.shape))
+    v = s[q, j]
+    order = np.lexsort((j, -v, q))
+    q, j, v = q[order], j[order], v[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < k
+    return q[keep], ids[j[keep]], v[keep]
+
+
+def _met(queries: DataFrame, vectors: DataFrame, key: list[str], k: int) -> DataFrame:
+    """(query, id, score, rank): the k best of the vectors (*key, id, embedding) that share their key with a query (*key, query, embedding).
+
+    A key is a bounded block of each side; both meet as matrices. No pair is emitted that is not among a block's best.
+    """
+    schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    arrow = _arrow(schema)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            asked, held = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
+            for n in asked.keys() & held.keys():
+                (at, q), (to, x) = asked[n], held[n]
+                for first in range(0, len(q), STRIP):
+                    i, j, score = _best(q[first : first + STRIP], x, to, k)
+                    parts.append(pa.table([left.column("query").take(pa.array(at[first + i])), right.column("id").take(pa.array(j)), pa.array(score)], names=schema.names).cast(arrow))
+        return pa.concat_tables(parts) if parts else arrow.empty_table()
+
+    near = queries.groupBy(*key).cogroup(vectors.groupBy(*key)).applyInArrow(meet, schema)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "id"))), 1, k)
+    top = near.groupBy("query").agg(best.alias("best"))
     return top.select("query", F.posexplode("best").alias("_p", "b")).select("query", "b.id", (-F.col("b.far")).alias("score"), (F.col("_p") + 1).alias("rank"))
 
 
+def exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The brute-force answer to `search`: each block of vectors meets each block of queries, and keeps k for each query.
+
+    Blocks of about `block` rows on both sides meet as matrices. The work is queries times vectors, which the exact
+    answer takes; what goes over the network is each side as often as the other has blocks.
+    """
+    count = vectors.agg(F.count(F.lit(1))).first()[0], queries.agg(F.count(F.lit(1))).first()[0]
+    wide, tall = max(1, -(-count[0] // (4 * block))), max(1, -(-count[1] // block))
+    q = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.lit(tall)).cast("int").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("_v"))
+    v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("_q"))
+    return _met(q, v, ["_q", "_v"], k)
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -39,3 +39,14 @@ def test_names_of_many_bearers_are_not_written_out(spark):
         assert sorted(map(tuple, got), key=repr) == plain_neighbors(e, symbols)
     plan = joins.neighbors(ed.filter("edge_kind = 'calls'"), sy.dropDuplicates(["id"]))._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan.split("Union", 1)[0]  # nothing is made distinct behind the joins
+
+
+def test_static_groups_are_the_listed_pairs(spark):
+    rng = random.Random(8)
+    rows = {(c, f"f{rng.randrange(9)}", c // 3) for c in range(60) for _ in range(3)}
+    commits = spark.createDataFrame(sorted(rows), "commit long, file string, at long")
+    of = [(f"f{k}", g) for k in range(8) for g in ({k % 3, 7} if k < 2 else {k % 3})] + [("f3", None), ("f4", None), ("f5", 2)]
+    pairs = {(a, b) for a, g in of for b, h in of if a < b and g is not None and g == h}
+    got = A.mine_coupling(commits, static_groups=spark.createDataFrame(of, 'file string, "group" long'.replace('"', "`")), min_support=1)
+    want = A.mine_coupling(commits, static_pairs=spark.createDataFrame(sorted(pairs), "file_a string, file_b string"), min_support=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.filter("static > 0").count() and want.filter("static = 0").count()
