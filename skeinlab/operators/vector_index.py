@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 SAMPLE, LISTS, STEPS = 20_000, 64, 12
 #: Recall of the first CALIBRATED_AT that the probed lists have to reach, on so many queries of the sample against all of it.
 TARGET, CALIBRATED_AT, QUERIES = 0.95, 10, 400
-#: Queries of a block, and of those as many as are scored at once.
-BLOCK, STRIP = 4096, 256
+#: Numbers in a block of vectors (half as many in one of queries), queries that are scored at once, scores of which one maximum is taken.
+BLOCK, STRIP, GROUP = 4_000_000, 128, 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -111,8 +111,16 @@ def search(index: tuple[DataFrame, np.ndarray, int], queries: DataFrame, k: int,
     lists the result is exact. Ties go to the smaller id.
     """
     rows, centroids, enough = index
-    asked = _nearest_lists(queries.select("query", "embedding"), centroids, probes or enough, "_lists").select("query", F.col("embedding").alias("_q"), F.explode("_lists").alias("list")).filter("list >= 0")
-    return _scored(rows.filter("list >= 0").select("id", "embedding", "list").join(asked, "list"), k)
+    asked = _nearest_lists(queries.select("query", "embedding"), centroids, probes or enough, "_lists").select("query", "embedding", F.explode("_lists").alias("list")).filter("list >= 0")
+    width = max(1, centroids.shape[1])
+    parts = lambda df, most: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) * width / most).cast("int").alias("n"))  # noqa: E731  one row for each list
+    held = rows.filter("list >= 0").select("id", "embedding", "list")
+    wide, tall = parts(held, BLOCK).withColumnRenamed("n", "_w"), parts(asked, BLOCK // 2).withColumnRenamed("n", "_t")
+    sizes = F.broadcast(wide.join(tall, "list"))  # at most LISTS rows
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = asked.join(sizes, "list").select("query", "embedding", "list", F.pmod(F.xxhash64("query"), F.col("_t")).cast("int").alias("_q"), every("_w").alias("_v"))
+    v = held.join(sizes, "list").select("id", "embedding", "list", F.pmod(F.xxhash64("id"), F.col("_w")).cast("int").alias("_v"), every("_t").alias("_q"))
+    return _met(q, v, ["list", "_q", "_v"], k)
 
 
 def search_one(index: tuple[DataFrame, np.ndarray, int], query: list[float], k: int, probes: int | None = None) -> DataFrame:
@@ -125,7 +133,7 @@ def search_one(index: tuple[DataFrame, np.ndarray, int], query: list[float], k:
     return _scored(rows.filter(F.col("list").isin(near)).select("id", "embedding", F.lit(0).alias("query"), F.array(*[F.lit(float(x)) for x in query]).alias("_q")), k)
 
 
-def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def usable_vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: the places of a column's usable vectors (no null inside, finite, not zero), and these as rows of length one."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.array([n or 0 for n in pc.list_value_length(column).to_pylist()], np.int64)
@@ -145,13 +153,15 @@ def _best(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[
 
     x is in the order of ids. All rows that reach the k-th score are looked at, so ties are not cut.
     """
-    s = np.round(queries @ x.T, 12)
-    if s.shape[1] > k:
-        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-        q, j = np.nonzero(s >= edge[:, None])
+    s = queries @ x.T
+    wide = s.shape[1] // GROUP
+    if wide > k:  # the k-th best of the groups' maxima bounds the k-th score from below
+        tops = s[:, : wide * GROUP].reshape(len(s), GROUP, wide).max(axis=1)
+        edge = np.partition(tops, wide - k, axis=1)[:, wide - k]
+        q, j = np.nonzero(s >= edge[:, None] - 1e-11)
     else:
         q, j = (m.ravel() for m in np.indices(s.shape))
-    v = s[q, j]
+    v = np.round(s[q, j], 12)
     order = np.lexsort((j, -v, q))
     q, j, v = q[order], j[order], v[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -171,7 +181,7 @@ def _met(queries: DataFrame, vectors: DataFrame, key: list[str], k: int) -> Data
         parts = []
         if left.num_rows and right.num_rows:
             right = right.sort_by("id")
-            asked, held = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
+            asked, held = usable_vectors(left.column("embedding")), usable_vectors(right.column("embedding"))
             for n in asked.keys() & held.keys():
                 (at, q), (to, x) = asked[n], held[n]
                 for first in range(0, len(q), STRIP):
@@ -188,11 +198,11 @@ def _met(queries: DataFrame, vectors: DataFrame, key: list[str], k: int) -> Data
 def exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The brute-force answer to `search`: each block of vectors meets each block of queries, and keeps k for each query.
 
-    Blocks of about `block` rows on both sides meet as matrices. The work is queries times vectors, which the exact
-    answer takes; what goes over the network is each side as often as the other has blocks.
+    Blocks hold about `block` numbers. The work is queries times vectors, which the exact answer takes; what goes
+    over the network is each side as often as the other has blocks.
     """
-    count = vectors.agg(F.count(F.lit(1))).first()[0], queries.agg(F.count(F.lit(1))).first()[0]
-    wide, tall = max(1, -(-count[0] // (4 * block))), max(1, -(-count[1] // block))
+    numbers = lambda df: int(df.agg(F.sum(F.greatest(F.size("embedding"), F.lit(0)).cast("long"))).first()[0] or 0)
+    wide, tall = max(1, -(-numbers(vectors) // block)), max(1, -(-numbers(queries) // (block // 2 or 1)))
     q = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.lit(tall)).cast("int").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("_v"))
     v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("_q"))
     return _met(q, v, ["_q", "_v"], k)

@@ -50,3 +50,24 @@ def test_static_groups_are_the_listed_pairs(spark):
     got = A.mine_coupling(commits, static_groups=spark.createDataFrame(of, 'file string, "group" long'.replace('"', "`")), min_support=1)
     want = A.mine_coupling(commits, static_pairs=spark.createDataFrame(sorted(pairs), "file_a string, file_b string"), min_support=1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.filter("static > 0").count() and want.filter("static = 0").count()
+
+
+def test_blocks_of_vectors_meet_blocks_of_queries(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 4)]) for k in range(900)]  # many ties
+    rows += [(1000, None), (1001, [0.0] * 4), (1002, [1.0, 2.0]), (1050, [1.0, None, 2.0, 0.0]), (1004, []), (1100, [float("nan")] * 4), (1150, [3.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    asked = v.filter("id % 50 = 0").select(F.col("id").alias("query"), "embedding")
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in rows if x and None not in x and np.linalg.norm(x) > 0}
+    want = set()
+    for q in (i for i in unit if i % 50 == 0):
+        s = {i: round(float(x @ unit[q]), 12) for i, x in unit.items() if len(x) == len(unit[q])}
+        want |= {(q, i, r) for r, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[:7], 1)}
+    for block in (vector_index.BLOCK, 120):
+        assert {(r.query, r.id, r["rank"]) for r in vector_index.exact(v, asked, 7, block).collect()} == want
+    x = np.round(rng.normal(size=(3000, 3)), 1)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, i, s = vector_index._best(x[:40], x, np.arange(len(x)), 9)
+    full = np.round(x[:40] @ x.T, 12)
+    assert [tuple(r) for r in zip(q, i)] == [(a, b) for a in range(40) for b in np.lexsort((np.arange(len(x)), -full[a]))[:9]]
