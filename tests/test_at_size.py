@@ -71,3 +71,23 @@ def test_blocks_of_vectors_meet_blocks_of_queries(spark):
     q, i, s = vector_index._best(x[:40], x, np.arange(len(x)), 9)
     full = np.round(x[:40] @ x.T, 12)
     assert [tuple(r) for r in zip(q, i)] == [(a, b) for a in range(40) for b in np.lexsort((np.arange(len(x)), -full[a]))[:9]]
+
+
+def test_files_meet_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(f), [float(x) for x in rng.normal(size=5)]) for f in rng.choice(9, 300, p=[0.6] + [0.05] * 8)]
+    rows += [(20, [0.0] * 5), (21, None), (22, [1.0, 2.0]), (23, [2.0, 4.0]), (None, [1.0, 2.0])] + [(24, [1.0, 0.0, 0.0, 0.0, 0.0])] * 30
+    v = spark.createDataFrame(rows, "file long, embedding array<double>")
+    files = [*range(9), 20, 21, 22, 23, 24, 99]
+    pairs = [(a, b) for a in files for b in files if a < b and (a + b) % 5] + [(3, 3), (7, 2), (1, 2)]
+
+    def cosine(x, y):
+        n = np.linalg.norm(x) * np.linalg.norm(y) if x and y and len(x) == len(y) else 0
+        return min(1.0, max(0.0, float(np.dot(x, y) / n))) if n else 0.0
+
+    known = {f for f, _ in rows}
+    want = {(a, b): max(cosine(x, y) for f, x in rows if f == a for g, y in rows if g == b) for a, b in pairs if {a, b} <= known}
+    for block in (joins.BLOCK, 40):
+        got = joins.max_pair_similarity(spark.createDataFrame(pairs, "file_a long, file_b long"), v, block)
+        assert {(r.file_a, r.file_b): r.similarity for r in got.collect()} == pytest.approx(want, abs=1e-12)
+    assert "MapInArrow" in (p := got._jdf.queryExecution().executedPlan().toString()) or "CoGroupsInArrow" in p
