@@ -91,3 +91,20 @@ def test_files_meet_in_blocks(spark):
         got = joins.max_pair_similarity(spark.createDataFrame(pairs, "file_a long, file_b long"), v, block)
         assert {(r.file_a, r.file_b): r.similarity for r in got.collect()} == pytest.approx(want, abs=1e-12)
     assert "MapInArrow" in (p := got._jdf.queryExecution().executedPlan().toString()) or "CoGroupsInArrow" in p
+
+
+def test_reports_compute_what_is_asked_for(spark, monkeypatch):
+    e = spark.createDataFrame([(1, 2, "calls"), (2, 1, "calls"), (3, 4, "calls"), (4, 2, "calls")], "source_id long, target_id long, edge_kind string")
+    known = spark.createDataFrame([(1, "a", "f", 1, 0.5, True, 0.2)], "id long, name string, file string, tests int, drift double, has_record boolean, recency double")
+    drift = lambda **more: sorted(tuple(r) for r in analysis.structural_drift(e, e.filter("source_id > 1"), 0.5, 0.0, **more).collect())
+    both, hot = drift(), analysis.health_report(known, e)["risk_hotspots"].collect()
+    assert drift(include=("new_cycle",)) == [r for r in both if r[0] == "new_cycle"] != []
+
+    def never(*_, **__):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(graph, "strongly_connected", never)
+    monkeypatch.setattr(graph, "connected_components", never)
+    got = analysis.health_report(known, e, include=("risk_hotspots",), summary=False)
+    assert set(got) == {"risk_hotspots"} and got["risk_hotspots"].collect() == hot
+    assert drift(include=("emerging_hub",)) == [r for r in both if r[0] == "emerging_hub"]
