@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlab.operators import aggregates as A, analysis, graph, joins, vector_index
+from skeinlab.operators import aggregates as A, analysis, communities, graph, joins, vector_index
 
 
 def plain_neighbors(e, s):
@@ -108,3 +108,20 @@ def test_reports_compute_what_is_asked_for(spark, monkeypatch):
     got = analysis.health_report(known, e, include=("risk_hotspots",), summary=False)
     assert set(got) == {"risk_hotspots"} and got["risk_hotspots"].collect() == hot
     assert drift(include=("emerging_hub",)) == [r for r in both if r[0] == "emerging_hub"]
+
+
+def test_container_pairs_come_up_once_without_a_shuffle_behind_the_join(spark):
+    rng = random.Random(3)
+    rows = [(0, f"f{k % 2}", k, f"0:{k}", ["s", "t", ""][k % 3]) for k in range(60)]
+    e = spark.createDataFrame(rows, "run int, file string, id long, node string, stem string")
+    groups = spark.createDataFrame([(n, n, k % 13 == 0) for k, (_, _, _, n, _) in enumerate(rows)], "node string, rep string, split boolean")
+    ties = {tuple(sorted(f"0:{k}" for k in rng.sample(range(60), 2))) for _ in range(14)}
+    g = spark.createDataFrame([(a, b, 1) for a, b in ties], "a string, b string, weight long")
+    tied = {x for t in ties for x in t}
+    single = [r for k, r in enumerate(rows) if k % 13 and r[4]]
+    want = {tuple(sorted((x[3], y[3]))) for x in single for y in single if x[3] != y[3] and (x[1], x[4]) == (y[1], y[4]) and x[3] not in tied}
+    added, rescued = communities.container_rescue(e, groups, g)
+    got = [(r.a, r.b) for r in added.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r.node for r in rescued.collect()} == {x for p in want for x in p} - tied
+    assert "Aggregate" not in added._jdf.queryExecution().executedPlan().toString()
