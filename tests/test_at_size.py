@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlab.operators import aggregates as A, analysis, communities, graph, joins, vector_index
+from skeinlab.operators import aggregates as A, analysis, blocks, communities, graph, joins, vector_index
 
 
 def plain_neighbors(e, s):
@@ -125,3 +125,37 @@ def test_container_pairs_come_up_once_without_a_shuffle_behind_the_join(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert {r.node for r in rescued.collect()} == {x for p in want for x in p} - tied
     assert "Aggregate" not in added._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_step_by_blocks_of_nodes(spark, monkeypatch):
+    """Several blocks and spans of targets, ids out of order, sinks and repeats: the ranks of plain power iteration, and steps that move a row for each block."""
+    monkeypatch.setattr(blocks, "SIZE", 8)
+    monkeypatch.setattr(blocks, "SPAN", 2)
+    monkeypatch.setattr(blocks, "LEAST", 4)
+    rng = random.Random(8)
+    pairs = [(rng.randrange(60) * 7 % 61, rng.randrange(75) * 7 % 83) for _ in range(300)]
+    every = sorted({x for p in pairs for x in p})
+    out = Counter(a for a, _ in pairs)
+
+    def plain(start, back, keep, steps):
+        r = dict(start)
+        for _ in range(steps):
+            lost = sum(v for x, v in r.items() if not out[x])
+            new = {x: back[x] * ((1 - keep) + keep * lost) for x in every}
+            for a, b in pairs:
+                new[b] += keep * r[a] / out[a]
+            r = new
+        return r
+
+    even = dict.fromkeys(every, 1 / len(every))
+    ed = spark.createDataFrame(pairs, "source_id long, target_id long")
+    rows = []
+    powers = graph._powers
+    monkeypatch.setattr(graph, "_powers", lambda *a: rows.append(powers(*a)) or rows[-1])
+    got = {r.id: r["rank"] for r in graph.pagerank(ed, 0.85, 6).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in plain(even, even, 0.85, 6).items()}
+    assert rows[0].columns == ["b", "v", "k"]
+    seeds = [x for x in every if x % 5 == 0]
+    s = {x: (1 / len(seeds) if x in seeds else 0.0) for x in every}
+    got = {r.id: r["rank"] for r in graph.personalized_pagerank(ed, spark.createDataFrame([(x,) for x in [*seeds, 999]], "id long"), 0.15, 6).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in plain(s, s, 0.85, 6).items() if v > 0}
