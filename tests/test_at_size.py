@@ -159,3 +159,20 @@ def test_ranks_step_by_blocks_of_nodes(spark, monkeypatch):
     s = {x: (1 / len(seeds) if x in seeds else 0.0) for x in every}
     got = {r.id: r["rank"] for r in graph.personalized_pagerank(ed, spark.createDataFrame([(x,) for x in [*seeds, 999]], "id long"), 0.15, 6).collect()}
     assert got == {k: pytest.approx(v, abs=1e-12) for k, v in plain(s, s, 0.85, 6).items() if v > 0}
+
+
+@pytest.mark.parametrize("together", [200_000, 12])
+def test_small_weak_components_are_walked_inside_tasks(spark, monkeypatch, together):
+    monkeypatch.setattr(graph, "TOGETHER", together)
+    rng = random.Random(4)
+    pairs = [(f"{c}{rng.randrange(n):02}", f"{c}{rng.randrange(n):02}") for c, n, m in (("a", 14, 20), ("b", 5, 8), ("c", 6, 6), ("d", 9, 11)) for _ in range(m)] + [("x", "x"), ("y", "z")]
+    every = {x for p in pairs for x in p}
+    far = {x: {x} for x in every}
+    for _ in every:
+        for a, b in pairs:
+            for x in every:
+                far[x] |= {b} if a in far[x] else set()
+    e = spark.createDataFrame(pairs, "source_id string, target_id string")
+    got = {r.id: r.component for r in graph.strongly_connected(e, graph.connected_components(e)).collect()}
+    assert got == {x: min(y for y in far[x] if x in far[y]) for x in every}
+    assert len(set(got.values())) < len(every)
