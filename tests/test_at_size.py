@@ -176,3 +176,27 @@ def test_small_weak_components_are_walked_inside_tasks(spark, monkeypatch, toget
     got = {r.id: r.component for r in graph.strongly_connected(e, graph.connected_components(e)).collect()}
     assert got == {x: min(y for y in far[x] if x in far[y]) for x in every}
     assert len(set(got.values())) < len(every)
+
+
+@pytest.mark.parametrize("together", [40, 1_000_000])
+def test_moves_of_small_components_are_the_rounds_of_joins(spark, monkeypatch, together):
+    monkeypatch.setattr(communities, "TOGETHER", together)
+    cuts = []
+    monkeypatch.setattr(communities, "cut", lambda df, f=communities.cut: cuts.append(1) or f(df))
+    rng = random.Random(7)
+    pairs = [(k * 100 + rng.randrange(n), k * 100 + rng.randrange(n)) for k, n in enumerate((30, 9, 9, 2)) for _ in range(3 * n)] + [(900, 900)]
+    e = spark.createDataFrame(pairs, "source_id long, target_id long")
+    got = {r.id: r.community for r in communities.louvain(e).collect()}
+    if together > len(pairs):
+        assert len(cuts) <= 8  # a round of joins has two
+    u = communities.cut(graph.undirected(e))
+    nodes = graph.nodes(e).withColumns({"total": F.lit(float(len(pairs))), "resolution": F.lit(1.0)})
+    assert got == {r.id: r.community for r in communities.local_moves(u, nodes).collect()}
+
+
+def test_container_rescue_is_spanned_by_few_edges(spark):
+    held = [("a", "b"), ("a", "c"), ("b", "c"), ("0", "b"), ("0", "c"), ("0", "a"), ("b", "z"), ("a", "z"), ("c", "z"), ("x", "y")]  # a, b, c rescued, 0 and z tied
+    thin = communities._spanning(spark.createDataFrame([(a, b, 1) for a, b in held], "a string, b string, weight long"))
+    assert thin.count() <= 7
+    c = {r.id: r.component for r in graph.connected_components(thin.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))).collect()}
+    assert c == {**dict.fromkeys("0abcz", "0"), "x": "x", "y": "x"}
