@@ -285,3 +285,18 @@ def test_calibration_of_languages(spark):
     df = spark.createDataFrame(ten + two + one, "id long, file string, embedding array<double>, language string")
     got = {r.language: (r.threshold, r.sample_size) for r in A.calibrate_languages(df, ["rust", "Go", "c", "default"]).collect()}
     assert got.keys() == {"Go", "default"} and got["Go"] == (0.5, 132 + 144)  # rust has too few, c no second file with a vector
+
+
+def test_no_more_paths_go_on_than_the_budget_takes(spark, monkeypatch):
+    pairs = [(a, b) for a in range(40) for b in range(40) if a != b]
+    nodes = spark.createDataFrame([(k, "l", "f", k / 1024) for k in range(40)], "id long, layer string, file string, centrality double")
+    sizes, stored = [], graph.store
+
+    def watched(df, *folder):
+        out = stored(df, *folder)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "store", watched)
+    got = graph.interesting_path(edges(spark, pairs), nodes, spark.createDataFrame([(0,)], "id long"), 10, 100).collect()
+    assert len(got[0].path) == 3 and sum(sizes[1:]) <= 60  # 1 start, 39 paths behind it, and those that use up 60 more
