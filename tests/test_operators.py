@@ -300,3 +300,11 @@ def test_no_more_paths_go_on_than_the_budget_takes(spark, monkeypatch):
     monkeypatch.setattr(graph, "store", watched)
     got = graph.interesting_path(edges(spark, pairs), nodes, spark.createDataFrame([(0,)], "id long"), 10, 100).collect()
     assert len(got[0].path) == 3 and sum(sizes[1:]) <= 60  # 1 start, 39 paths behind it, and those that use up 60 more
+
+
+def test_markers_are_looked_for_in_a_text_put_into_lower_case_once(spark):
+    rows = [("Retries, then falls back: bypassed BY after_all; if-not", 6 / 4), ("bytes thenceforth 3when iffy", 0.0), ("WHEN\nwhile", 2 / 4), (" ", 0.0), ("", 0.0)]
+    q = X.quality_signals(F.col("t"))
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", q["behavioral_depth"].alias("depth"))
+    assert {r.t: r.depth for r in df.collect()} == {t: min(1.0, d) for t, d in rows}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
