@@ -105,6 +105,24 @@ def test_betweenness_equals_path_counts(spark, messages):
     assert max(got.values()) > 0.05
 
 
+@pytest.mark.parametrize("packed", [4_000_000, 20, 0])
+def test_betweenness_by_ranges_of_starts_and_by_rows(spark, monkeypatch, packed):
+    """Components inside tasks, in ranges of a few starts, do not go by rows; larger ones do, with the same scores."""
+    r = random.Random(6)
+    pairs = [(r.randrange(14), r.randrange(14)) for _ in range(40)] + [(20, 21), (21, 22), (21, 22), (22, 23), (20, 23), (30, 30)]
+    pairs += [(40 + r.randrange(9), 40 + r.randrange(9)) for _ in range(30)]
+    monkeypatch.setattr(graph, "PACKED", packed)
+    monkeypatch.setattr(graph, "WALKED", 100)
+    if packed == 4_000_000:
+        monkeypatch.setattr(graph, "_owed_by_rows", lambda *_: pytest.fail("by rows"))
+    for together in (200_000, 40, 8):  # all in one task, one alone, all alone
+        monkeypatch.setattr(graph, "TOGETHER", together)
+        got = as_dict(graph.betweenness(edges(spark, pairs), 2_000), "id", "score")
+        assert got == {k: pytest.approx(v, abs=1e-12) for k, v in plain_betweenness(pairs).items()}
+        if packed < 4_000_000:
+            break
+
+
 def test_betweenness_without_paths(spark):
     assert graph.betweenness(edges(spark, [])).count() == 0
     assert as_dict(graph.betweenness(edges(spark, [(1, 2), (3, 3)])), "id", "score") == {1: 0.0, 2: 0.0, 3: 0.0}
