@@ -178,6 +178,24 @@ def test_small_weak_components_are_walked_inside_tasks(spark, monkeypatch, toget
     assert len(set(got.values())) < len(every)
 
 
+def test_strong_components_go_by_blocks_of_nodes(spark, monkeypatch):
+    """Several blocks of nodes, a chain, cycles that meet one way, loops; a round moves no row for a node or an edge."""
+    monkeypatch.setattr(blocks, "LEAST", 8)
+    monkeypatch.setattr(blocks, "SIZE", 8)
+    monkeypatch.setattr(blocks, "SPAN", 2)
+    monkeypatch.setattr(graph, "cut", lambda _: pytest.fail("rows of nodes or edges"))
+    rng = random.Random(8)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)] + [(40 + k, 41 + k) for k in range(5)] + [(60, 61), (61, 62), (62, 60), (62, 50), (50, 51), (51, 50), (51, 3), (70, 70)]
+    every = {x for p in pairs for x in p}
+    far = {x: {x} for x in every}
+    for _ in every:
+        for a, b in pairs:
+            for x in every:
+                far[x] |= {b} if a in far[x] else set()
+    got = {r.id: r.component for r in graph.strongly_connected(spark.createDataFrame(pairs, "source_id long, target_id long")).collect()}
+    assert got == {x: min(y for y in far[x] if x in far[y]) for x in every}
+
+
 @pytest.mark.parametrize("together", [40, 1_000_000])
 def test_moves_of_small_components_are_the_rounds_of_joins(spark, monkeypatch, together):
     monkeypatch.setattr(communities, "TOGETHER", together)
