@@ -127,3 +127,18 @@ def test_providers_fail_over(spark):
     got = udfs.annotate(u, "broken", fallback="first_words").collect()
     assert [(r.intent, r.error) for r in got] == [(f"word {k}", None) for k in range(150)]
     assert {(r.intent, r.error) for r in udfs.annotate(u, "broken", retries=0).collect()} == {(None, "no answer")}
+
+
+def test_task_symbols_search_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        asked.add(1)
+        return x
+
+    ranks = spark.createDataFrame([(k, k + 1) for k in range(5)], "id long, rank long")
+    e = spark.createDataFrame([(k, (k * 3 + 1) % 7) for k in range(7)], "source_id long, target_id long")
+    out = recall.task_symbols(ranks.withColumn("rank", counted("rank")), ranks, e, top_k=2)
+    assert len(out.collect()) == 7
+    assert asked.value == 5
