@@ -2,7 +2,9 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,25 @@ def test_betweenness_by_ranges_of_starts_and_by_rows(spark, monkeypatch, packed)
             break
 
 
+def test_betweenness_holds_few_bytes_for_an_edge():
+    """The walk of one task holds a component in both directions and its levels in less than 40 bytes an edge."""
+    r = np.random.default_rng(1)
+    n, k = 2_000, 100_000
+    count = np.bincount(r.integers(0, n, k), minlength=n).astype(np.int32)
+    y, m = r.integers(0, n, k).astype(np.int32), np.ones(k, dtype=np.uint8)
+    tracemalloc.start()
+    graph._owed(count, y, m, 0, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * k
+
+
+def test_betweenness_of_an_edge_that_occurs_often(spark):
+    pairs = [(1, 2), (1, 3), (2, 4), (3, 4)] + [(1, 2)] * 299
+    got = as_dict(graph.betweenness(edges(spark, pairs)), "id", "score")
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in plain_betweenness(pairs).items()}
+
+
 def test_betweenness_without_paths(spark):
     assert graph.betweenness(edges(spark, [])).count() == 0
     assert as_dict(graph.betweenness(edges(spark, [(1, 2), (3, 3)])), "id", "score") == {1: 0.0, 2: 0.0, 3: 0.0}
