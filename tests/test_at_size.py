@@ -218,3 +218,60 @@ def test_container_rescue_is_spanned_by_few_edges(spark):
     assert thin.count() <= 7
     c = {r.id: r.component for r in graph.connected_components(thin.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))).collect()}
     assert c == {**dict.fromkeys("0abcz", "0"), "x": "x", "y": "x"}
+
+
+def test_moves_of_stems_are_those_of_their_pairs():
+    """Rescued stems go through the rounds as a row for each group: the communities of the listed pairs, and no pair where there are many."""
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        n, m = int(r.integers(2, 50)), int(r.integers(0, 90))
+        stem = r.integers(-1, int(r.integers(1, 5)), n)
+        zero = (r.random(n) < r.random()) & (stem >= 0)
+        ends = np.sort(r.integers(0, n, (2, m)), axis=0)
+        weight = r.integers(1, 4, m).astype(float)
+        i, j = np.triu_indices(n, 1)
+        held = (stem[i] >= 0) & (stem[i] == stem[j]) & (zero[i] | zero[j])
+        a, b, every = np.r_[ends[0], i[held]], np.r_[ends[1], j[held]], np.r_[weight, np.ones(held.sum())]
+        if len(a):
+            fixed = np.arange(n), np.full(n, every.sum()), np.full(n, r.choice([0.1, 0.5, 1.0]))
+            rounds = int(r.choice([2, 50]))
+            assert (communities._rounds(*fixed, *ends, weight, rounds, stem, zero) == communities._rounds(*fixed, a, b, every, rounds)).all()
+    n = 20_000  # 200 million pairs
+    none = np.zeros(0, dtype=np.int64)
+    got = communities._rounds(np.arange(n), np.full(n, n * (n - 1) / 2), np.full(n, 0.5), none, none, none.astype(float), 3, np.zeros(n, dtype=int), np.ones(n, dtype=bool))
+    assert (got != np.arange(n)).sum() == 3  # of nodes that are all joined one moves in a round
+
+
+def test_stems_stand_for_the_pairs_of_container_rescue(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(0, f"f{k % 2}", k, f"0:{k}", ["s", "t", "", f"u{k}"][k % 4]) for k in range(60)]
+    e = spark.createDataFrame(rows, "run int, file string, id long, node string, stem string")
+    groups = spark.createDataFrame([(n, n, k % 13 == 0) for k, (_, _, _, n, _) in enumerate(rows)], "node string, rep string, split boolean")
+    ties = {tuple(sorted(f"0:{k}" for k in rng.sample(range(60), 2))) for _ in range(14)}
+    g = spark.createDataFrame([(a, b, 1) for a, b in ties], "a string, b string, weight long")
+    added, rescued = communities.container_rescue(e, groups, g)
+    stems = communities.container_stems(e, groups, g)
+    pairs = sorted((r.a, r.b) for r in added.collect())
+    assert sorted((r.a, r.b) for r in communities._listed(stems).collect()) == pairs
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    assert {r.rep: (r.weight, r.other) for r in stems.collect()} == {k: (len(v), min(v)) for k, v in near.items()}
+    assert {r.rep for r in stems.collect() if not r.tied} == {r.node for r in rescued.collect()}
+    monkeypatch.setattr(communities, "_listed", lambda *_: pytest.fail("pairs are listed"))
+    nodes = stems.select(F.col("rep").alias("id"), F.lit(40.0).alias("total"), F.lit(0.5).alias("resolution"))
+    weak = stems.select(F.col("rep").alias("id"), F.col("stem").alias("component"))
+    none = spark.createDataFrame([], "a string, b string, weight long")
+    moved = communities.local_moves(none, nodes, weak=weak, stems=stems)
+    listed = communities.local_moves(spark.createDataFrame([(a, b, 1) for a, b in pairs], "a string, b string, weight long"), nodes)
+    assert sorted(moved.collect()) == sorted(listed.collect())
+
+
+@pytest.mark.parametrize("within", [30, 2_000_000])
+def test_components_of_scopes_are_those_of_the_whole_graph(spark, monkeypatch, within):
+    monkeypatch.setattr(graph, "WITHIN", within)
+    rng = random.Random(9)
+    pairs = [(k, f"{k}:{rng.randrange(m)}", f"{k}:{rng.randrange(m)}") for k, m in enumerate((40, 9, 3)) for _ in range(m)] + [(3, f"3:{x:03}", f"3:{x + 1:03}") for x in range(25)]
+    e = spark.createDataFrame(pairs, "scope int, source_id string, target_id string")
+    assert sorted(graph.components_within(e).collect()) == sorted(graph.connected_components(e.drop("scope")).collect())
