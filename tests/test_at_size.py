@@ -275,3 +275,14 @@ def test_components_of_scopes_are_those_of_the_whole_graph(spark, monkeypatch, w
     pairs = [(k, f"{k}:{rng.randrange(m)}", f"{k}:{rng.randrange(m)}") for k, m in enumerate((40, 9, 3)) for _ in range(m)] + [(3, f"3:{x:03}", f"3:{x + 1:03}") for x in range(25)]
     e = spark.createDataFrame(pairs, "scope int, source_id string, target_id string")
     assert sorted(graph.components_within(e).collect()) == sorted(graph.connected_components(e.drop("scope")).collect())
+
+
+def test_moves_with_short_keys_are_those_with_long_ones():
+    """Counts are summed up inside sorted keys, other weights beside them: half the weights, and half the totals, move the same nodes."""
+    r = np.random.default_rng(2)
+    for n, m in ((40, 80), (400, 4_000), (2_000, 30_000)):
+        a, b = np.sort(r.integers(0, n, (2, m)), axis=0)
+        weight = r.integers(1, 5, m) * 1.0
+        whole = communities._rounds(np.arange(n), np.full(n, weight.sum()), np.ones(n), a, b, weight, 50)
+        assert (whole == communities._rounds(np.arange(n), np.full(n, weight.sum() / 2), np.ones(n), a, b, weight / 2, 50)).all()
+        assert len(np.unique(whole)) < n
