@@ -286,3 +286,13 @@ def test_moves_with_short_keys_are_those_with_long_ones():
         whole = communities._rounds(np.arange(n), np.full(n, weight.sum()), np.ones(n), a, b, weight, 50)
         assert (whole == communities._rounds(np.arange(n), np.full(n, weight.sum() / 2), np.ones(n), a, b, weight / 2, 50)).all()
         assert len(np.unique(whole)) < n
+
+
+def test_names_of_many_bearers_take_little_room_in_files(spark, tmp_path):
+    """Edges of one name follow each other, so their bearers repeat in order: 240,000 rows in less than a byte each."""
+    rng = random.Random(3)
+    s = spark.createDataFrame([(k * 7919 % 100_003, f"n{k % 40}") for k in range(4_000)], "id long, qualified_name string")
+    e = spark.createDataFrame([(k, f"n{rng.randrange(40)}", "calls") for k in range(2_400)], "source_id long, target_qualified_name string, edge_kind string")
+    joins.edge_counts(e, s).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 240_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 240_000
