@@ -292,6 +292,8 @@ def test_names_of_many_bearers_take_little_room_in_files(spark, tmp_path):
     """Edges of one name follow each other, so their bearers repeat in order: 240,000 rows in less than a byte each."""
     rng = random.Random(3)
     s = spark.createDataFrame([(k * 7919 % 100_003, f"n{k % 40}") for k in range(4_000)], "id long, qualified_name string")
+    s.write.parquet(f"{tmp_path}/symbols")  # a file of known size would be sent out
+    s = spark.read.parquet(f"{tmp_path}/symbols")
     e = spark.createDataFrame([(k, f"n{rng.randrange(40)}", "calls") for k in range(2_400)], "source_id long, target_qualified_name string, edge_kind string")
     plan = joins.edge_counts(e, s)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan  # a table of bearers that is sent out leaves names mixed
